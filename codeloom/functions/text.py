@@ -186,7 +186,8 @@ def prediction(program: Column, prompt: Column, tests: Column) -> Column:
 
 def scrub_keywords(text: Column, keywords: list[str] = KEYWORDS) -> Column:
     """Drop reserved words and special characters and collapse white space."""
-    words = F.regexp_replace(text, r"\b(?:" + "|".join(keywords) + r")\b", " ")
+    word = r"[\p{L}\p{N}_]"
+    words = F.regexp_replace(text, rf"(?<!{word})(?:{'|'.join(keywords)})(?!{word})", " ")
     return F.btrim(F.regexp_replace(words, r"[^A-Za-z0-9_]+", " "))
 
 

@@ -50,11 +50,15 @@ def count_tokens(c: Column, specials: Specials = Specials()) -> Column:
 
 
 def ngrams(token_array: Column, n: int) -> Column:
-    """All runs of ``n`` tokens, joined by spaces."""
-    starts = F.when(F.size(token_array) >= n, F.sequence(F.lit(1), F.size(token_array) - n + 1)).otherwise(
-        F.expr("cast(array() as array<int>)")
-    )
-    return F.transform(starts, lambda i: F.array_join(F.slice(token_array, i, F.lit(n)), " "))
+    """All runs of ``n`` tokens, joined by spaces.
+
+    Items are picked by position; a slice per n-gram would copy the array each time.
+    """
+
+    def gram(first: Column, i: Column) -> Column:
+        return F.concat_ws(" ", first, *[F.get(token_array, i + j) for j in range(1, n)])
+
+    return F.transform(F.slice(token_array, F.lit(1), F.greatest(F.size(token_array) - n + 1, F.lit(0))), gram)
 
 
 def subword_ids(tokenizer_file: str):

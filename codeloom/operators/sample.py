@@ -29,7 +29,7 @@ def exact_sample(df: DataFrame, fraction: float, seed: int = SEED, key: list[str
 
     # At most 16**5 small rows from here to the threshold.
     histogram = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
-    wanted = F.bround(F.sum("n").over() * F.lit(fraction)).cast("bigint")
+    wanted = F.bround(F.sum("n").over(Window.partitionBy()) * F.lit(fraction)).cast("bigint")
     seen = F.sum("n").over(Window.orderBy("_bucket"))
     last = (
         histogram.select("_bucket", "n", wanted.alias("wanted"), seen.alias("seen"))

@@ -16,15 +16,15 @@ TRIVIAL_NGRAMS = 500
 
 
 def _grams(token_array: Column, max_n: int = MAX_N) -> Column:
-    """``array<struct<n, gram>>`` of all n-grams up to ``max_n``."""
-    return F.concat(
-        *[
-            F.transform(
-                ngrams(token_array, n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("gram"))
-            )
-            for n in range(1, max_n + 1)
-        ]
-    )
+    """``array<struct<n, gram>>`` of all n-grams up to ``max_n``.
+
+    Takes a column that holds the tokens: an expression would run once per n-gram.
+    """
+
+    def of_length(n: int) -> Column:
+        return F.transform(ngrams(token_array, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+
+    return F.concat(*[of_length(n) for n in range(1, max_n + 1)])
 
 
 def trivial_ngrams(
@@ -32,7 +32,8 @@ def trivial_ngrams(
 ) -> DataFrame:
     """The ``m`` most frequent n-grams of a corpus, of all lengths together."""
     return (
-        texts.select(F.inline(_grams(tokens(F.col(column)), max_n)))
+        texts.select(tokens(F.col(column)).alias("t"))
+        .select(F.inline(_grams(F.col("t"), max_n)))
         .groupBy("n", "gram")
         .agg(F.count(F.lit(1)).alias("count"))
         .orderBy(F.desc("count"), "n", "gram")
@@ -104,7 +105,8 @@ def corpus_similarity(
     n-gram keeps its two highest counts, so the work is linear in the corpus.
     """
     counts = (
-        texts.select(key, F.inline(_grams(tokens(F.col(column)), max_n)))
+        texts.select(key, tokens(F.col(column)).alias("t"))
+        .select(key, F.inline(_grams(F.col("t"), max_n)))
         .join(trivial.select("n", "gram"), ["n", "gram"], "left_anti")
         .groupBy(key, "n", "gram")
         .agg(F.count(F.lit(1)).alias("c"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +38,9 @@ def read_source_tree(spark: SparkSession, root: str, glob: str = SOURCE_GLOB) ->
         .where(F.col("length") <= MAX_FILE_BYTES)
     )
     # The reader shows absolute URIs; what follows the root is the path inside the tree.
-    start = F.locate(f"{root.rstrip('/')}/", F.col("path")) + len(root.rstrip("/")) + 1
-    return files.select(F.expr("path").substr(start, F.length("path")).alias("path"), "content")
+    folder = urlparse(root).path.rstrip("/") + "/"
+    start = F.locate(folder, F.col("path")) + len(folder)
+    return files.select(F.col("path").substr(start, F.length("path")).alias("path"), "content")
 
 
 def read_projects(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
