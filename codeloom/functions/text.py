@@ -49,9 +49,14 @@ def unify_newlines(c: Column) -> Column:
 
 
 def count_lines(c: Column) -> Column:
-    """Lines of a text; a trailing newline opens no further line."""
-    text = unify_newlines(c)
-    return F.when(text == "", 0).otherwise(F.size(lines(text)) - F.endswith(text, F.lit("\n")).cast("int"))
+    """Lines of a text, however they end; a trailing line end opens no further line."""
+
+    def count(mark: str) -> Column:
+        return (F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))) / len(mark)
+
+    closed = F.endswith(c, F.lit("\n")) | F.endswith(c, F.lit("\r")) | (c == "")
+    ends = count("\n") + count("\r") - count("\r\n")
+    return (ends + F.when(closed, 0).otherwise(1)).cast("int")
 
 
 def is_comment(line: Column) -> Column:

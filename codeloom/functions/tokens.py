@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 END_OF_TEXT = "<|endoftext|>"
 UNKNOWN = "<|unk|>"
 #: A word, or a single other character that is not white space.
-TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_\t\n\x0b\f\r ]"
+WORD = "[A-Za-z0-9_]++"
+OTHER = r"[^A-Za-z0-9_\t\n\x0b\f\r ]"
 
 # ------------------------------------------------------------------------------
 
@@ -37,8 +38,11 @@ class Specials:
 
 
 def token_pattern(specials: Specials = Specials()) -> str:
-    """Markers count as one token each."""
-    return "|".join([*(re.escape(s) for s in specials.ordered()), TOKEN])
+    """Markers count as one token each; words, the usual case, are tried first if they can be."""
+    markers = [re.escape(s) for s in specials.ordered()]
+    if any(re.match("[A-Za-z0-9_]", s) for s in specials.ordered()):
+        return "|".join([*markers, WORD, OTHER])
+    return "|".join([WORD, *markers, OTHER])
 
 
 def tokens(c: Column, specials: Specials = Specials()) -> Column:

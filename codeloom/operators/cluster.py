@@ -73,7 +73,7 @@ def kmeans_sweep(
     ks=CLUSTER_COUNTS,
     seed: int = 1,
     max_iter: int = 20,
-    parallelism: int = 4,
+    parallelism: int = 8,
     features: str = "features",
 ) -> DataFrame:
     """One row per ``k``: inertia, silhouette and Calinski-Harabasz index.

@@ -128,13 +128,18 @@ def mask_inner_ends(content: Column) -> Column:
     strings, comments and brackets left out, as ``a[end]`` or a comprehension
     closes nothing. After this the first unmarked ``end`` is the right one.
     """
-    opener = r"\b(?:" + "|".join(w.replace(" ", r"\s+") for w in BLOCK_WORDS) + r")\b"
+    words = "|".join(w.replace(" ", r"\s+") for w in BLOCK_WORDS)
+    opener = rf"\b(?:{words})\b"
 
     def depth_change(line: Column) -> Column:
+        """Most lines have no block word and need no closer look."""
+        return F.when(F.rlike(line, F.lit(rf"\b(?:end|{words})\b")), change_in_code(line)).otherwise(0)
+
+    def change_in_code(line: Column) -> Column:
         code = F.regexp_replace(line, r'"(?:[^"\\]|\\.)*+"|#.*', " ")
         for _ in range(3):
             code = F.regexp_replace(code, r"\[[^\[\]()]*+\]|\([^\[\]()]*+\)", " ")
-        code = F.regexp_replace(code, r"[:.](?:end|" + "|".join(BLOCK_WORDS) + r")\b", " ")
+        code = F.regexp_replace(code, rf"[:.](?:end|{words})\b", " ")
         return F.regexp_count(code, F.lit(opener)) - F.regexp_count(code, F.lit(r"\bend\b"))
 
     start = F.struct(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.tokens import ngrams, tokens
+from codeloom.session import partitioned
 
 # Fixed values -----------------------------------------------------------------
 
@@ -55,8 +56,9 @@ def pair_similarity(pairs: DataFrame, trivial: DataFrame, max_n: int = MAX_N) ->
 
     BLEU on the n-grams that are not trivially shared: a candidate's n-gram counts
     at most as often as the reference has it. The trivial n-grams have a fixed
-    number, so the plan broadcasts them; each pair's counts are combined within
-    its task. Only the given pairs are compared.
+    number, so the plan broadcasts them. The texts are partitioned by pair before
+    they explode into n-grams, and every count keeps that partitioning: n-grams
+    are never shuffled. Only the given pairs are compared.
     """
     cand, ref = tokens(F.col("candidate")), tokens(F.col("reference"))
 
@@ -67,7 +69,7 @@ def pair_similarity(pairs: DataFrame, trivial: DataFrame, max_n: int = MAX_N) ->
 
     # The last entry keeps pairs that have no n-gram left.
     keep = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("gram"), F.lit("").alias("side")))
-    rows = pairs.select("id", cand.alias("c"), ref.alias("r")).select(
+    rows = partitioned(pairs, "id").select("id", cand.alias("c"), ref.alias("r")).select(
         "id",
         F.size("c").alias("candidate_tokens"),
         F.size("r").alias("reference_tokens"),
@@ -104,6 +106,8 @@ def corpus_similarity(
     at most as often as some other text has it. Instead of comparing pairs, each
     n-gram keeps its two highest counts, so the work is linear in the corpus.
     """
+    # Partitioned by text before the explosion: counting within a text needs no shuffle.
+    texts = partitioned(texts.select(key, column), key)
     counts = (
         texts.select(key, tokens(F.col(column)).alias("t"))
         .select(key, F.inline(_grams(F.col("t"), max_n)))
@@ -126,12 +130,17 @@ def corpus_similarity(
             F.coalesce(F.get(F.col("h"), F.lit(1))["c"], F.lit(0)).alias("second"),
         )
     )
+    # Most n-grams are in one text only and match nothing: they need no partner in the join.
+    limits = limits.where((F.col("holders") > 1) | (F.col("second") > 0))
     alone = (F.col("c") == F.col("most")) & (F.col("holders") == 1)
     clipped = F.least("c", F.when(alone, F.col("second")).otherwise(F.col("most")))
     scores = (
-        counts.join(limits, ["n", "gram"])
+        counts.join(limits, ["n", "gram"], "left")
         .groupBy(key)
-        .agg(F.sum(clipped).alias("matched"), F.sum("c").alias("total"))
+        .agg(
+            F.sum(F.when(F.col("most").isNotNull(), clipped)).alias("matched"),
+            F.sum("c").alias("total"),
+        )
     )
     matched, total = (F.coalesce(c, F.lit(0)) for c in ("matched", "total"))
     return (
@@ -141,6 +150,6 @@ def corpus_similarity(
             key,
             matched.alias("matched"),
             total.alias("total"),
-            F.coalesce(F.col("matched") / F.col("total"), F.lit(0.0)).alias("shared"),
+            F.coalesce(matched / F.nullif(total, F.lit(0)), F.lit(0.0)).alias("shared"),
         )
     )

@@ -43,6 +43,7 @@ from codeloom.operators.metrics import (
 from codeloom.operators.sample import exact_sample
 from codeloom.plans import views as v
 from codeloom.schemas import KEY
+from codeloom.session import materialize
 from codeloom.sources.writers import rejects
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -318,8 +319,8 @@ def utf8_gate(spark, sf):
 
 def _damaged_files(spark, sf):
     """Source files, some without their last ``end``, some not UTF-8."""
-    content = F.col("content")
-    cut = F.when(F.length("path") % 4 == 0, F.regexp_replace(content, r"\nend\n\z", "\n")).otherwise(content)
+    closed = (F.length("path") % 4 == 0) & F.endswith("content", F.lit("\nend\n"))
+    cut = F.when(closed, F.expr("left(content, length(content) - 4)")).otherwise(F.col("content"))
     raw = F.encode(cut, "UTF-8")
     broken = F.when(F.endswith("path", F.lit("7.jl")), F.concat(raw, F.unhex(F.lit("C0")))).otherwise(raw)
     return v.code_files(spark, sf).select("path", broken.alias("content"))
@@ -468,7 +469,7 @@ def vocab_build(spark, sf):
 
 
 def _encoded(spark, sf, options: EncodeOptions):
-    rows = with_texts(v.code_functions(spark, sf)).where(is_encodable())
+    rows = materialize(with_texts(v.code_functions(spark, sf)).where(is_encodable()), "encodable")
     words = vocabulary(rows, "complete_function", options.vocabulary_size)
     return encode(rows, words, options).select(
         *KEY,
@@ -585,7 +586,7 @@ def ngram_pair_similarity(spark, sf):
     pairs = result_rows(v.result_documents(spark, sf)).select(
         F.col("problem").alias("id"), F.col("prediction").alias("candidate"), F.col("prompt").alias("reference")
     )
-    trivial = similarity.trivial_ngrams(v.table(spark, sf, "conversations"), "text", 50)
+    trivial = similarity.trivial_ngrams(v.conversations(spark, sf), "text", 50)
     return similarity.pair_similarity(pairs, trivial).select(
         "id",
         *[F.col(f"{s}_{n}").cast("bigint").alias(f"{s}_{n}") for n in range(1, 5) for s in ("matched", "total")],

@@ -107,6 +107,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "conversations"), "conv_id")
+
+
 def code_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CODE_FUNCTIONS, documents=documents(spark, sf_dir))
 
@@ -138,7 +142,7 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def result_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
         "SELECT name, prompt, tests, array(named_struct('program', program, 'status', status)) AS results FROM {r}",
-        r=spark.sql(RESULT_DOCUMENTS, conversations=table(spark, sf_dir, "conversations")),
+        r=spark.sql(RESULT_DOCUMENTS, conversations=conversations(spark, sf_dir)),
     )
 
 

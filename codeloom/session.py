@@ -65,3 +65,11 @@ def spread(df: DataFrame, *key: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *key)
+
+
+def partitioned(df: DataFrame, *key: str) -> DataFrame:
+    """Hash partitions in the session's number, for rows that are about to grow.
+
+    With a number given, small inputs are not merged into a few tasks first.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
