@@ -43,14 +43,15 @@ def read_source_tree(spark: SparkSession, root: str, glob: str = SOURCE_GLOB) ->
     return files.select(F.col("path").substr(start, F.length("path")).alias("path"), "content")
 
 
-def read_projects(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
-    """Nested project records from JSON arrays, or from Parquet.
+def read_projects(spark: SparkSession, path: str, lines: bool = False, mode: str = "FAILFAST") -> DataFrame:
+    """Nested project records from JSON arrays, from JSON lines, or from Parquet.
 
-    One JSON array is one task; convert such exports to Parquet once.
+    One JSON array is one task, however large; write such exports as Parquet or
+    lines once, which split.
     """
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.schema(schemas.PROJECTS).parquet(path)
-    return spark.read.json(path, schema=schemas.PROJECTS, multiLine=True, mode=mode)
+    return spark.read.json(path, schema=schemas.PROJECTS, multiLine=not lines, mode=mode)
 
 
 def read_prompts(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
@@ -70,9 +71,13 @@ def read_result_documents(spark: SparkSession, root: str, mode: str = "FAILFAST"
     )
 
 
-def read_results(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
-    """Exported result rows, reduced to ``problem`` and ``passed``."""
-    rows = spark.read.json(path, schema=schemas.RESULTS, multiLine=True, mode=mode)
+def read_results(spark: SparkSession, path: str, lines: bool = True, mode: str = "FAILFAST") -> DataFrame:
+    """Exported result rows, reduced to ``problem`` and ``passed``.
+
+    Records stand one per line or in an array on one line; an array that is
+    spread over lines needs ``lines=False``.
+    """
+    rows = spark.read.json(path, schema=schemas.RESULTS, multiLine=not lines, mode=mode)
     return rows.select("problem", "passed")
 
 

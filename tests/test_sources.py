@@ -3,7 +3,6 @@ import json
 import zipfile
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from codeloom.operators import filters as p
@@ -89,8 +88,8 @@ def test_project_json_round_trip(spark, sf, tmp_path):
     array = tmp_path / "array.json"
     array.write_text(json.dumps(lines), encoding="utf-8")
     expected = sorted(map(str, functions.select("author", "project", "signature", "body", "line_number").collect()))
-    for path in (array, tmp_path / "p.parquet"):
-        back = jobs.functions_of(readers.read_projects(spark, str(path)))
+    for path, lines_ in ((array, False), (tmp_path / "json", True), (tmp_path / "p.parquet", False)):
+        back = jobs.functions_of(readers.read_projects(spark, str(path), lines_))
         rows = back.select("author", "project", "signature", "body", "line_number").collect()
         assert sorted(map(str, rows)) == expected
 
@@ -98,7 +97,7 @@ def test_project_json_round_trip(spark, sf, tmp_path):
 def test_malformed_json_fails(spark, tmp_path):
     path = tmp_path / "prompts.jsonl"
     path.write_text('{"prompt": "a", "x": 1}\n{"prompt": \n')
-    with pytest.raises(PySparkException):
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
         readers.read_prompts(spark, str(path)).collect()
     path.write_text('{"prompt": "a", "x": 1}\n')
     assert [tuple(r) for r in readers.read_prompts(spark, str(path)).collect()] == [("a",)]
@@ -120,6 +119,10 @@ def test_results_to_p_value(spark, tmp_path):
         assert {r["prediction"] for r in rows.collect()} == {"body0", "body1", "body2"}
     row = jobs.compare_runs(spark, str(tmp_path / "a.json"), str(tmp_path / "b.json")).first()
     assert tuple(row) == (1, 1, 1, 0, 1.0)
+    array = tmp_path / "array.json"
+    for text, lines in (('[{"problem": "p", "passed": true}, {"problem": "q"}]', True), ('[\n{"problem":\n"p"}, {}]', False)):
+        array.write_text(text)
+        assert readers.read_results(spark, str(array), lines).count() == 2
 
 
 def test_result_without_programs(spark):
