@@ -82,7 +82,7 @@ INNER = "\ufdd0"
 # ------------------------------------------------------------------------------
 
 
-def _newlines(c: Column) -> Column:
+def newlines(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n")))
 
 
@@ -106,7 +106,7 @@ def definitions(content: Column, segment: str = SEGMENT, definition: str = DOCUM
         module = F.nullif(F.regexp_extract(s, MODULE, 1), F.lit(""))
         record = F.struct(acc["line"].alias("line"), acc["module"].alias("module"), s.alias("text"))
         return F.struct(
-            (acc["line"] + _newlines(s)).cast("int").alias("line"),
+            (acc["line"] + newlines(s)).cast("int").alias("line"),
             F.coalesce(module, acc["module"]).alias("module"),
             F.when(F.rlike(s, F.lit("^" + definition)), F.array_append(acc["found"], record))
             .otherwise(acc["found"])
@@ -118,7 +118,7 @@ def definitions(content: Column, segment: str = SEGMENT, definition: str = DOCUM
 
 def has_unclosed_function(content: Column) -> Column:
     """A function header without a closing ``end``."""
-    return F.exists(segments(t.unify_newlines(content)), lambda s: F.rlike(s, F.lit(OPEN_HEAD)))
+    return F.exists(segments(t.unifynewlines(content)), lambda s: F.rlike(s, F.lit(OPEN_HEAD)))
 
 
 def mask_inner_ends(content: Column) -> Column:
@@ -204,7 +204,7 @@ def extract_functions(files: DataFrame, end_rule: str = "first") -> DataFrame:
     ``begin ... end`` block. Documentation is the docstring before the header,
     else the run of comments before it; blank lines may stand between.
     """
-    content = t.unify_newlines(F.col("content").cast("string"))
+    content = t.unifynewlines(F.col("content").cast("string"))
     if end_rule == "balanced":
         content = mask_inner_ends(content)
     elif end_rule != "first":
@@ -275,7 +275,7 @@ def extract_functions(files: DataFrame, end_rule: str = "first") -> DataFrame:
         .otherwise(one_line["comments"])
         .alias("inline_comments"),
         F.col("path").alias("file_path"),
-        (F.col("line") + _newlines(F.col("lead"))).cast("int").alias("line_number"),
+        (F.col("line") + newlines(F.col("lead"))).cast("int").alias("line_number"),
         kind.alias("type"),
         "module",
     )

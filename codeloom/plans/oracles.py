@@ -466,7 +466,7 @@ WITH placed AS (
   FROM snippets),
 expected AS (
   SELECT path AS file_path, string_split(path, '/')[1] AS author, string_split(path, '/')[2] AS project,
-    CAST(ln AS BIGINT) AS line_number, kind, inner_code,
+    CAST(ln AS BIGINT) AS line_number, kind, inner_code, doc_id % 4 = 0 AS has_doc, lead AS quoted_text,
     CASE WHEN kind IN (0, 1) THEN 'single-line' WHEN kind = 2 THEN 'anonymous' ELSE 'basic' END AS type,
     CASE kind WHEN 0 THEN name || '(x) =' WHEN 1 THEN name || '(x, y) = begin'
       WHEN 2 THEN 'Anonymous Function assigned to ' || name || '(a, b) ='
@@ -496,6 +496,22 @@ oracle(
           FROM expected WHERE type = 'basic'""",
     "snippets",
 )
+oracle(
+    "extract_syntax",
+    EXPECTED
+    + rf""", shaped AS (
+      SELECT *, CASE WHEN kind IN (3, 4) OR kind > 4 THEN 'basic' WHEN kind = 2 THEN 'anonymous' ELSE 'single-line' END AS t,
+        regexp_extract(body, '(?s)^begin\n(.*)$', 1) AS block FROM expected)
+    SELECT file_path, line_number, t AS type,
+      CASE kind WHEN 0 THEN replace(signature, ' =', '') WHEN 1 THEN replace(signature, ' = begin', '')
+        WHEN 2 THEN regexp_extract(signature, 'to (\w+)', 1) || ' = (a, b) -> a * b' ELSE signature END AS signature,
+      md5(CASE WHEN has_doc AND kind <> 2 THEN {strip('quoted_text')} ELSE '' END) AS doc_md5,
+      md5(CASE kind WHEN 0 THEN body WHEN 2 THEN 'a * b' WHEN 1 THEN 'begin' || {NL} || '  ' || block
+        ELSE {join_lines(f"list_transform({lines('inner_code')}, lambda l: {strip('l')})")} || {NL} || 'end' END) AS body_md5,
+      CASE WHEN kind IN (0, 2) THEN '' WHEN kind = 1 THEN '# add' ELSE comments END AS comments
+    FROM shaped WHERE kind <> 3""",
+    "snippets",
+)
 oracle(
     "module_attribution",
     EXPECTED

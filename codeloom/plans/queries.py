@@ -33,6 +33,7 @@ from codeloom.operators.evaluate import (
     sample_rows,
 )
 from codeloom.operators.extract import extract_functions, segments
+from codeloom.operators.extract_syntax import extract_by_syntax
 from codeloom.operators.metrics import (
     corpus_totals,
     flatten_projects,
@@ -422,6 +423,19 @@ def extract_balanced(spark, sf):
     )
 
 
+@query
+def extract_syntax(spark, sf):
+    return extract_by_syntax(v.code_bundles(spark, sf)).select(
+        "file_path",
+        F.col("line_number").cast("bigint").alias("line_number"),
+        "type",
+        "signature",
+        F.md5("documentation").alias("doc_md5"),
+        F.md5("body").alias("body_md5"),
+        joined(F.col("inline_comments")).alias("comments"),
+    )
+
+
 @query
 def module_attribution(spark, sf):
     files = v.code_bundles(spark, sf).withColumn(

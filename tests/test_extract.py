@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators.extract import extract_functions, has_unclosed_function, segments
+from codeloom.operators.extract_syntax import extract_by_syntax
 
 
 @pytest.fixture
@@ -129,3 +130,38 @@ def test_result_does_not_depend_on_partitions(spark, sf):
     files = code_bundles(spark, sf)
     few, many = (set(map(str, extract_functions(files.repartition(n)).collect())) for n in (1, 7))
     assert few == many and few
+
+
+@pytest.fixture
+def by_syntax(spark):
+    def run(source):
+        files = spark.createDataFrame([("a/p/src/x.jl", source)], "path string, content string")
+        return extract_by_syntax(files).orderBy("line_number").collect()
+
+    return run
+
+
+def test_syntax_functions(by_syntax):
+    source = (
+        'module M\n"""doc"""\n  function f(x)::Int where T # h\n    if x\n      1 # c\n    end\n  end # f\n'
+        "function g(x) x end\nfunction Base.show(io)\n  h(x) = 1\nend\nfunction test_f(x)\nend\n"
+    )
+    f, g = by_syntax(source)
+    assert (f["signature"], f["documentation"], f["line_number"]) == ("function f(x)", '"""doc"""', 3)
+    assert f["body"] == "if x\n1 # c\nend\nend"
+    assert (f["inline_comments"], f["module"], f["type"]) == (["# h", "# c"], "M", "basic")
+    assert (g["signature"], g["body"]) == ("function g(x)", "")
+
+
+def test_syntax_assignments(by_syntax):
+    source = (
+        '"""doc"""\nf(x) = x + 1 # c\n"""lost"""\n# aside\nconst g = map(a -> a, b) # d\nh(x) = a -> x\n'
+        "i(x) == 1\nj = 3\ntest(x) = 1\ntester = x -> 1\nk(x) = begin\n  x # e\nend\n"
+    )
+    f, g, h, tester, k = by_syntax(source)
+    assert (f["signature"], f["body"], f["documentation"]) == ("f(x)", "x + 1", '"""doc"""')
+    assert f["inline_comments"] == []
+    assert (g["type"], g["signature"], g["body"]) == ("anonymous", "g = map(a -> a, b)", "a, b)")
+    assert (h["type"], h["body"], h["documentation"]) == ("anonymous", "x", "")
+    assert tester["signature"] == "tester = x -> 1"
+    assert (k["body"], k["inline_comments"]) == ("begin\n  x # e\nend", ["# e"])
