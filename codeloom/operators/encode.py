@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as t
-from codeloom.functions.tokens import Specials, count_tokens, tokens
+from codeloom.functions.tokens import Specials, count_tokens, tokens, vocabulary_ids
 from codeloom.operators import filters as p
 from codeloom.operators.dedup import by_text
 from codeloom.operators.sample import SEED, exact_sample
 from codeloom.schemas import KEY
+from codeloom.session import materialize
+
+#: Vocabularies up to this size are sent to the tasks.
+LOOKUP_LIMIT = 500_000
 
 
 @dataclass(frozen=True)
@@ -67,7 +71,9 @@ def prepare(functions: DataFrame, prompts: DataFrame, options: EncodeOptions = E
     rows = p.without_benchmark_names(rows.where(p.is_documented_basic()), prompts)
     doc = t.strip_signature(F.col("documentation"), F.col("signature"))
     rows = rows.withColumn("documentation", t.first_line(doc) if options.first_line else doc)
-    rows = exact_sample(rows, options.fraction, options.seed)
+    if options.fraction < 1:
+        # The sample reads its input three times, twice for the keys alone.
+        rows = exact_sample(materialize(rows, "cleaned"), options.fraction, options.seed)
     return with_texts(rows, options.specials).where(
         is_encodable(p.MAX_TOKENS, options.min_doc_tokens, options.specials)
     )
@@ -107,10 +113,39 @@ def encode(
 ) -> DataFrame:
     """``input_ids``, ``attention_mask`` and ``labels`` of fixed length per row.
 
+    A vocabulary of up to ``LOOKUP_LIMIT`` tokens, checked here, is sent to the
+    tasks, and every row is encoded where it lies. A larger one is joined.
+    """
+    sp = options.specials
+    head = vocab.select("token", "id").limit(LOOKUP_LIMIT + 1).collect()
+    if len(head) > LOOKUP_LIMIT:
+        return encode_by_join(rows, vocab, options, key)
+    token_ids = vocabulary_ids({r["token"]: r["id"] for r in head}, sp.id_of(sp.unk))
+    sides = [
+        token_ids(F.slice(tokens(F.col(c), sp), 1, options.max_length)).alias(s) for s, c in _sides(options)
+    ]
+    return rows.select(*key, *sides).select(
+        *key, *fixed_length([s for s, _ in _sides(options)], options.max_length, sp.id_of(sp.eos))
+    )
+
+
+def _sides(options: EncodeOptions) -> list[tuple[str, str]]:
+    if options.simple_input:
+        return [("x", "simple_input"), ("y", "simple_output")]
+    return [("x", "complete_function")]
+
+
+def encode_by_join(
+    rows: DataFrame,
+    vocab: DataFrame,
+    options: EncodeOptions = EncodeOptions(),
+    key: list[str] = KEY,
+) -> DataFrame:
+    """As ``encode``, for a vocabulary of any size.
+
     Tokens past ``max_length`` are cut before anything else, so a row explodes
-    into a bounded number of tokens. The vocabulary has a fixed size and is
-    broadcast by the plan as long as that size is below its threshold; the ids
-    of a row are put together before the shuffle.
+    into a bounded number of tokens, and the ids of a row come together again
+    before the shuffle.
     """
     sp, length = options.specials, options.max_length
 
@@ -120,9 +155,7 @@ def encode(
             cut, lambda x, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), x.alias("token"))
         )
 
-    parts = positions("x", "simple_input" if options.simple_input else "complete_function")
-    if options.simple_input:
-        parts = F.concat(parts, positions("y", "simple_output"))
+    parts = F.concat(*[positions(s, c) for s, c in _sides(options)])
     known = (
         rows.select(*key, F.inline_outer(parts))
         .join(vocab.select("token", "id"), "token", "left")
@@ -135,7 +168,7 @@ def encode(
     def ids(column: str) -> Column:
         return F.transform(F.array_sort(column), lambda r: r["id"])
 
-    sides = ["x", "y"] if options.simple_input else ["x"]
+    sides = [s for s, _ in _sides(options)]
     grouped = known.groupBy(*key).agg(*[collected(s).alias(s) for s in sides]).select(
         *key, *[ids(s).alias(s) for s in sides]
     )
@@ -167,7 +200,6 @@ def encode_subword(
     key: list[str] = KEY,
 ) -> DataFrame:
     """As ``encode`` with the ids of a given tokenizer: no vocabulary, no shuffle."""
-    columns = ["simple_input", "simple_output"] if options.simple_input else ["complete_function"]
-    sides = ["x", "y"][: len(columns)]
-    encoded = rows.select(*key, *[token_ids(F.col(c)).alias(s) for c, s in zip(columns, sides)])
-    return encoded.select(*key, *fixed_length(sides, options.max_length, pad))
+    sides = _sides(options)
+    encoded = rows.select(*key, *[token_ids(F.col(c)).alias(s) for s, c in sides])
+    return encoded.select(*key, *fixed_length([s for s, _ in sides], options.max_length, pad))

@@ -56,7 +56,7 @@ def _plain_lines(c: Column) -> Column:
 
 def extract_by_syntax(files: DataFrame) -> DataFrame:
     """``files(path, content)`` to flat functions; tests are left out by their signatures."""
-    content = mask_inner_ends(t.unifynewlines(F.col("content").cast("string")))
+    content = mask_inner_ends(t.unify_newlines(F.col("content").cast("string")))
     found = (
         files.select("path", F.explode(definitions(content, SEGMENT, DOCUMENTED)).alias("d"))
         .select("path", "d.line", "d.module", F.replace("d.text", F.lit(INNER), F.lit("")).alias("text"))

@@ -185,6 +185,17 @@ def test_encoding(spark, functions):
     assert simple["labels"][3:] == [0] * 5
 
 
+@pytest.mark.parametrize("simple", [False, True])
+def test_lookup_and_join_encode_alike(spark, sf, monkeypatch, simple):
+    rows = with_texts(views.code_functions(spark, sf))
+    words, options = vocabulary(rows, "complete_function", 100), EncodeOptions(simple_input=simple, max_length=300)
+    looked_up = sorted(map(str, encode(rows, words, options).collect()))
+    monkeypatch.setattr("codeloom.operators.encode.LOOKUP_LIMIT", 10)
+    joined = encode(rows, words, options)
+    assert "Join" in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, joined.collect())) == looked_up
+
+
 def test_prepare_order(spark, functions):
     prompts = spark.createDataFrame([("function z(x)",)], "prompt string")
     doc = " ".join(["word"] * 12)
