@@ -51,7 +51,7 @@ def is_utf8(content: Column) -> Column:
     return F.is_valid_utf8(content.cast("string"))
 
 
-def reject_reason(path: Column, content: Column, limit: int = MAX_FILE_LINES) -> Column:
+def reject_reason(content: Column, limit: int = MAX_FILE_LINES) -> Column:
     """Why a source file is skipped, or null if it is not."""
     text = content.cast("string")
     return (

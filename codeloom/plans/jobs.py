@@ -53,15 +53,19 @@ def encode_corpus(
     tokenizer_file: str | None = None,
     pad: int = 0,
     force: bool = False,
+    input_version: str | None = None,
 ) -> DataFrame:
     """Encoded training examples, reused if the same input and options were encoded before.
 
+    ``input_version`` names the state of the input, as a table version does.
+    Without it the input is hashed, which reads it once.
+
     Without a tokenizer file the vocabulary is counted on the prepared corpus.
     The prepared corpus is written once, as the count and the encoding both read it.
     """
     spark = functions.sparkSession
-    marks = f"{writers.fingerprint(functions)}|{writers.fingerprint(prompts)}|{tokenizer_file}"
-    path = writers.encoded_path(root, label, options, marks)
+    version = input_version or f"{writers.fingerprint(functions)}|{writers.fingerprint(prompts)}"
+    path = writers.encoded_path(root, label, options, f"{version}|{tokenizer_file}")
 
     def build() -> DataFrame:
         rows = materialize(prepare(functions, prompts, options), "prepared")

@@ -30,17 +30,26 @@ def read_source_tree(spark: SparkSession, root: str, glob: str = SOURCE_GLOB) ->
 
     The size condition is pushed into the reader, which then opens no larger file.
     """
+    return _tree(spark, root, glob).where(F.col("length") <= MAX_FILE_BYTES).select("path", "content")
+
+
+def read_oversized(spark: SparkSession, root: str, glob: str = SOURCE_GLOB) -> DataFrame:
+    """``(path, reason)`` of files that no row can hold, for the table of rejects; opens none."""
+    large = _tree(spark, root, glob).where(F.col("length") > MAX_FILE_BYTES)
+    return large.select("path", F.lit("too large").alias("reason"))
+
+
+def _tree(spark: SparkSession, root: str, glob: str) -> DataFrame:
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .load(root)
-        .where(F.col("length") <= MAX_FILE_BYTES)
     )
     # The reader shows absolute URIs; what follows the root is the path inside the tree.
     folder = urlparse(root).path.rstrip("/") + "/"
     start = F.locate(folder, F.col("path")) + len(folder)
-    return files.select(F.col("path").substr(start, F.length("path")).alias("path"), "content")
+    return files.withColumn("path", F.col("path").substr(start, F.length("path")))
 
 
 def read_projects(spark: SparkSession, path: str, lines: bool = False, mode: str = "FAILFAST") -> DataFrame:

@@ -45,9 +45,13 @@ def write_files(files: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def rejects(files: DataFrame, limit: int = p.MAX_FILE_LINES) -> DataFrame:
-    """``(path, reason)`` of the files that extraction skips."""
-    reason = p.reject_reason(F.col("path"), F.col("content"), limit)
-    return files.select("path", reason.alias("reason")).where("reason is not null")
+    """``(path, reason)`` of the files that extraction skips.
+
+    Exploding the one reason or none judges each file once; a filter on the
+    reason would be pushed down and judge it twice.
+    """
+    reason = p.reject_reason(F.col("content"), limit)
+    return files.select("path", F.explode(F.array_compact(F.array(reason))).alias("reason"))
 
 
 def write_results(rows: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -41,9 +41,15 @@ def test_repositories(spark, tmp_path):
 
 def test_source_tree(spark, tree):
     files = {r["path"]: bytes(r["content"]) for r in readers.read_source_tree(spark, tree).collect()}
-    assert files == {k: v for k, v in SOURCES.items() if k.endswith(".jl") and "/.git/" not in k} | {
-        k: v for k, v in SOURCES.items() if "/.git/" in k and k in files
-    }
+    assert files == {k: v for k, v in SOURCES.items() if k.endswith(".jl")}
+
+
+def test_files_beyond_a_row_are_reported(spark, tree, monkeypatch):
+    monkeypatch.setattr(readers, "MAX_FILE_BYTES", 30)
+    kept = {r["path"] for r in readers.read_source_tree(spark, tree).collect()}
+    left = {tuple(r) for r in readers.read_oversized(spark, tree).collect()}
+    assert left == {(k, "too large") for k, v in SOURCES.items() if len(v) > 30 and k.endswith(".jl")}
+    assert not kept & {path for path, _ in left}
 
 
 def test_archives(spark, tmp_path):
