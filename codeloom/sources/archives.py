@@ -15,12 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.schemas import FILES
+from codeloom.sources.storage import locate
 
 
 def _open(uri: str):
-    import pyarrow.fs as fs
-
-    system, path = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+    system, path = locate(uri)
     return zipfile.ZipFile(system.open_input_file(path))
 
 

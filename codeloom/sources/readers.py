@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from urllib.parse import urlparse
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom import schemas
+from codeloom.session import partitioned
+from codeloom.sources.storage import locate
 
 # Fixed values -----------------------------------------------------------------
 
-SOURCE_GLOB = "*.jl"
+SOURCE_SUFFIX = ".jl"
 RESULT_GLOB = "*.results.json.gz"
 #: A row holds one file, and Java arrays end here.
 MAX_FILE_BYTES = 2**31 - 64
@@ -25,31 +29,51 @@ def read_repositories(spark: SparkSession, path: str) -> DataFrame:
     return header.select(F.col("name").cast("string"))
 
 
-def read_source_tree(spark: SparkSession, root: str, glob: str = SOURCE_GLOB) -> DataFrame:
-    """``files(path, content)`` below a folder, paths relative to it: ``author/project/...``.
+def list_source_tree(spark: SparkSession, root: str, suffix: str = SOURCE_SUFFIX) -> DataFrame:
+    """``(path, size)`` of the files below a folder, paths relative to it: ``author/project/...``.
 
-    The size condition is pushed into the reader, which then opens no larger file.
+    The driver lists the first level only, tasks list one author each. Spark's own
+    file listing would skip names that start with ``_`` or ``.``, which are
+    ordinary source files here.
     """
-    return _tree(spark, root, glob).where(F.col("length") <= MAX_FILE_BYTES).select("path", "content")
+    system, base = locate(root)
+    authors = [(i.path,) for i in system.get_file_info(fs.FileSelector(base)) if i.type == fs.FileType.Directory]
+    start = len(base.rstrip("/")) + 1
 
+    def list_author(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, _ = locate(root)
+        for batch in batches:
+            for folder in batch["folder"]:
+                found = system.get_file_info(fs.FileSelector(folder, recursive=True))
+                files = [(i.path[start:], i.size) for i in found if i.is_file and i.path.endswith(suffix)]
+                yield pd.DataFrame(files, columns=["path", "size"])
 
-def read_oversized(spark: SparkSession, root: str, glob: str = SOURCE_GLOB) -> DataFrame:
-    """``(path, reason)`` of files that no row can hold, for the table of rejects; opens none."""
-    large = _tree(spark, root, glob).where(F.col("length") > MAX_FILE_BYTES)
-    return large.select("path", F.lit("too large").alias("reason"))
+    folders = partitioned(spark.createDataFrame(authors, "folder string"), "folder")
+    return folders.mapInPandas(list_author, "path string, size bigint")
 
 
-def _tree(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .load(root)
-    )
-    # The reader shows absolute URIs; what follows the root is the path inside the tree.
-    folder = urlparse(root).path.rstrip("/") + "/"
-    start = F.locate(folder, F.col("path")) + len(folder)
-    return files.withColumn("path", F.col("path").substr(start, F.length("path")))
+def read_source_tree(spark: SparkSession, root: str, suffix: str = SOURCE_SUFFIX) -> DataFrame:
+    """``files(path, content)`` below a folder.
+
+    Files are spread by their own path, so an author with most of the files still
+    fills the cluster.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = locate(root)
+        for batch in batches:
+            for path in batch["path"]:
+                with system.open_input_file(f"{base.rstrip('/')}/{path}") as file:
+                    yield pd.DataFrame({"path": [path], "content": [file.read()]})
+
+    small = list_source_tree(spark, root, suffix).where(F.col("size") <= MAX_FILE_BYTES)
+    return partitioned(small.select("path"), "path").mapInPandas(read, schemas.FILES)
+
+
+def read_oversized(spark: SparkSession, root: str, suffix: str = SOURCE_SUFFIX) -> DataFrame:
+    """``(path, reason)`` of files that no row can hold, for the table of rejects; opens none."""
+    large = list_source_tree(spark, root, suffix).where(F.col("size") > MAX_FILE_BYTES)
+    return large.select("path", F.lit("too large").alias("reason"))
 
 
 def read_projects(spark: SparkSession, path: str, lines: bool = False, mode: str = "FAILFAST") -> DataFrame:

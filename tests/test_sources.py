@@ -19,6 +19,7 @@ SOURCES = {
     "dev1/A.jl/.git/h.jl": b"g(x) = 1\n",
     "dev2/B c.jl/b+c%20.jl": "h(x) = 'é' # ü\n".encode(),
     "dev2/B c.jl/bad.jl": b"k(x) = 1 \xff\n",
+    "dev2/B c.jl/_hidden/.x/_y.jl": b"# no function\n",
     "dev2/B c.jl/readme.md": b"f(x) = 1\n",
 }
 
@@ -141,7 +142,7 @@ def test_result_without_programs(spark):
 
 def test_cleaned_files_table(spark, tree, tmp_path):
     writers.write_files(readers.read_source_tree(spark, tree), str(tmp_path / "files"))
-    assert spark.read.parquet(str(tmp_path / "files")).count() == 4
+    assert spark.read.parquet(str(tmp_path / "files")).count() == 5
 
 
 def test_encoded_tables_are_reused(spark, sf, tmp_path):
