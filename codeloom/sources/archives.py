@@ -12,7 +12,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from codeloom.schemas import FILES
 from codeloom.sources.storage import locate
