@@ -1,16 +1,10 @@
-"""Tokens of a text: a regex tokenizer on the JVM, or a given sub-word vocabulary."""
+"""Tokens of a text: a regex tokenizer on the JVM."""
 
 from __future__ import annotations
 
-import os
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,40 +60,3 @@ def ngrams(token_array: Column, n: int) -> Column:
         return F.concat_ws(" ", first, *[F.get(token_array, i + j) for j in range(1, n)])
 
     return F.transform(F.slice(token_array, F.lit(1), F.greatest(F.size(token_array) - n + 1, F.lit(0))), gram)
-
-
-def vocabulary_ids(vocabulary: dict[str, int], unknown: int):
-    """A function Column -> ``array<int>`` that looks up arrays of tokens.
-
-    Works on whole Arrow batches: one hash lookup over the tokens of all rows.
-    """
-    known, numbers = pa.array(vocabulary.keys(), pa.string()), pa.array(vocabulary.values(), pa.int32())
-
-    @F.arrow_udf("array<int>")
-    def ids(rows: pa.Array) -> pa.Array:
-        sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
-        borders = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-        found = numbers.take(pc.index_in(rows.flatten(), value_set=known))
-        return pa.ListArray.from_arrays(borders, pc.fill_null(found, unknown))
-
-    return ids
-
-
-def subword_ids(tokenizer_file: str):
-    """A function Column -> ``array<int>`` of ids from a tokenizer file.
-
-    The file must lie at the same path on every executor. Arrow batches keep the
-    rows of a task together; the file is read once per task.
-    """
-
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark owns the cores
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        for texts in batches:
-            encoded = tokenizer.encode_batch(texts.tolist(), add_special_tokens=False)
-            yield pd.Series([e.ids for e in encoded])
-
-    return ids

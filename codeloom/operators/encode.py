@@ -8,16 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as t
-from codeloom.functions.tokens import Specials, count_tokens, tokens, vocabulary_ids
+from codeloom.functions.tokens import Specials, count_tokens, tokens
 from codeloom.operators import filters as p
 from codeloom.operators.dedup import by_text
 from codeloom.operators.sample import SEED, exact_sample
-from codeloom.schemas import KEY
 from codeloom.session import materialize
 
-#: Vocabularies up to this size are sent to the tasks.
-LOOKUP_LIMIT = 500_000
-
 
 @dataclass(frozen=True)
 class EncodeOptions:
@@ -105,49 +101,19 @@ def vocabulary(texts: DataFrame, column: str, size: int, specials: Specials = Sp
     return texts.sparkSession.range(1).select(F.inline(markers)).unionByName(ranked)
 
 
-def encode(
-    rows: DataFrame,
-    vocab: DataFrame,
-    options: EncodeOptions = EncodeOptions(),
-    key: list[str] = KEY,
-) -> DataFrame:
-    """``input_ids``, ``attention_mask`` and ``labels`` of fixed length per row.
-
-    A vocabulary of up to ``LOOKUP_LIMIT`` tokens, checked here, is sent to the
-    tasks, and every row is encoded where it lies. A larger one is joined.
-    """
-    sp = options.specials
-    head = vocab.select("token", "id").limit(LOOKUP_LIMIT + 1).collect()
-    if len(head) > LOOKUP_LIMIT:
-        return encode_by_join(rows, vocab, options, key)
-    token_ids = vocabulary_ids({r["token"]: r["id"] for r in head}, sp.id_of(sp.unk))
-    sides = [
-        token_ids(F.slice(tokens(F.col(c), sp), 1, options.max_length)).alias(s) for s, c in _sides(options)
-    ]
-    return rows.select(*key, *sides).select(
-        *key, *fixed_length([s for s, _ in _sides(options)], options.max_length, sp.id_of(sp.eos))
-    )
-
-
-def _sides(options: EncodeOptions) -> list[tuple[str, str]]:
-    if options.simple_input:
-        return [("x", "simple_input"), ("y", "simple_output")]
-    return [("x", "complete_function")]
+#: Numbers the rows while they are encoded.
+ROW = "__encode_row__"
 
 
-def encode_by_join(
-    rows: DataFrame,
-    vocab: DataFrame,
-    options: EncodeOptions = EncodeOptions(),
-    key: list[str] = KEY,
-) -> DataFrame:
-    """As ``encode``, for a vocabulary of any size.
+def encode(rows: DataFrame, vocab: DataFrame, options: EncodeOptions = EncodeOptions()) -> DataFrame:
+    """``rows`` with ``input_ids``, ``attention_mask`` and ``labels`` of fixed length.
 
-    Tokens past ``max_length`` are cut before anything else, so a row explodes
-    into a bounded number of tokens, and the ids of a row come together again
-    before the shuffle.
+    Rows get a number that is written with them, so equal keys stay apart. Tokens
+    past ``max_length`` are cut before anything else: a row explodes into a bounded
+    number of tokens. The vocabulary is joined in the way its size calls for.
     """
     sp, length = options.specials, options.max_length
+    numbered = materialize(rows.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
     def positions(side: str, column: str) -> Column:
         cut = F.slice(tokens(F.col(column), sp), 1, length)
@@ -157,7 +123,7 @@ def encode_by_join(
 
     parts = F.concat(*[positions(s, c) for s, c in _sides(options)])
     known = (
-        rows.select(*key, F.inline_outer(parts))
+        numbered.select(ROW, F.inline(parts))
         .join(vocab.select("token", "id"), "token", "left")
         .withColumn("id", F.coalesce("id", F.lit(sp.id_of(sp.unk))))
     )
@@ -166,13 +132,29 @@ def encode_by_join(
         return F.collect_list(F.when(F.col("side") == side, F.struct("pos", "id")))
 
     def ids(column: str) -> Column:
-        return F.transform(F.array_sort(column), lambda r: r["id"])
+        found = F.transform(F.array_sort(column), lambda r: r["id"])
+        return F.coalesce(found, F.array().cast("array<int>"))
 
     sides = [s for s, _ in _sides(options)]
-    grouped = known.groupBy(*key).agg(*[collected(s).alias(s) for s in sides]).select(
-        *key, *[ids(s).alias(s) for s in sides]
+    grouped = known.groupBy(ROW).agg(*[collected(s).alias(s) for s in sides])
+    return (
+        numbered.join(grouped, ROW, "left")
+        .select(*rows.columns, *[ids(s).alias(s) for s in sides])
+        .select(*rows.columns, *fixed_length(sides, length, sp.id_of(sp.eos)))
     )
-    return grouped.select(*key, *fixed_length(sides, length, sp.id_of(sp.eos)))
+
+
+def encode_prepared_rows(rows: DataFrame, options: EncodeOptions = EncodeOptions()) -> DataFrame:
+    """Prepared rows, encoded with a vocabulary counted on them; they are written once, as both read them."""
+    rows = materialize(rows, "prepared")
+    words = vocabulary(rows, "complete_function", options.vocabulary_size, options.specials)
+    return encode(rows, materialize(words, "vocabulary"), options)
+
+
+def _sides(options: EncodeOptions) -> list[tuple[str, str]]:
+    if options.simple_input:
+        return [("x", "simple_input"), ("y", "simple_output")]
+    return [("x", "complete_function")]
 
 
 def fixed_length(sides: list[str], length: int, pad: int) -> list[Column]:
@@ -190,16 +172,3 @@ def fixed_length(sides: list[str], length: int, pad: int) -> list[Column]:
         mask.alias("attention_mask"),
         padded(F.col(sides[-1])).alias("labels"),
     ]
-
-
-def encode_subword(
-    rows: DataFrame,
-    token_ids,
-    pad: int,
-    options: EncodeOptions = EncodeOptions(),
-    key: list[str] = KEY,
-) -> DataFrame:
-    """As ``encode`` with the ids of a given tokenizer: no vocabulary, no shuffle."""
-    sides = _sides(options)
-    encoded = rows.select(*key, *[token_ids(F.col(c)).alias(s) for s, c in sides])
-    return encoded.select(*key, *fixed_length([s for s, _ in sides], options.max_length, pad))

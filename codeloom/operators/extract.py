@@ -125,25 +125,46 @@ def mask_inner_ends(content: Column) -> Column:
     """Mark every ``end`` inside a function that does not close the function.
 
     A running block depth decides: openers count up, ``end`` counts down, with
-    strings, comments and brackets left out, as ``a[end]`` or a comprehension
-    closes nothing. After this the first unmarked ``end`` is the right one.
+    strings, comments and brackets left out, also brackets that span lines, as
+    ``a[end]`` or a comprehension closes nothing. After this the first unmarked
+    ``end`` is the right one. If a header in the first column shows that a
+    function was not closed, its last ``end`` closes it, so no file is lost.
     """
     words = "|".join(w.replace(" ", r"\s+") for w in BLOCK_WORDS)
     opener = rf"\b(?:{words})\b"
 
-    def depth_change(line: Column) -> Column:
-        """Most lines have no block word and need no closer look."""
-        return F.when(F.rlike(line, F.lit(rf"\b(?:end|{words})\b")), change_in_code(line)).otherwise(0)
-
-    def change_in_code(line: Column) -> Column:
+    def bare(line: Column) -> Column:
+        """Code without strings, comments, and brackets that close on the line."""
         code = F.regexp_replace(line, r'"(?:[^"\\]|\\.)*+"|#.*', " ")
         for _ in range(3):
             code = F.regexp_replace(code, r"\[[^\[\]()]*+\]|\([^\[\]()]*+\)", " ")
+        return code
+
+    def change(code: Column, brackets: Column, after: Column) -> Column:
+        """Openers less ends, without what stands in brackets that span lines."""
         code = F.regexp_replace(code, rf"[:.](?:end|{words})\b", " ")
-        return F.regexp_count(code, F.lit(opener)) - F.regexp_count(code, F.lit(r"\bend\b"))
+        code = F.when(brackets > 0, F.regexp_replace(code, r"^.*[\])]", " ")).otherwise(code)
+        code = F.when(after > 0, F.regexp_replace(code, r"[\[(].*$", " ")).otherwise(code)
+        count = F.regexp_count(code, F.lit(opener)) - F.regexp_count(code, F.lit(r"\bend\b"))
+        return F.when((brackets > 0) & (after > 0), 0).otherwise(count)
+
+    def counted(line: Column, brackets: Column) -> Column:
+        """Brackets open after the line, and the change of depth; most lines need no closer look."""
+        code = bare(line)
+        net = F.regexp_count(code, F.lit(r"[\[(]")) - F.regexp_count(code, F.lit(r"[\])]"))
+        after = F.greatest(brackets + net, F.lit(0))
+        looked = F.struct(after.cast("int").alias("brackets"), change(code, brackets, after).cast("int").alias("depth"))
+        plain = F.struct(brackets.cast("int").alias("brackets"), F.lit(0).alias("depth"))
+        return F.when(F.rlike(line, F.lit(rf"\b(?:end|{words})\b|[\[\]()]")), looked).otherwise(plain)
+
+    def reopened(out: Column) -> Column:
+        """The last marked ``end`` without its mark: nothing else closed its function."""
+        last = F.array_max(F.transform(out, lambda x, i: F.when(F.startswith(x, F.lit(INNER)), i)))
+        return F.transform(out, lambda x, i: F.when(i == last, F.replace(x, F.lit(INNER), F.lit(""))).otherwise(x))
 
     start = F.struct(
         F.lit(0).alias("depth"),
+        F.lit(0).alias("brackets"),
         F.lit(-1).alias("function_depth"),
         F.lit(False).alias("in_doc"),
         F.expr("cast(array() as array<string>)").alias("out"),
@@ -153,17 +174,22 @@ def mask_inner_ends(content: Column) -> Column:
         quotes = F.regexp_count(line, F.lit('"""'))
         in_doc = acc["in_doc"] != (quotes % 2 == 1)
         quiet = acc["in_doc"] | in_doc | (quotes > 0)
-        outer = F.when(
-            ~quiet & (acc["function_depth"] < 0) & F.rlike(line, F.lit(rf"^{HS}*+function\b")), acc["depth"]
-        ).otherwise(acc["function_depth"])
-        depth = F.when(quiet, acc["depth"]).otherwise(acc["depth"] + depth_change(line))
+        # A header in the first column while a function is open: that one was never closed.
+        broken = ~quiet & (acc["function_depth"] >= 0) & F.rlike(line, F.lit(r"^function\b"))
+        before = F.when(broken, acc["function_depth"]).otherwise(acc["depth"])
+        is_head = ~quiet & (broken | (acc["function_depth"] < 0)) & F.rlike(line, F.lit(rf"^{HS}*+function\b"))
+        outer = F.when(is_head, before).otherwise(acc["function_depth"])
+        seen = counted(line, F.when(broken, 0).otherwise(acc["brackets"]))
+        depth = F.when(quiet, before).otherwise(before + seen["depth"])
         closes = (outer >= 0) & (depth <= outer)
         inner = (outer >= 0) & ~closes & F.rlike(line, F.lit(rf"^{END}"))
+        out = F.when(broken, reopened(acc["out"])).otherwise(acc["out"])
         return F.struct(
             depth.cast("int").alias("depth"),
+            F.when(quiet, acc["brackets"]).otherwise(seen["brackets"]).cast("int").alias("brackets"),
             F.when(closes, -1).otherwise(outer).cast("int").alias("function_depth"),
             in_doc.alias("in_doc"),
-            F.array_append(acc["out"], F.when(inner, F.concat(F.lit(INNER), line)).otherwise(line)).alias("out"),
+            F.array_append(out, F.when(inner, F.concat(F.lit(INNER), line)).otherwise(line)).alias("out"),
         )
 
     return F.aggregate(t.lines(content), start, step, lambda acc: F.array_join(acc["out"], "\n"))

@@ -51,14 +51,11 @@ def is_utf8(content: Column) -> Column:
     return F.is_valid_utf8(content.cast("string"))
 
 
-def reject_reason(content: Column, limit: int = MAX_FILE_LINES) -> Column:
-    """Why a source file is skipped, or null if it is not."""
+def reject_reason(content: Column, limit: int = MAX_FILE_LINES, unclosed: bool = True) -> Column:
+    """Why a source file is skipped, or null if it is not; ``unclosed``: functions must have an end."""
     text = content.cast("string")
-    return (
-        F.when(~is_utf8(content), "not utf-8")
-        .when(~fits_line_limit(text, limit), "too many lines")
-        .when(has_unclosed_function(text), "unclosed function")
-    )
+    reason = F.when(~is_utf8(content), "not utf-8").when(~fits_line_limit(text, limit), "too many lines")
+    return reason.when(has_unclosed_function(text), "unclosed function") if unclosed else reason
 
 
 # Repositories and functions ---------------------------------------------------

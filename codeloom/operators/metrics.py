@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.schemas import FUNCTION_FIELDS
-from codeloom.session import materialize
 
 # Fixed values -----------------------------------------------------------------
 
@@ -59,38 +58,20 @@ def _percent(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(0.0)).otherwise(part / F.nullif(whole, F.lit(0)) * 100)
 
 
-def project_records(functions: DataFrame, max_functions: int = 20_000) -> DataFrame:
-    """Nested records: one per project, or several parts for a large one.
+def project_records(functions: DataFrame, parts: int = 1) -> DataFrame:
+    """Nested records: ``parts`` for every project, as far as it has files for them.
 
-    A project of more than ``max_functions`` functions is spread over parts by a
-    hash of its file paths, so no project becomes one giant row; a file has at
-    most as many functions as the line limit allows. There are at most
-    ``n / max_functions`` such projects. They are written first, so that the
-    plan knows their size and broadcasts them only below its threshold.
+    A file goes to a part by a hash of its path. With many functions to a project
+    more parts keep the rows small; the number holds for all projects alike, so
+    what a reader sees does not depend on a project's size.
     """
-    key = ["author", "project"]
-    large = (
-        functions.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > max_functions)
-        .select(*key, F.ceil(F.col("n") / max_functions).alias("parts"))
-    )
-    large = materialize(large, "large-projects")
     bucket = F.conv(F.substring(F.md5(F.col("file_path")), 1, 8), 16, 10).cast("bigint")
-    part = F.coalesce(F.pmod(bucket, F.col("parts")), F.lit(0)).cast("int")
     fields = [f.name for f in FUNCTION_FIELDS if f.name in functions.columns]
-    order = [F.col("file_path"), F.col("line_number")]
-    record = F.struct(*order, F.struct(*fields).alias("function"))
+    record = F.struct("file_path", "line_number", F.struct(*fields).alias("function"))
     return (
-        functions.join(large, key, "left")
-        .withColumn("part", part)
-        .groupBy(*key, "part")
-        .agg(F.collect_list(record).alias("records"))
-        .select(
-            *key,
-            "part",
-            F.transform(F.array_sort("records"), lambda r: r["function"]).alias("functions"),
-        )
+        functions.groupBy("author", "project", F.pmod(bucket, F.lit(parts)).cast("int").alias("part"))
+        .agg(F.array_sort(F.collect_list(record)).alias("records"))
+        .select("author", "project", "part", F.transform("records", lambda r: r["function"]).alias("functions"))
     )
 
 

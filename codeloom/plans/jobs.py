@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.functions.tokens import subword_ids
+from codeloom.functions.text import path_part
 from codeloom.operators import filters as p
 from codeloom.operators.cluster import as_vectors, kmeans_sweep
 from codeloom.operators.curate import curate, curation_counters
-from codeloom.operators.encode import EncodeOptions, encode, encode_subword, prepare, vocabulary
+from codeloom.operators.encode import EncodeOptions, encode_prepared_rows, prepare
 from codeloom.operators.evaluate import mcnemar, result_rows
 from codeloom.operators.extract import extract_functions
+from codeloom.operators.extract_syntax import extract_by_syntax
 from codeloom.operators.metrics import corpus_totals, flatten_projects, function_type_metrics
 from codeloom.operators.sample import exact_sample
-from codeloom.session import materialize
 from codeloom.sources import readers, writers
 
 
@@ -25,11 +25,31 @@ def extractable(path: Column, content: Column) -> Column:
 
 
 def build_corpus(
-    files: DataFrame, target: str, end_rule: str = "first", first_authors: int | None = None
+    files: DataFrame,
+    target: str,
+    end_rule: str = "first",
+    first_authors: int | None = None,
+    profile: str = "text",
+    rejects: str | None = None,
 ) -> DataFrame:
-    """Source files to a table of functions; returns the table."""
-    kept = files.where(extractable(F.col("path"), F.col("content")))
-    functions = p.of_first_authors(extract_functions(kept, end_rule), first_authors)
+    """Source files to a table of functions; returns the table.
+
+    ``profile``: ``"text"``, or ``"syntax"``, which also leaves out files with a
+    function that nothing closes. Authors are capped by their files, before
+    anything is extracted. ``rejects`` names a table for ``(path, reason)`` of
+    the source files that are skipped.
+    """
+    if profile not in ("text", "syntax"):
+        raise ValueError(f"unknown profile: {profile}")
+    author = path_part(F.col("path"), 0)
+    files = p.of_first_authors(files.where(p.is_kept_source(F.col("path"))).withColumn("author", author), first_authors)
+    files = files.drop("author")
+    reason = p.reject_reason(F.col("content"), unclosed=profile == "syntax")
+    if rejects is not None:
+        skipped = files.select("path", F.explode(F.array_compact(F.array(reason))).alias("reason"))
+        skipped.write.mode("overwrite").parquet(rejects)
+    kept = files.where(reason.isNull())
+    functions = extract_by_syntax(kept) if profile == "syntax" else extract_functions(kept, end_rule)
     functions.write.mode("overwrite").parquet(target)
     return files.sparkSession.read.parquet(target)
 
@@ -50,8 +70,6 @@ def encode_corpus(
     root: str,
     label: str = "words",
     options: EncodeOptions = EncodeOptions(),
-    tokenizer_file: str | None = None,
-    pad: int = 0,
     force: bool = False,
     input_version: str | None = None,
 ) -> DataFrame:
@@ -60,19 +78,15 @@ def encode_corpus(
     ``input_version`` names the state of the input, as a table version does.
     Without it the input is hashed, which reads it once.
 
-    Without a tokenizer file the vocabulary is counted on the prepared corpus.
-    The prepared corpus is written once, as the count and the encoding both read it.
+    The vocabulary is counted on the prepared corpus. All columns of the functions
+    stay beside the ids.
     """
     spark = functions.sparkSession
     version = input_version or f"{writers.fingerprint(functions)}|{writers.fingerprint(prompts)}"
-    path = writers.encoded_path(root, label, options, f"{version}|{tokenizer_file}")
+    path = writers.encoded_path(root, label, options, version)
 
     def build() -> DataFrame:
-        rows = materialize(prepare(functions, prompts, options), "prepared")
-        if tokenizer_file is not None:
-            return encode_subword(rows, subword_ids(tokenizer_file), pad, options)
-        words = vocabulary(rows, "complete_function", options.vocabulary_size, options.specials)
-        return encode(rows, materialize(words, "vocabulary"), options)
+        return encode_prepared_rows(prepare(functions, prompts, options), options)
 
     return writers.reuse_or_write(spark, path, build, force)
 

@@ -205,9 +205,8 @@ oracle(
 oracle(
     "project_regroup",
     """WITH placed AS (
-      SELECT *, count(*) OVER (PARTITION BY author, project) AS n,
-        CAST('0x' || substr(md5(file_path), 1, 8) AS BIGINT) AS bucket FROM code_functions),
-    parts AS (SELECT *, CASE WHEN n > 5 THEN bucket % CAST(ceil(n / 5) AS BIGINT) ELSE 0 END AS part FROM placed)
+      SELECT *, CAST('0x' || substr(md5(file_path), 1, 8) AS BIGINT) AS bucket FROM code_functions),
+    parts AS (SELECT *, bucket % 3 AS part FROM placed)
     SELECT author, project, part, count(*) AS functions,
       md5(string_agg(file_path || ':' || md5(body), '|' ORDER BY file_path, line_number)) AS content_md5
     FROM parts GROUP BY author, project, part""",
@@ -587,14 +586,14 @@ def sample_rank(key: str) -> str:
 FUNCTION_RANK = sample_rank("author || chr(1) || project || chr(1) || file_path || chr(1) || line_number")
 
 
-def prepared_sql(doc: str, fraction: float, min_doc: int) -> str:
+def prepared_sql(doc: str, fraction: float, min_doc: int, out: str = "md5({}) AS complete_md5") -> str:
     return f"""WITH deduplicated AS (SELECT * FROM code_functions WHERE project <> 'HumanEval.jl'
       QUALIFY row_number() OVER (PARTITION BY documentation, signature, body ORDER BY {KEY}) = 1),
     chosen AS (SELECT {KEY}, signature, body, {doc} AS documentation FROM deduplicated
       WHERE {DOCUMENTED} AND {searched_name('signature')} NOT IN
         (SELECT {prompt_name('prompt')} AS n FROM prompts WHERE n IS NOT NULL)),
     sampled AS (SELECT *, row_number() OVER (ORDER BY {FUNCTION_RANK}) AS place, count(*) OVER () AS n FROM chosen)
-    SELECT {KEY}, md5({complete('documentation')}) AS complete_md5 FROM sampled
+    SELECT {KEY}, {out.format(complete('documentation'))} FROM sampled
     WHERE place <= round_even({fraction} * n, 0) AND {ENCODABLE.replace('>= 10', f'>= {min_doc}')}"""
 
 
@@ -605,6 +604,15 @@ oracle(
     "code_functions",
     "prompts",
 )
+oracle(
+    "encode_corpus",
+    f"""WITH rows AS ({prepared_sql(strip_signature(), 1.0, 10, "{} AS complete_function")}),
+    {vocabulary_sql('rows', 500)}, x AS ({ids('complete_function', 256)})
+    SELECT {KEY}, len(x.ids) AS used, md5({joined(padded('x.ids', 256))}) AS ids_md5,
+      md5({joined(padded('x.ids', 256))}) AS labels_md5 FROM x""",
+    "code_functions",
+    "prompts",
+)
 oracle(
     "exact_sample_35",
     f"""WITH ranked AS (SELECT {KEY}, row_number() OVER (ORDER BY {FUNCTION_RANK}) AS place, count(*) OVER () AS n

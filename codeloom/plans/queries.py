@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as t
-from codeloom.functions.tokens import count_tokens, subword_ids
+from codeloom.functions.tokens import count_tokens
 from codeloom.operators import filters as p
 from codeloom.operators import similarity
 from codeloom.operators.cluster import as_vectors, dispersion, kmeans_sweep, silhouette
@@ -17,7 +17,7 @@ from codeloom.operators.dedup import by_normalized_body, by_text
 from codeloom.operators.encode import (
     EncodeOptions,
     encode,
-    encode_subword,
+    encode_prepared_rows,
     is_encodable,
     prepare,
     vocabulary,
@@ -126,7 +126,7 @@ def short_annotated(spark, sf):
 
 @query
 def project_regroup(spark, sf):
-    records = project_records(v.code_functions(spark, sf), max_functions=5)
+    records = project_records(v.code_functions(spark, sf), parts=3)
     line = F.transform("functions", lambda f: F.concat_ws(":", f["file_path"], F.md5(f["body"])))
     return records.select(
         "author",
@@ -485,7 +485,11 @@ def vocab_build(spark, sf):
 def _encoded(spark, sf, options: EncodeOptions):
     rows = materialize(with_texts(v.code_functions(spark, sf)).where(is_encodable()), "encodable")
     words = vocabulary(rows, "complete_function", options.vocabulary_size)
-    return encode(rows, words, options).select(
+    return _digests(encode(rows, words, options))
+
+
+def _digests(encoded):
+    return encoded.select(
         *KEY,
         F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("used"),
         F.md5(joined(F.col("input_ids"))).alias("ids_md5"),
@@ -519,12 +523,11 @@ def encode_prepared_sampled(spark, sf):
 
 
 @query
-def encode_subwords(spark, sf):
-    """Ids of a public byte-level BPE vocabulary; needs its file on every executor."""
-    from public_tokenizers import path
-
-    rows = prepare(v.code_functions(spark, sf), v.prompts(spark, sf))
-    return encode_subword(rows, subword_ids(path("byte_bpe_50k.json")), pad=50256)
+def encode_corpus(spark, sf):
+    """The whole job but for the written result: prepare, count the vocabulary, encode."""
+    options = EncodeOptions(vocabulary_size=500, max_length=256)
+    rows = prepare(v.code_functions(spark, sf), v.prompts(spark, sf), options)
+    return _digests(encode_prepared_rows(rows, options))
 
 
 @query

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import os
 import tempfile
 import uuid
@@ -11,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, app: str = "codeloom") -> SparkSession:
-    """A session for tests and benchmarks on one machine."""
+    """A session for tests and benchmarks on one machine, with a folder of its own if the settings name none."""
     cores = os.cpu_count() or 8 if cpus == "*" else int(cpus)
-    return (
+    session = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -24,25 +23,17 @@ def local_session(cpus: int | str = 8, app: str = "codeloom") -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
-
-
-@functools.cache
-def _scratch() -> str:
-    return tempfile.mkdtemp(prefix="codeloom-")
+    if not session.conf.get("spark.checkpoint.dir", None):
+        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="codeloom-"))
+    return session
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names.
-
-    Only a local session may fall back to a temporary folder: on a cluster the
-    executors would not see it.
-    """
+    """The folder that ``spark.checkpoint.dir`` names; there is no other, as executors must share it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _scratch()
+    return folder
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,13 +60,8 @@ def write_results(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def encoded_path(root: str, label: str, options: EncodeOptions, fingerprint: str) -> str:
     """Where the encoded table of these options and this input lies."""
-    name = f"{options.fraction * 100:03.0f}"
-    if options.simple_input:
-        name += "_simple"
-    if options.first_line:
-        name += "_first_line"
-    digest = hashlib.md5(f"{fingerprint}|{options!r}".encode()).hexdigest()[:12]
-    return f"{root.rstrip('/')}/{label.replace('/', '_')}/{name}-{digest}"
+    digest = hashlib.sha256(f"{fingerprint}|{options!r}".encode()).hexdigest()[:24]
+    return f"{root.rstrip('/')}/{label}/{digest}"
 
 
 def fingerprint(df: DataFrame) -> str:
@@ -82,12 +76,13 @@ def fingerprint(df: DataFrame) -> str:
 def reuse_or_write(
     spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False
 ) -> DataFrame:
-    """The table at ``path`` if a run has finished it, else build and write it."""
-    if not force:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException as error:
-            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
+    """The table at ``path`` if a run has finished it, which its marker tells, else build and write it."""
+    if not force and _finished(spark, path):
+        return spark.read.parquet(path)
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def _finished(spark: SparkSession, path: str) -> bool:
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)

@@ -31,6 +31,7 @@ def ingest_available(
         spark.readStream.schema(FILES).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     )
     kept = files.where(extractable(F.col("path"), F.col("content")))
+    before = _batches(spark, checkpoint)
     query = (
         extract_functions(kept, end_rule)
         .writeStream.format("parquet")
@@ -40,4 +41,14 @@ def ingest_available(
         .start()
     )
     query.awaitTermination()
-    return len(query.recentProgress)
+    return _batches(spark, checkpoint) - before
+
+
+def _batches(spark: SparkSession, checkpoint: str) -> int:
+    """Batches that the checkpoint has as done: they are numbered, and old entries are purged."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(checkpoint, "commits")
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return 0
+    names = [s.getPath().getName() for s in system.listStatus(folder)]
+    return max((int(n) + 1 for n in names if n.isdigit()), default=0)

@@ -165,3 +165,26 @@ def test_syntax_assignments(by_syntax):
     assert (h["type"], h["body"], h["documentation"]) == ("anonymous", "x", "")
     assert tester["signature"] == "tester = x -> 1"
     assert (k["body"], k["inline_comments"]) == ("begin\n  x # e\nend", ["# e"])
+
+
+COMPREHENSION = "function f(x)\n y = [\n  i\n  for i in x\n ]\n y[end]\nend\n\nfunction g(x)\n if x\n  1\n end\n 2\nend\n"
+
+
+def test_balanced_brackets_that_span_lines(extract):
+    rows = extract(COMPREHENSION, end_rule="balanced")
+    assert [(r["signature"], r["body"].split("\n")[-1].strip()) for r in rows] == [
+        ("function f(x)", "y[end]"),
+        ("function g(x)", "2"),
+    ]
+
+
+def test_balanced_do_block_in_a_call(extract):
+    source = "function f(x)\n foo(\n  map(x) do i\n   i\n  end, 2)\n 3\nend\nfunction g(x)\n 1\nend\n"
+    assert [r["body"].split("\n")[-1].strip() for r in extract(source, end_rule="balanced")] == ["3", "1"]
+
+
+def test_balanced_keeps_what_follows_an_open_function(extract):
+    source = "function f(x)\n if x\n  1\n 2\nend\nfunction g(x)\n 3\nend\n"
+    rows = extract(source, end_rule="balanced")
+    assert [r["signature"] for r in rows] == ["function f(x)", "function g(x)"]
+    assert rows[1]["body"] == "3"

@@ -4,12 +4,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from codeloom.plans.oracles import ORACLES
+from codeloom.plans.queries import QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events "
     "documents embeddings pages benchmark labels conversations"
 ).split()
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +28,7 @@ def rows_of(columns, rows):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"encode_subwords", "kmeans_quality_sweep"}
+    assert set(QUERIES) - set(ORACLES) == {"kmeans_quality_sweep"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -39,11 +40,6 @@ def test_query(spark, sf, duck, name):
     assert rows_of(df.columns, df.collect()) == rows_of(columns, expected.fetchall())
 
 
-def test_encode_subwords(spark, sf):
-    pytest.importorskip("public_tokenizers")
-    rows = QUERIES["encode_subwords"](spark, sf).collect()
-    assert rows and all(len(r["input_ids"]) == 2048 for r in rows)
-
-
 def test_entry(spark):
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
     assert entry.entry(spark).count() > 0

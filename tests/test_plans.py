@@ -2,9 +2,8 @@
 
 import pytest
 
-from __spark_entry__ import queries
+from codeloom.plans.queries import QUERIES
 
-QUERIES = queries()
 NARROW = [
     "comment_cleanup", "body_normalized", "code_line_counts", "function_names", "good_doc_flags",
     "doc_strip_signature", "doc_first_line", "complete_functions", "documented_basic", "token_counts",
@@ -29,13 +28,8 @@ def test_narrow_queries_do_not_shuffle(plan, name):
     assert "Exchange" not in plan(name)
 
 
-#: Token ids are looked up per Arrow batch; the other two yield finished figures.
-NOT_JVM = {"encode_padded", "encode_simple", "encode_subwords", "kmeans_quality_sweep", "silhouette_labels"}
-
-
-@pytest.mark.parametrize("name", ["encode_padded", "encode_simple"])
-def test_encoding_does_not_shuffle(plan, name):
-    assert "ArrowEvalPython" in plan(name) and "Exchange" not in plan(name)
+#: These yield finished figures.
+NOT_JVM = {"kmeans_quality_sweep", "silhouette_labels"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - NOT_JVM))

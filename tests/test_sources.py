@@ -87,6 +87,24 @@ def test_corpus_job_and_curation(spark, tree, tmp_path):
     assert {r["author"] for r in first.collect()} == {"dev1"}
 
 
+def test_corpus_job_accounts_for_every_file(spark, tmp_path):
+    content = {
+        "a/p/empty.jl": b"x = 1\n",
+        "b/p/f.jl": b"function f(x)\n 1\nend\n",
+        "b/p/open.jl": b"function g(x)\n 1\n",
+        "b/p/bad.jl": b"\xff",
+        "c/p/h.jl": b"function h(x)\n 1\nend\n",
+    }
+    rows = [(k, bytearray(v)) for k, v in content.items()]
+    files = spark.createDataFrame(rows, "path string, content binary")
+    for profile, skipped in (("text", {"b/p/bad.jl"}), ("syntax", {"b/p/bad.jl", "b/p/open.jl"})):
+        out, left = str(tmp_path / profile), str(tmp_path / f"{profile}-rejects")
+        functions = jobs.build_corpus(files, out, first_authors=2, profile=profile, rejects=left)
+        assert {r["path"] for r in spark.read.parquet(left).collect()} == skipped
+        # The author whose files have no function counts too.
+        assert {r["author"] for r in functions.collect()} == {"b"}
+
+
 def test_project_json_round_trip(spark, sf, tmp_path):
     functions = extract_functions(views.code_bundles(spark, sf))
     writers.write_projects(functions, str(tmp_path / "json"), as_json=True)
@@ -162,19 +180,6 @@ def test_encoded_tables_are_reused(spark, sf, tmp_path):
     assert len(list((tmp_path / "encoded" / "words").iterdir())) == 2
 
 
-def test_subword_ids_match_the_tokenizer(spark, sf):
-    public = pytest.importorskip("public_tokenizers")
-    from tokenizers import Tokenizer
-
-    from codeloom.functions.tokens import subword_ids
-
-    file = public.path("byte_bpe_50k.json")
-    texts = spark.read.parquet(f"{sf}/documents.parquet").select("text")
-    tokenizer = Tokenizer.from_file(file)
-    for r in texts.select("text", subword_ids(file)(F.col("text")).alias("ids")).collect():
-        assert r["ids"] == tokenizer.encode(r["text"], add_special_tokens=False).ids
-
-
 def test_ingest_resumes(spark, tmp_path):
     source, target, checkpoint = (str(tmp_path / x) for x in ("files", "out", "state"))
 
@@ -184,9 +189,9 @@ def test_ingest_resumes(spark, tmp_path):
         spark.createDataFrame(rows + bad, "path string, content binary").write.mode("append").parquet(source)
 
     add(1)
-    ingest_available(spark, source, target, checkpoint)
+    assert ingest_available(spark, source, target, checkpoint) == 1
     assert spark.read.parquet(target).count() == 3
-    ingest_available(spark, source, target, checkpoint)
+    assert ingest_available(spark, source, target, checkpoint) == 0
     assert spark.read.parquet(target).count() == 3
     add(2)
     ingest_available(spark, source, target, checkpoint)
