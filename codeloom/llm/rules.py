@@ -20,6 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.common import hashed_sample
 from codeloom.llm.textstats import SHARES
 
 #: Labelled rows that are learned from: those with the smallest hashes.
@@ -111,8 +112,7 @@ def _pruned(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray, rows: np.ndar
 
 def fit(examples: DataFrame) -> list[Rule]:
     """Rules from rows with ``doc_id``, the statistics and ``y``."""
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("y")]
-    rows = examples.select("doc_id", "y", *SHARES).orderBy(*order).limit(SAMPLE).toPandas()
+    rows = hashed_sample(examples.select("doc_id", "y", *SHARES), SAMPLE, "doc_id", "doc_id", "y").toPandas()
     if rows["y"].nunique() < 2:
         return []
     return learn({c: rows[c].to_numpy() for c in SHARES}, rows["y"].to_numpy())
