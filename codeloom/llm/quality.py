@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import map_rows, shared
+from codeloom.llm.common import hashed_sample, map_rows, shared
 from codeloom.llm.textstats import SHARES
 
 #: Fourier features, inverse of the kernel's width, ridge penalty for each row, seed.
@@ -101,8 +101,7 @@ def fit(examples: DataFrame) -> Model | None:
     total = np.sum([np.frombuffer(r["total"]) for r in rows], axis=0).reshape(width, width + 1)
     gram = total[:, :-1] + PENALTY * n * np.eye(width)
     model.weights = np.linalg.solve(gram, total[:, -1])
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("y")]
-    sample = examples.select("doc_id", "y", *SHARES).orderBy(*order).limit(CALIBRATION).toPandas()
+    sample = hashed_sample(examples.select("doc_id", "y", *SHARES), CALIBRATION, "doc_id", "doc_id", "y").toPandas()
     raw = model.features(sample[SHARES].to_numpy(float)) @ model.weights
     model.knots, model.values = isotonic(raw, sample["y"].to_numpy(float))
     return model
