@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import columns, map_rows, shared
+from codeloom.llm.common import columns, hashed_sample, map_rows, shared
 from codeloom.session import materialize
 
 #: Vectors of the sample, vectors for each list, and the most lists.
@@ -132,7 +132,7 @@ def build(distinct: DataFrame) -> Index | None:
     n, norm = distinct.agg(F.count(F.lit(1)), F.max(_norm())).first()
     if not n:
         return None
-    rows = distinct.select("v").orderBy(F.xxhash64("v"), "key").limit(SAMPLE).collect()
+    rows = hashed_sample(distinct.select("v", "key"), SAMPLE, "v", "key").collect()
     x = lifted(np.array([r["v"] for r in rows]), norm)
     c = centroids_of(x, max(1, -(-len(x) // min(LISTS, max(1, n // LIST)))))
     return Index(c, graph_of(c), norm)
