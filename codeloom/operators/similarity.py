@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.tokens import ngrams, tokens
-from codeloom.session import partitioned
+from codeloom.session import materialize, partitioned
 
 # Fixed values -----------------------------------------------------------------
 
@@ -97,46 +97,123 @@ def pair_similarity(pairs: DataFrame, trivial: DataFrame, max_n: int = MAX_N) ->
     return counts.groupBy(*key).agg(*sums).select("*", _bleu(matched, total, penalty).alias("score"))
 
 
-def corpus_similarity(
-    texts: DataFrame, key: str, column: str, trivial: DataFrame, max_n: int = MAX_N
-) -> DataFrame:
-    """How much of each text's n-grams the rest of the corpus has.
+#: An n-gram by 128 bits, so that strings are neither aggregated nor shuffled.
+GRAM = ["h0", "h1"]
 
-    The same clipped counts with all other texts as references: an n-gram counts
-    at most as often as some other text has it. Instead of comparing pairs, each
-    n-gram keeps its two highest counts, so the work is linear in the corpus.
+
+def _gram(pos: Column, n: Column, max_n: int) -> Column:
+    """The n-gram at a position of the token column ``t``."""
+
+    def of(length: int) -> Column:
+        return F.concat_ws(" ", *[F.get("t", pos + j) for j in range(length)])
+
+    picked = F.when(n == 1, of(1))
+    for length in range(2, max_n + 1):
+        picked = picked.when(n == length, of(length))
+    return picked
+
+
+def gram_counts(texts: DataFrame, key: str, column: str, max_n: int = MAX_N) -> DataFrame:
+    """``(key, h0, h1, n, pos, c)``: how often each text has each n-gram, and where; written once, for all that reads it.
+
+    A text's n-grams are numbered and picked by number, so a row explodes once
+    and stays in generated code. Texts are partitioned before that: counting
+    within a text needs no shuffle. Keys must be unique.
     """
-    # Partitioned by text before the explosion: counting within a text needs no shuffle.
-    texts = partitioned(texts.select(key, column), key)
+    pos, n = F.expr(f"i div {max_n}").cast("int"), F.expr(f"i % {max_n} + 1").cast("int")
     counts = (
-        texts.select(key, tokens(F.col(column)).alias("t"))
-        .select(key, F.inline(_grams(F.col("t"), max_n)))
-        .join(trivial.select("n", "gram"), ["n", "gram"], "left_anti")
-        .groupBy(key, "n", "gram")
-        .agg(F.count(F.lit(1)).alias("c"))
+        partitioned(texts.select(F.col(key).alias("key"), column), "key")
+        .select("key", tokens(F.col(column)).alias("t"))
+        .where(F.size("t") > 0)
+        .select("key", "t", F.explode(F.sequence(F.lit(0), F.size("t") * max_n - 1)).alias("i"))
+        .select("key", "t", pos.alias("pos"), n.alias("n"))
+        .where(F.col("pos") + F.col("n") <= F.size("t"))
+        .select("key", "n", "pos", _gram(F.col("pos"), F.col("n"), max_n).alias("gram"))
+        .select("key", "n", "pos", F.xxhash64("gram").alias("h0"), F.xxhash64(F.lit(1), "gram").alias("h1"))
+        .groupBy("key", *GRAM)
+        .agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"), F.min("pos").alias("pos"))
     )
-    # How many texts have an n-gram how often: texts of L tokens give at most L
-    # different counts, and k different counts take k * k / 2 tokens.
-    levels = counts.groupBy("n", "gram", "c").agg(F.count(F.lit(1)).alias("holders"))
-    highest = F.sort_array(F.collect_list(F.struct("c", "holders")), asc=False)
-    limits = (
-        levels.groupBy("n", "gram")
-        .agg(F.slice(highest, 1, 2).alias("h"))
+    return materialize(counts, "gram-counts")
+
+
+def _gram_totals(counts: DataFrame) -> DataFrame:
+    """``(h0, h1, total, most, least, alone, levels)``: all occurrences of each n-gram, the highest and the lowest count
+    in a text, whether one text alone has the highest, and how many different counts there are. Fixed-width figures only."""
+    # Texts of L tokens give at most L different counts, and k different counts take k * k / 2 tokens.
+    levels = counts.groupBy(*GRAM, "c").agg(F.count(F.lit(1)).alias("holders"))
+    # The highest count, doubled, and one more if several texts have it.
+    top = F.max(F.col("c") * 2 + F.when(F.col("holders") > 1, 1).otherwise(0))
+    return (
+        levels.groupBy(*GRAM)
+        .agg(
+            F.sum(F.col("c") * F.col("holders")).alias("total"),
+            top.alias("top"),
+            F.min("c").alias("least"),
+            F.count(F.lit(1)).alias("levels"),
+        )
         .select(
-            "n",
-            "gram",
-            F.col("h")[0]["c"].alias("most"),
-            F.col("h")[0]["holders"].alias("holders"),
-            F.coalesce(F.get(F.col("h"), F.lit(1))["c"], F.lit(0)).alias("second"),
+            *GRAM, "total", F.expr("top div 2").alias("most"), "least", (F.col("top") % 2 == 0).alias("alone"), "levels"
         )
     )
+
+
+def _limits(counts: DataFrame, totals: DataFrame) -> DataFrame:
+    """``(h0, h1, most, alone, second)`` of the n-grams that more than one text has; ``second`` is the count below the highest.
+
+    Only n-grams with three different counts or more need another look at the counts.
+    """
+    shared = totals.where(~F.col("alone") | (F.col("levels") > 1)).select(*GRAM, "most", "alone", "levels", "least")
+    deep = shared.where(F.col("alone") & (F.col("levels") > 2)).select(*GRAM, "most")
+    below = counts.select(*GRAM, "c").join(deep, GRAM).where("c < most").groupBy(*GRAM).agg(F.max("c").alias("below"))
+    second = F.coalesce("below", F.when(F.col("levels") == 2, F.col("least")), F.lit(0))
+    return shared.join(below, GRAM, "left").select(*GRAM, "most", "alone", second.alias("second"))
+
+
+def _most_frequent(
+    texts: DataFrame, key: str, column: str, counts: DataFrame, totals: DataFrame, m: int, max_n: int
+) -> DataFrame:
+    """The hashes of the n-grams that ``trivial_ngrams`` gives.
+
+    Strings are needed for ties only: one text of each n-gram that reaches the
+    m-th highest total is looked up again.
+    """
+    least = totals.orderBy(F.desc("total")).limit(m).agg(F.min("total")).scalar()
+    # Written, so that the plan knows its size.
+    frequent = materialize(totals.where(F.col("total") >= least).select(*GRAM, "total"), "gram-frequent")
+    place = F.min(F.struct("key", "n", "pos")).alias("at")
+    found = counts.join(frequent, GRAM).groupBy(*GRAM, "total").agg(place).select(*GRAM, "total", "at.*")
+    found = materialize(found, "gram-places")
+    named = (
+        texts.select(F.col(key).alias("key"), column)
+        .join(found, "key")
+        .select(*GRAM, "total", "n", "pos", tokens(F.col(column)).alias("t"))
+        .select(*GRAM, "total", "n", _gram(F.col("pos"), F.col("n"), max_n).alias("gram"))
+    )
+    return named.orderBy(F.desc("total"), "n", "gram").limit(m).select(*GRAM)
+
+
+def corpus_similarity(
+    texts: DataFrame, key: str, column: str, m: int = TRIVIAL_NGRAMS, max_n: int = MAX_N
+) -> DataFrame:
+    """How much of each text's n-grams the rest of the corpus has, the ``m`` most frequent left out.
+
+    The same clipped counts with all other texts as references: an n-gram counts
+    at most as often as some other text has it. Instead of comparing pairs, each
+    n-gram keeps its two highest counts in a text, so the work is linear in the corpus. A
+    key names one text.
+    """
+    counts = gram_counts(texts, key, column, max_n)
+    totals = materialize(_gram_totals(counts), "gram-totals")
+    trivial = materialize(_most_frequent(texts, key, column, counts, totals, m, max_n), "gram-trivial")
     # Most n-grams are in one text only and match nothing: they need no partner in the join.
-    limits = limits.where((F.col("holders") > 1) | (F.col("second") > 0))
-    alone = (F.col("c") == F.col("most")) & (F.col("holders") == 1)
-    clipped = F.least("c", F.when(alone, F.col("second")).otherwise(F.col("most")))
+    limits = _limits(counts, totals)
+    highest = F.col("alone") & (F.col("c") == F.col("most"))
+    clipped = F.least("c", F.when(highest, F.col("second")).otherwise(F.col("most")))
     scores = (
-        counts.join(limits, ["n", "gram"], "left")
-        .groupBy(key)
+        counts.select("key", *GRAM, "c")
+        .join(trivial, GRAM, "left_anti")
+        .join(limits, GRAM, "left")
+        .groupBy("key")
         .agg(
             F.sum(F.when(F.col("most").isNotNull(), clipped)).alias("matched"),
             F.sum("c").alias("total"),
@@ -144,10 +221,10 @@ def corpus_similarity(
     )
     matched, total = (F.coalesce(c, F.lit(0)) for c in ("matched", "total"))
     return (
-        texts.select(key)
-        .join(scores, key, "left")
+        texts.select(F.col(key).alias("key"))
+        .join(scores, "key", "left")
         .select(
-            key,
+            F.col("key").alias(key),
             matched.alias("matched"),
             total.alias("total"),
             F.coalesce(matched / F.nullif(total, F.lit(0)), F.lit(0.0)).alias("shared"),

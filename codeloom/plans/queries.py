@@ -614,8 +614,7 @@ def ngram_pair_similarity(spark, sf):
 @query
 def ngram_corpus_similarity(spark, sf):
     texts = v.code_functions(spark, sf).select(F.concat_ws("/", *ID).alias("id"), "body")
-    trivial = similarity.trivial_ngrams(texts, "body", 100)
-    return similarity.corpus_similarity(texts, "id", "body", trivial).select(
+    return similarity.corpus_similarity(texts, "id", "body", 100).select(
         "id",
         F.col("matched").cast("bigint").alias("matched"),
         F.col("total").cast("bigint").alias("total"),

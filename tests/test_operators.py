@@ -224,10 +224,23 @@ def test_pair_similarity(spark):
 
 
 def test_corpus_similarity(spark):
-    texts = spark.createDataFrame([(1, "a a b"), (2, "a c"), (3, "z"), (4, "")], "id int, text string")
-    nothing = spark.createDataFrame([], "n int, gram string")
-    got = {r["id"]: (r["matched"], r["total"]) for r in corpus_similarity(texts, "id", "text", nothing, 1).collect()}
-    assert got == {1: (1, 3), 2: (1, 2), 3: (0, 1), 4: (0, 0)}
+    rows = [(1, "a a b"), (2, "a c"), (3, "z"), (4, ""), (5, None)]
+    texts = spark.createDataFrame(rows, "id int, text string")
+
+    def got(m):
+        return {r["id"]: (r["matched"], r["total"]) for r in corpus_similarity(texts, "id", "text", m, 1).collect()}
+
+    assert got(0) == {1: (1, 3), 2: (1, 2), 3: (0, 1), 4: (0, 0), 5: (0, 0)}
+    # The first of the n-grams with the m-th total goes, ties by name: a, then b of b, c, z.
+    assert got(2) == {1: (0, 0), 2: (0, 1), 3: (0, 1), 4: (0, 0), 5: (0, 0)}
+
+
+def test_corpus_similarity_takes_the_highest_count_of_the_others(spark):
+    texts = [["x"] * n for n in (5, 3, 3, 2, 1)] + [["y"] * n for n in (4, 4)] + [["w", "w"]]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id int, text string")
+    got = {r["id"]: r["matched"] for r in corpus_similarity(frame, "id", "text", 0, 1).collect()}
+    best = [max([u.count(w) for j, u in enumerate(texts) if j != i for w in t[:1]]) for i, t in enumerate(texts)]
+    assert got == {i: min(len(t), b) for i, (t, b) in enumerate(zip(texts, best))}
 
 
 def test_kmeans_sweep(spark, sf):

@@ -2,6 +2,7 @@
 
 import pytest
 
+from codeloom.operators import similarity
 from codeloom.plans.queries import QUERIES
 
 NARROW = [
@@ -69,3 +70,12 @@ def test_ngrams_are_counted_without_a_shuffle(plan):
     text = plan("ngram_pair_similarity")
     top = text[: text.index("BroadcastExchange")]
     assert top.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in top
+
+
+def test_corpus_ngrams_explode_once(spark, sf, plan, monkeypatch):
+    monkeypatch.setattr(similarity, "materialize", lambda df, name: df)
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    counted = similarity.gram_counts(texts, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert counted.count("Generate explode") == 1 and counted.count("Exchange hashpartitioning") == 1
+    monkeypatch.undo()
+    assert "Generate" not in plan("ngram_corpus_similarity")
