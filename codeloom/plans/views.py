@@ -24,9 +24,9 @@ SELECT
        WHEN n_chars % 13 = 0 THEN 'function test_' || name || '(x::Int)'
        ELSE 'function ' || name || CASE WHEN n_chars % 2 = 0 THEN '(x::Int)' ELSE '(x)' END END AS signature,
   CASE WHEN n_chars % 3 = 0 THEN ''
-       WHEN n_chars % 3 = 1 THEN name || '(x)' || chr(10) || substr(text, 1, 200)
-       WHEN n_chars % 4 = 0 THEN substr(text, 1, 200) || chr(10) || chr(10) || '# Example'
-       ELSE substr(text, 1, 200) END AS documentation,
+       WHEN n_chars % 3 = 1 THEN name || '(x)' || chr(10) || text
+       WHEN n_chars % 4 = 0 THEN text || chr(10) || chr(10) || '# Example'
+       ELSE text END AS documentation,
   replace(text, '. ', ';' || chr(10)) || chr(10) || '# --' || chr(10)
        || CASE WHEN n_chars % 5 = 0 THEN '# note ' || lang || chr(10) ELSE '' END
        || CASE WHEN n_chars % 17 = 0 THEN '@testset x' || chr(10) ELSE '' END || '  return x' AS body
@@ -42,16 +42,16 @@ SELECT item_id, '\"\"\"' || text || '\"\"\"' || chr(10)
 FROM {benchmark}
 """
 
-#: One source file per function.
+#: One source file per function; bodies that must fit a line lose line ends, quotes and comment marks.
 CODE_FILES = """
 SELECT author || '/' || project || '/' || file_path AS path,
   CASE WHEN documentation = '' THEN ''
        ELSE '\"\"\"' || chr(10) || documentation || chr(10) || '\"\"\"' || chr(10) END
   || CASE WHEN type = 'basic' THEN signature || chr(10) || body || chr(10) || 'end' || chr(10)
-          WHEN type = 'single-line' THEN signature || ' x + 1 # c' || chr(10)
-          ELSE replace(replace(signature, 'Anonymous Function assigned to ', ''), '(x) =', ' = (x) -> x + 1 # c')
-               || chr(10) END AS content
-FROM {code_functions}
+          WHEN type = 'single-line' THEN signature || ' x + 1 ' || one_line || ' # c' || chr(10)
+          ELSE replace(replace(signature, 'Anonymous Function assigned to ', ''), '(x) =', ' = (x) -> x + 1 ')
+               || one_line || ' # c' || chr(10) END AS content
+FROM (SELECT *, translate(body, chr(10) || chr(13) || '#' || chr(34), '    ') AS one_line FROM {code_functions}) AS base
 """
 
 #: Snippets of files with up to eight definitions: docstrings, comment runs, blank
