@@ -101,3 +101,31 @@ def kmeans_sweep(
     finally:
         vectors.unpersist()
     return spark.createDataFrame(rows, "k int, inertia double, silhouette double, calinski_harabasz double")
+
+
+def kmeans_checks(
+    df: DataFrame, k: int, seed: int = 1, max_iter: int = 20, features: str = "features"
+) -> DataFrame:
+    """``(k, points, clusters, misplaced)`` of one fit: what must hold for any seed.
+
+    ``misplaced`` counts points that have a nearer centre than that of their cluster, beyond rounding.
+    """
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=features).fit(df.select(features))
+
+    def distance(centre) -> Column:
+        values = F.array(*[F.lit(float(x)) for x in centre])
+        return _total(F.zip_with("x", values, lambda a, b: (a - b) * (a - b)))
+
+    gaps = F.array(*[distance(c) for c in model.clusterCenters()])
+    placed = (
+        model.transform(df.select(features))
+        .select("prediction", vector_to_array(F.col(features)).alias("x"))
+        .select("prediction", gaps.alias("gaps"))
+    )
+    own = F.get("gaps", F.col("prediction"))
+    return placed.agg(
+        F.lit(k).cast("bigint").alias("k"),
+        F.count(F.lit(1)).alias("points"),
+        F.count_distinct("prediction").alias("clusters"),
+        F.count_if(own > F.array_min("gaps") * (1 + 1e-9) + 1e-9).alias("misplaced"),
+    )

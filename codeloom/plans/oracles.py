@@ -752,3 +752,8 @@ oracle(
       min(CASE WHEN own <> other THEN s / n END) AS b FROM sums JOIN sizes ON sizes.label = other GROUP BY vec_id)
     SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM means""",
 )
+oracle(
+    "kmeans_assignments",
+    """SELECT k, (SELECT count(*) FROM embeddings) AS points, k AS clusters, 0::BIGINT AS misplaced
+    FROM (SELECT unnest([2, 5, 10, 20])::BIGINT AS k)""",
+)

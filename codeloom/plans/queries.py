@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from codeloom.functions import text as t
 from codeloom.functions.tokens import count_tokens
 from codeloom.operators import filters as p
 from codeloom.operators import similarity
-from codeloom.operators.cluster import as_vectors, dispersion, kmeans_sweep, silhouette
+from codeloom.operators.cluster import as_vectors, dispersion, kmeans_checks, kmeans_sweep, silhouette
 from codeloom.operators.curate import curate, curation_counters
 from codeloom.operators.dedup import by_normalized_body, by_text
 from codeloom.operators.encode import (
@@ -645,3 +646,11 @@ def silhouette_labels(spark, sf):
 @query
 def kmeans_quality_sweep(spark, sf):
     return kmeans_sweep(as_vectors(v.table(spark, sf, "embeddings")))
+
+
+@query
+def kmeans_assignments(spark, sf):
+    """What holds for any seed: all points in a cluster, no cluster empty, every point at its nearest centre."""
+    vectors = as_vectors(v.table(spark, sf, "embeddings"))
+    checks = [kmeans_checks(vectors, k) for k in (2, 5, 10, 20)]
+    return reduce(lambda a, b: a.unionByName(b), checks)
