@@ -75,11 +75,17 @@ def prepare(functions: DataFrame, prompts: DataFrame, options: EncodeOptions = E
     )
 
 
+#: Steps of the histogram between a count and its double.
+COUNT_STEPS = 16
+
+
 def vocabulary(texts: DataFrame, column: str, size: int, specials: Specials = Specials()) -> DataFrame:
     """``(token, n, id)``: the markers, then the ``size`` most frequent tokens.
 
     Tokens are counted per task before the shuffle, so a token that makes up a
-    third of the corpus costs one row per task.
+    third of the corpus costs one row per task. A histogram of the counts'
+    logarithms, some hundred rows, tells which tokens can be among the first, so
+    about ``size`` rows are ranked, and not as many from each task.
     """
     counts = (
         texts.select(F.explode(tokens(F.col(column), specials)).alias("token"))
@@ -87,9 +93,14 @@ def vocabulary(texts: DataFrame, column: str, size: int, specials: Specials = Sp
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    counts = materialize(counts, "token-counts")
+    step = F.floor(F.log2("n") * COUNT_STEPS)
+    above = F.sum("tokens").over(Window.orderBy(F.desc("step"))) - F.col("tokens")
+    histogram = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("tokens"))
+    lowest = histogram.select("step", above.alias("above")).where(F.col("above") < size).agg(F.min("step")).scalar()
     order = [F.desc("n"), F.asc("token")]
     first = len(specials.ordered())
-    ranked = counts.orderBy(*order).limit(size).select(
+    ranked = counts.where(step >= lowest).orderBy(*order).limit(size).select(
         "token", "n", (F.row_number().over(Window.orderBy(*order)) + (first - 1)).cast("int").alias("id")
     )
     markers = F.array(

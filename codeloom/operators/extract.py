@@ -10,6 +10,8 @@ its unit of parallelism is the file.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,10 +80,19 @@ OPEN_HEAD = rf"^{BASIC_HEAD}\z"
 
 #: Marks an ``end`` that closes an inner block; a noncharacter, never in a text.
 INNER = "\ufdd0"
+#: Marks a line that belongs to the assignment above it.
+CONTINUED = "\ufdd1"
+#: The value starts on the next line.
+BARE_EQUALS = rf"=[\t ]*+(?:#.*)?\z"
 
 # ------------------------------------------------------------------------------
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once; inside a fold nothing else shares it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def newlines(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n")))
 
@@ -91,29 +102,65 @@ def segments(content: Column, pattern: str = SEGMENT) -> Column:
     return F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
 
 
-def definitions(content: Column, segment: str = SEGMENT, definition: str = DOCUMENTED) -> Column:
+FOUND = "cast(array() as array<struct<line: int, module: string, text: string>>)"
+
+
+def definitions(
+    content: Column, modular: Column, segment: str = SEGMENT, definition: str = DOCUMENTED
+) -> Column:
     """``array<struct<line, module, text>>`` of the segments that define a function.
 
-    One pass carries the line number and the last module name along.
+    One pass carries the line number along and, in files that are ``modular``, a
+    stack of open blocks: a module's name, or null for any other block. The
+    innermost name is the module of a definition; its ``end`` takes it from the
+    stack.
     """
-    start = F.struct(
-        F.lit(1).alias("line"),
-        F.lit(None).cast("string").alias("module"),
-        F.expr("cast(array() as array<struct<line: int, module: string, text: string>>)").alias("found"),
-    )
 
-    def step(acc: Column, s: Column) -> Column:
-        module = F.nullif(F.regexp_extract(s, MODULE, 1), F.lit(""))
-        record = F.struct(acc["line"].alias("line"), acc["module"].alias("module"), s.alias("text"))
-        return F.struct(
+    def defines(s: Column) -> Column:
+        return F.rlike(s, F.lit("^" + definition))
+
+    def found(acc: Column, s: Column, module: Column, is_definition: Column) -> list[Column]:
+        record = F.struct(acc["line"].alias("line"), module.alias("module"), s.alias("text"))
+        return [
             (acc["line"] + newlines(s)).cast("int").alias("line"),
-            F.coalesce(module, acc["module"]).alias("module"),
-            F.when(F.rlike(s, F.lit("^" + definition)), F.array_append(acc["found"], record))
-            .otherwise(acc["found"])
-            .alias("found"),
-        )
+            F.when(is_definition, F.array_append(acc["found"], record)).otherwise(acc["found"]).alias("found"),
+        ]
+
+    def plain(acc: Column, s: Column) -> Column:
+        return F.struct(*found(acc, s, F.lit(None).cast("string"), defines(s)))
+
+    def stacked(acc: Column, s: Column) -> Column:
+        blocks, names = acc["blocks"], F.array_compact(acc["blocks"])
+
+        def counted(is_definition: Column) -> Column:
+            silent = ~is_definition & F.rlike(s, F.lit(rf'^{HS}*+(?:#|""")'))
+            unchanged = F.struct(acc["brackets"].alias("brackets"), F.lit(0).alias("depth"))
+            code = F.regexp_replace(s, r'(?s)""".*?"""', " ")
+            change = F.when(silent, unchanged).otherwise(_counted(code, acc["brackets"]))
+            return F.struct(change.alias("change"), is_definition.alias("defines"))
+
+        def moved(seen: Column) -> Column:
+            depth = seen["change"]["depth"]
+            name = F.nullif(F.regexp_extract(s, MODULE, 1), F.lit(""))
+            opened = F.concat(F.array(name), F.array_repeat(F.lit(None).cast("string"), depth - 1))
+            left = F.slice(blocks, 1, F.greatest(F.size(blocks) + depth, F.lit(0)))
+            return F.struct(
+                *found(acc, s, F.get(names, F.size(names) - 1), seen["defines"]),
+                seen["change"]["brackets"].alias("brackets"),
+                F.when(depth > 0, F.concat(blocks, opened)).when(depth < 0, left).otherwise(blocks).alias("blocks"),
+            )
+
+        return _let(_let(defines(s), counted), moved)
+
+    parts, start = segments(content, segment), [F.lit(1).alias("line"), F.expr(FOUND).alias("found")]
+    stack = [F.lit(0).alias("brackets"), F.expr("cast(array() as array<string>)").alias("blocks")]
+    return F.when(modular, F.aggregate(parts, F.struct(*start, *stack), stacked, lambda acc: acc["found"])).otherwise(
+        F.aggregate(parts, F.struct(*start), plain, lambda acc: acc["found"])
+    )
 
-    return F.aggregate(segments(content, segment), start, step, lambda acc: acc["found"])
+
+def names_module(content: Column) -> Column:
+    return F.rlike(content, F.lit(f"(?m){MODULE}"))
 
 
 def has_unclosed_function(content: Column) -> Column:
@@ -121,7 +168,45 @@ def has_unclosed_function(content: Column) -> Column:
     return F.exists(segments(t.unify_newlines(content)), lambda s: F.rlike(s, F.lit(OPEN_HEAD)))
 
 
-def mask_inner_ends(content: Column) -> Column:
+#: Words that open a block, as a pattern.
+OPENERS = "|".join(w.replace(" ", r"\s+") for w in BLOCK_WORDS)
+
+
+def _bare(code: Column) -> Column:
+    """Code without strings, comments, and brackets that close in it."""
+    code = F.regexp_replace(code, r'"(?:[^"\\]|\\.)*+"|#.*', " ")
+    for _ in range(3):
+        code = F.regexp_replace(code, r"\[[^\[\]()]*+\]|\([^\[\]()]*+\)", " ")
+    return code
+
+
+def _change(code: Column, brackets: Column, after: Column) -> Column:
+    """Openers less ends, without what stands in brackets that span lines."""
+    code = F.regexp_replace(code, rf"[:.](?:end|{OPENERS})\b", " ")
+    code = F.when(brackets > 0, F.regexp_replace(code, r"^.*[\])]", " ")).otherwise(code)
+    code = F.when(after > 0, F.regexp_replace(code, r"[\[(].*$", " ")).otherwise(code)
+    count = F.regexp_count(code, F.lit(rf"\b(?:{OPENERS})\b")) - F.regexp_count(code, F.lit(r"\bend\b"))
+    return F.when((brackets > 0) & (after > 0), 0).otherwise(count)
+
+
+def _counted(code: Column, brackets: Column) -> Column:
+    """Brackets open after a line or segment, and the change of depth; most lines need no closer look."""
+
+    def looked(bare: Column) -> Column:
+        net = F.regexp_count(bare, F.lit(r"[\[(]")) - F.regexp_count(bare, F.lit(r"[\])]"))
+        return _let(
+            F.greatest(brackets + net, F.lit(0)).cast("int"),
+            lambda after: F.struct(
+                after.alias("brackets"), _change(bare, brackets, after).cast("int").alias("depth")
+            ),
+        )
+
+    plain = F.struct(brackets.cast("int").alias("brackets"), F.lit(0).alias("depth"))
+    marks = F.rlike(code, F.lit(rf"\b(?:end|{OPENERS})\b|[\[\]()]"))
+    return F.when(marks, _let(_bare(code), looked)).otherwise(plain)
+
+
+def mask_inner_ends(content: Column, assignment: str | None = None) -> Column:
     """Mark every ``end`` inside a function that does not close the function.
 
     A running block depth decides: openers count up, ``end`` counts down, with
@@ -129,33 +214,11 @@ def mask_inner_ends(content: Column) -> Column:
     ``a[end]`` or a comprehension closes nothing. After this the first unmarked
     ``end`` is the right one. If a header in the first column shows that a
     function was not closed, its last ``end`` closes it, so no file is lost.
+
+    ``assignment`` is the pattern of a line outside functions whose value may go
+    on: while its blocks or brackets are open, or after a bare ``=``, the next
+    lines are marked as ``CONTINUED``. Such a header ends an assignment as well.
     """
-    words = "|".join(w.replace(" ", r"\s+") for w in BLOCK_WORDS)
-    opener = rf"\b(?:{words})\b"
-
-    def bare(line: Column) -> Column:
-        """Code without strings, comments, and brackets that close on the line."""
-        code = F.regexp_replace(line, r'"(?:[^"\\]|\\.)*+"|#.*', " ")
-        for _ in range(3):
-            code = F.regexp_replace(code, r"\[[^\[\]()]*+\]|\([^\[\]()]*+\)", " ")
-        return code
-
-    def change(code: Column, brackets: Column, after: Column) -> Column:
-        """Openers less ends, without what stands in brackets that span lines."""
-        code = F.regexp_replace(code, rf"[:.](?:end|{words})\b", " ")
-        code = F.when(brackets > 0, F.regexp_replace(code, r"^.*[\])]", " ")).otherwise(code)
-        code = F.when(after > 0, F.regexp_replace(code, r"[\[(].*$", " ")).otherwise(code)
-        count = F.regexp_count(code, F.lit(opener)) - F.regexp_count(code, F.lit(r"\bend\b"))
-        return F.when((brackets > 0) & (after > 0), 0).otherwise(count)
-
-    def counted(line: Column, brackets: Column) -> Column:
-        """Brackets open after the line, and the change of depth; most lines need no closer look."""
-        code = bare(line)
-        net = F.regexp_count(code, F.lit(r"[\[(]")) - F.regexp_count(code, F.lit(r"[\])]"))
-        after = F.greatest(brackets + net, F.lit(0))
-        looked = F.struct(after.cast("int").alias("brackets"), change(code, brackets, after).cast("int").alias("depth"))
-        plain = F.struct(brackets.cast("int").alias("brackets"), F.lit(0).alias("depth"))
-        return F.when(F.rlike(line, F.lit(rf"\b(?:end|{words})\b|[\[\]()]")), looked).otherwise(plain)
 
     def reopened(out: Column) -> Column:
         """The last marked ``end`` without its mark: nothing else closed its function."""
@@ -166,6 +229,7 @@ def mask_inner_ends(content: Column) -> Column:
         F.lit(0).alias("depth"),
         F.lit(0).alias("brackets"),
         F.lit(-1).alias("function_depth"),
+        F.lit(-1).alias("assigned_depth"),
         F.lit(False).alias("in_doc"),
         F.expr("cast(array() as array<string>)").alias("out"),
     )
@@ -173,25 +237,49 @@ def mask_inner_ends(content: Column) -> Column:
     def step(acc: Column, line: Column) -> Column:
         quotes = F.regexp_count(line, F.lit('"""'))
         in_doc = acc["in_doc"] != (quotes % 2 == 1)
+        open_function, open_value = acc["function_depth"] >= 0, acc["assigned_depth"] >= 0
         quiet = acc["in_doc"] | in_doc | (quotes > 0)
-        # A header in the first column while a function is open: that one was never closed.
-        broken = ~quiet & (acc["function_depth"] >= 0) & F.rlike(line, F.lit(r"^function\b"))
-        before = F.when(broken, acc["function_depth"]).otherwise(acc["depth"])
-        is_head = ~quiet & (broken | (acc["function_depth"] < 0)) & F.rlike(line, F.lit(rf"^{HS}*+function\b"))
-        outer = F.when(is_head, before).otherwise(acc["function_depth"])
-        seen = counted(line, F.when(broken, 0).otherwise(acc["brackets"]))
-        depth = F.when(quiet, before).otherwise(before + seen["depth"])
-        closes = (outer >= 0) & (depth <= outer)
-        inner = (outer >= 0) & ~closes & F.rlike(line, F.lit(rf"^{END}"))
-        out = F.when(broken, reopened(acc["out"])).otherwise(acc["out"])
-        return F.struct(
-            depth.cast("int").alias("depth"),
-            F.when(quiet, acc["brackets"]).otherwise(seen["brackets"]).cast("int").alias("brackets"),
-            F.when(closes, -1).otherwise(outer).cast("int").alias("function_depth"),
-            in_doc.alias("in_doc"),
-            F.array_append(out, F.when(inner, F.concat(F.lit(INNER), line)).otherwise(line)).alias("out"),
+        # A header in the first column while something is open: that was never closed.
+        broken = ~quiet & (open_function | open_value) & F.rlike(line, F.lit(r"^function\b"))
+        outermost = F.when(open_function, acc["function_depth"]).otherwise(acc["assigned_depth"])
+        before = F.when(broken, outermost).otherwise(acc["depth"])
+        is_head = ~quiet & (broken | ~(open_function | open_value)) & F.rlike(line, F.lit(rf"^{HS}*+function\b"))
+        is_value = F.lit(False)
+        if assignment is not None:
+            is_value = ~quiet & ~open_function & ~open_value & (acc["brackets"] == 0) & F.rlike(line, F.lit(assignment))
+        seen = F.when(quiet, F.struct(acc["brackets"].alias("brackets"), F.lit(0).alias("depth"))).otherwise(
+            _counted(line, F.when(broken, 0).otherwise(acc["brackets"]))
+        )
+        looked = F.struct(
+            seen["brackets"].alias("brackets"),
+            (before + seen["depth"]).cast("int").alias("depth"),
+            F.when(is_head, before).otherwise(acc["function_depth"]).cast("int").alias("outer"),
+            F.when(is_value, before)
+            .otherwise(F.when(broken, -1).otherwise(acc["assigned_depth"]))
+            .cast("int")
+            .alias("assigned"),
+            quiet.alias("quiet"),
+            broken.alias("broken"),
         )
 
+        def moved(now: Column) -> Column:
+            depth, outer, assigned = now["depth"], now["outer"], now["assigned"]
+            closes = (outer >= 0) & (depth <= outer)
+            inner = (outer >= 0) & ~closes & F.rlike(line, F.lit(rf"^{END}"))
+            goes_on = now["quiet"] | (depth > assigned) | (now["brackets"] > 0) | F.rlike(line, F.lit(BARE_EQUALS))
+            mark = F.when(inner, INNER).when(open_value & (assigned >= 0), CONTINUED).otherwise("")
+            out = F.when(now["broken"] & open_function, reopened(acc["out"])).otherwise(acc["out"])
+            return F.struct(
+                depth.alias("depth"),
+                now["brackets"].alias("brackets"),
+                F.when(closes, -1).otherwise(outer).alias("function_depth"),
+                F.when((assigned >= 0) & goes_on, assigned).otherwise(-1).alias("assigned_depth"),
+                in_doc.alias("in_doc"),
+                F.array_append(out, F.concat(mark, line)).alias("out"),
+            )
+
+        return _let(looked, moved)
+
     return F.aggregate(t.lines(content), start, step, lambda acc: F.array_join(acc["out"], "\n"))
 
 
@@ -231,12 +319,13 @@ def extract_functions(files: DataFrame, end_rule: str = "first") -> DataFrame:
     else the run of comments before it; blank lines may stand between.
     """
     content = t.unify_newlines(F.col("content").cast("string"))
+    modular = names_module(F.col("content").cast("string"))
     if end_rule == "balanced":
         content = mask_inner_ends(content)
     elif end_rule != "first":
         raise ValueError(f"unknown end rule: {end_rule}")
 
-    found = files.select("path", F.explode(definitions(content)).alias("d")).select(
+    found = files.select("path", F.explode(definitions(content, modular)).alias("d")).select(
         "path",
         F.col("d.line").alias("line"),
         F.col("d.module").alias("module"),

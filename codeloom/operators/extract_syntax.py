@@ -2,7 +2,7 @@
 
 The same cut into segments as in ``extract``, with wider definitions and other
 fields. Blocks end where they are balanced, any header after ``function`` opens
-one, and every assignment is looked at. Documentation is a docstring only and
+one, and every assignment is looked at, with all lines of its value. Documentation is a docstring only and
 keeps its quotes; bodies are stripped line by line and keep their ``end``.
 """
 
@@ -15,6 +15,7 @@ from codeloom.functions import text as t
 from codeloom.functions.text import HS, WS, hash_comments, path_part, split_comment, strip
 from codeloom.operators.extract import (
     BLANKS,
+    CONTINUED,
     DOC,
     END,
     EOL,
@@ -24,6 +25,7 @@ from codeloom.operators.extract import (
     newlines,
     definitions,
     mask_inner_ends,
+    names_module,
 )
 
 # Fixed values -----------------------------------------------------------------
@@ -41,11 +43,8 @@ FUNCTION = (
     rf"(?>[^\n]*[\s;)]end{HS}*+{EOL}|[^\n]*+\n(?:(?!{END})[^\n]*+\n)*+{END}[^\n]*+{EOL})"
 )
 TARGET = rf"[\p{{L}}_][\p{{L}}\p{{N}}_!.]*+(?:\{{[^\n}}]*+\}})?+(?:\([^\n]*?\))?(?:::[^\s=]++)?+(?:{HS}++where{HS}[^=\n]++)?+"
-ASSIGNMENT = (
-    rf"{HS}*+(?:(?:const|global|local){HS}++)?+{TARGET}{HS}*+=(?![=>])"
-    rf"(?>[^\n]*?[\s=>]begin{HS}*+(?:#[^\n]*+)?(?:\n(?!{HS}*+end{HS}*+{EOL})[^\n]*+)*+\n{HS}*+end{HS}*+{EOL}"
-    rf"|[^\n]*+{EOL})"
-)
+ASSIGNED = rf"{HS}*+(?:(?:const|global|local){HS}++)?+{TARGET}{HS}*+=(?![=>])"
+ASSIGNMENT = rf"{ASSIGNED}[^\n]*+(?:\n{CONTINUED}[^\n]*+)*+{EOL}"
 DOCUMENTED = rf"{LEAD}(?:{FUNCTION}|{ASSIGNMENT})"
 SEGMENT = rf"(?>{DOCUMENTED})|{OTHER}"
 
@@ -56,22 +55,25 @@ def _plain_lines(c: Column) -> Column:
 
 def extract_by_syntax(files: DataFrame) -> DataFrame:
     """``files(path, content)`` to flat functions; tests are left out by their signatures."""
-    content = mask_inner_ends(t.unify_newlines(F.col("content").cast("string")))
+    text = F.col("content").cast("string")
+    content = mask_inner_ends(t.unify_newlines(text), f"^{ASSIGNED}")
     found = (
-        files.select("path", F.explode(definitions(content, SEGMENT, DOCUMENTED)).alias("d"))
-        .select("path", "d.line", "d.module", F.replace("d.text", F.lit(INNER), F.lit("")).alias("text"))
+        files.select("path", F.explode(definitions(content, names_module(text), SEGMENT, DOCUMENTED)).alias("d"))
+        .select("path", "d.line", "d.module", F.translate("d.text", INNER + CONTINUED, "").alias("text"))
         .withColumn("lead", F.regexp_extract("text", f"^({LEAD})", 1))
         .withColumn("doc", F.regexp_extract("text", f"^{LEAD}", 1))
     )
     raw = F.expr("substring(text, length(lead) + 1)")
     found = found.withColumn("raw", raw)
     is_function = F.rlike("raw", F.lit(rf"^{HS}*+function{WORD_END}"))
-    block = F.contains(strip(F.col("raw")), F.lit("\n"))
 
     # The text of the definition alone: no word before it, nothing after its end.
     function_text = F.regexp_replace(strip(F.col("raw")), rf"(?s)^(.*\n{HS}*+end){WORD_END}[^\n]*\z", "$1")
+    # Nor a comment after the last line of a value.
     assigned = F.regexp_replace(strip(F.col("raw")), rf"^(?:const|global|local){HS}++", "")
-    assignment_text = F.when(block, assigned).otherwise(split_comment(assigned)["code"])
+    above = F.regexp_extract(assigned, rf"(?s)^(.*\n{HS}*+)", 1)
+    last = F.substring(assigned, F.length(above) + 1, F.length(assigned))
+    assignment_text = F.concat(above, split_comment(last)["code"])
     found = found.withColumn("code", F.when(is_function, function_text).otherwise(assignment_text))
 
     code = F.col("code")

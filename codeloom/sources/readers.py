@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow.fs as fs
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codeloom import schemas
 from codeloom.session import partitioned
-from codeloom.sources.storage import locate
+from codeloom.sources.storage import in_batches, locate
 
 # Fixed values -----------------------------------------------------------------
 
@@ -19,6 +19,8 @@ SOURCE_SUFFIX = ".jl"
 RESULT_GLOB = "*.results.json.gz"
 #: A row holds one file, and Java arrays end here.
 MAX_FILE_BYTES = 2**31 - 64
+#: Entries of a folder that go back to Spark together.
+LISTED = 10_000
 
 # ------------------------------------------------------------------------------
 
@@ -32,24 +34,36 @@ def read_repositories(spark: SparkSession, path: str) -> DataFrame:
 def list_source_tree(spark: SparkSession, root: str, suffix: str = SOURCE_SUFFIX) -> DataFrame:
     """``(path, size)`` of the files below a folder, paths relative to it: ``author/project/...``.
 
-    The driver lists the first level only, tasks list one author each. Spark's own
-    file listing would skip names that start with ``_`` or ``.``, which are
-    ordinary source files here.
+    The driver lists the first level only. Tasks list each author's projects,
+    which are then spread, so an author with most of them still fills the
+    cluster. Spark's own file listing would skip names that start with ``_`` or
+    ``.``, which are ordinary source files here.
     """
     system, base = locate(root)
     authors = [(i.path,) for i in system.get_file_info(fs.FileSelector(base)) if i.type == fs.FileType.Directory]
     start = len(base.rstrip("/")) + 1
 
-    def list_author(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, _ = locate(root)
-        for batch in batches:
-            for folder in batch["folder"]:
-                found = system.get_file_info(fs.FileSelector(folder, recursive=True))
-                files = [(i.path[start:], i.size) for i in found if i.is_file and i.path.endswith(suffix)]
-                yield pd.DataFrame(files, columns=["path", "size"])
+    def listed(recursive: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        """Whatever lies in a folder; ``size`` is null for a folder."""
 
-    folders = partitioned(spark.createDataFrame(authors, "folder string"), "folder")
-    return folders.mapInPandas(list_author, "path string, size bigint")
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            system, _ = locate(root)
+            for batch in batches:
+                for folder in batch["path"]:
+                    found = system.get_file_info(fs.FileSelector(folder, recursive=recursive))
+                    for at in range(0, len(found), LISTED):
+                        rows = [(i.path, i.size if i.is_file else None) for i in found[at : at + LISTED]]
+                        frame = pd.DataFrame(rows, columns=["path", "size"])
+                        yield frame.astype({"size": "Int64"})
+
+        return run
+
+    entry = "path string, size bigint"
+    folders = partitioned(spark.createDataFrame(authors, "path string"), "path")
+    level = folders.mapInPandas(listed(recursive=False), entry)
+    below = partitioned(level.where("size is null").select("path"), "path").mapInPandas(listed(recursive=True), entry)
+    files = level.unionByName(below).where(F.col("size").isNotNull() & F.endswith("path", F.lit(suffix)))
+    return files.select(F.expr(f"substring(path, {start + 1})").alias("path"), "size")
 
 
 def read_source_tree(spark: SparkSession, root: str, suffix: str = SOURCE_SUFFIX) -> DataFrame:
@@ -61,10 +75,12 @@ def read_source_tree(spark: SparkSession, root: str, suffix: str = SOURCE_SUFFIX
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = locate(root)
-        for batch in batches:
-            for path in batch["path"]:
-                with system.open_input_file(f"{base.rstrip('/')}/{path}") as file:
-                    yield pd.DataFrame({"path": [path], "content": [file.read()]})
+
+        def content(path: str) -> bytes:
+            with system.open_input_file(f"{base.rstrip('/')}/{path}") as file:
+                return file.read()
+
+        return in_batches((path, content(path)) for batch in batches for path in batch["path"])
 
     small = list_source_tree(spark, root, suffix).where(F.col("size") <= MAX_FILE_BYTES)
     return partitioned(small.select("path"), "path").mapInPandas(read, schemas.FILES)

@@ -188,3 +188,34 @@ def test_balanced_keeps_what_follows_an_open_function(extract):
     rows = extract(source, end_rule="balanced")
     assert [r["signature"] for r in rows] == ["function f(x)", "function g(x)"]
     assert rows[1]["body"] == "3"
+
+
+def test_module_ends(extract, by_syntax):
+    source = (
+        "module A\nf(x) = 1\nstruct S\n a\nend\nmodule B\nfunction g(x)\n if x\n  1\n end\nend\nend\n"
+        'y = [\n i\n for i in z\n]\ns = "end"\nh(x) = z[end]\nend # A\nk(x) = 1\nend\nl(x) = 1\n'
+    )
+    wanted = [("f", "A"), ("g", "B"), ("h", "A"), ("k", None), ("l", None)]
+    for rows in (extract(source), extract(source, end_rule="balanced"), by_syntax(source)):
+        assert [(r["signature"].split("(")[0].split(" ")[-1], r["module"]) for r in rows] == wanted
+
+
+def test_syntax_values_over_lines(by_syntax):
+    source = (
+        "a(x) = let y = x\n  y + 1\nend # c\nb(x) = if x\n  1\nelse\n  [k for k in x]\nend\n"
+        "c(x) =\n  x + 1 # d\nd(x) = sum([\n  i\n  for i in x\n])\ne = map(x) do y -> 1\n  y\n end\nf(x) = x[end]\n"
+    )
+    rows = by_syntax(source)
+    assert [(r["signature"], r["body"], r["line_number"]) for r in rows] == [
+        ("a(x)", "let y = x\n  y + 1\nend", 1),
+        ("b(x)", "if x\n  1\nelse\n  [k for k in x]\nend", 4),
+        ("c(x)", "x + 1", 9),
+        ("d(x)", "sum([\n  i\n  for i in x\n])", 11),
+        ("e = map(x) do y -> 1", "1\n  y\n end", 15),
+        ("f(x)", "x[end]", 18),
+    ]
+
+
+def test_syntax_value_that_nothing_closes(by_syntax):
+    rows = by_syntax("a(x) = let y = x\n  y\nfunction b(x)\n  1\nend\nc(x) = 2\n")
+    assert [r["signature"] for r in rows] == ["a(x)", "function b(x)", "c(x)"]

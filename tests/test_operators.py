@@ -185,6 +185,16 @@ def test_encoding(spark, functions):
     assert simple["labels"][3:] == [0] * 5
 
 
+@pytest.mark.parametrize("size", [0, 1, 7, 40, 100])
+def test_vocabulary_takes_the_most_frequent(spark, size):
+    words = [f"w{i}" for i in range(60) for _ in range(1 + 40 // (i + 1))]
+    texts = spark.createDataFrame([(" ".join(words),), ("",), (None,)], "text string")
+    got = [(r["token"], r["id"]) for r in vocabulary(texts, "text", size).orderBy("id").collect()]
+    first = sorted(set(words), key=lambda w: (-words.count(w), w))[:size]
+    markers = len(got) - len(first)
+    assert got[markers:] == [(w, markers + i) for i, w in enumerate(first)]
+
+
 def test_rows_with_equal_keys_are_encoded_each(functions):
     rows = with_texts(functions({"body": "a b"}, {"body": "a b"}, {"body": "c"})).withColumn("file_path", F.lit("same"))
     out = encode(rows, vocabulary(rows, "complete_function", 50), EncodeOptions(max_length=64))

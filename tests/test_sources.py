@@ -11,6 +11,7 @@ from codeloom.operators.evaluate import in_problem_order, result_rows
 from codeloom.operators.extract import extract_functions
 from codeloom.plans import jobs, views
 from codeloom.sources import archives, readers, writers
+from codeloom.sources.storage import in_batches
 from codeloom.streaming.ingest import ingest_available
 
 SOURCES = {
@@ -66,6 +67,41 @@ def test_archives(spark, tmp_path):
     }
 
 
+def test_members_are_read_in_place(spark, tmp_path, monkeypatch):
+    name, content = str(tmp_path / "many.zip"), {f"a/p/f{i}.jl": b"x = %d\n" % i * (i + 1) for i in range(50)}
+    methods = [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA]
+    with zipfile.ZipFile(name, "w") as z:
+        for i, (path, data) in enumerate(content.items()):
+            z.writestr(path, data, methods[i % 4])
+        z.writestr("a/p/empty.jl", b"")
+    got = archives.read_archives(spark, [name])
+    assert {r["path"]: bytes(r["content"]) for r in got.collect()} == {**content, "a/p/empty.jl": b""}
+
+    # Within a range the archive is opened once, and its directory is not read.
+    members = archives.list_members(spark, [name]).toPandas()
+    opened, real = [], archives._open
+    monkeypatch.setattr(archives, "_open", lambda uri: opened.append(uri) or real(uri))
+    monkeypatch.setattr(zipfile, "ZipFile", None)
+    frames = list(archives._read(iter([members[:20], members[20:]])))
+    assert opened == [name] and sum(map(len, frames)) == len(frames[0]) == 51
+
+
+def test_batches_of_files():
+    files = [(str(i), b"x" * n) for i, n in enumerate([3, 4, 20, 1, 0, 9])]
+    frames = list(in_batches(files, 10))
+    assert [f["path"].tolist() for f in frames] == [["0", "1"], ["2"], ["3", "4", "5"]]
+    assert list(in_batches([])) == []
+
+
+def test_corpus_job_records_files_that_no_row_holds(spark, tree, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "MAX_FILE_BYTES", 30)
+    out, left = str(tmp_path / "functions"), str(tmp_path / "rejects")
+    files = readers.read_source_tree(spark, tree)
+    jobs.build_corpus(files, out, rejects=left, unread=readers.read_oversized(spark, tree))
+    found = {r["path"] for r in spark.read.parquet(left).where("reason = 'too large'").collect()}
+    assert found == {r["path"] for r in readers.read_oversized(spark, tree).collect()} and found
+
+
 def test_rejects(spark, tree):
     files = readers.read_source_tree(spark, tree)
     assert [tuple(r) for r in writers.rejects(files).collect()] == [("dev2/B c.jl/bad.jl", "not utf-8")]
