@@ -466,18 +466,20 @@ WITH placed AS (
 expected AS (
   SELECT path AS file_path, string_split(path, '/')[1] AS author, string_split(path, '/')[2] AS project,
     CAST(ln AS BIGINT) AS line_number, kind, inner_code, doc_id % 4 = 0 AS has_doc, lead AS quoted_text,
-    CASE WHEN kind IN (0, 1) THEN 'single-line' WHEN kind = 2 THEN 'anonymous' ELSE 'basic' END AS type,
-    CASE kind WHEN 0 THEN name || '(x) =' WHEN 1 THEN name || '(x, y) = begin'
+    CASE WHEN kind IN (0, 1, 7) THEN 'single-line' WHEN kind IN (2, 8) THEN 'anonymous' ELSE 'basic' END AS type,
+    CASE kind WHEN 0 THEN name || '(x) =' WHEN 7 THEN name || '(x) =' WHEN 1 THEN name || '(x, y) = begin'
       WHEN 2 THEN 'Anonymous Function assigned to ' || name || '(a, b) ='
+      WHEN 8 THEN 'Anonymous Function assigned to ' || name || '(a) = begin'
       WHEN 3 THEN 'function ' || name || '!(x)' ELSE 'function ' || name || '(x::Int)' END AS signature,
     CASE WHEN doc_id % 4 = 2 THEN 'about ' || name || {NL} || 'more'
-      WHEN doc_id % 4 = 3 OR (doc_id % 4 = 1 AND kind = 2) THEN ''
+      WHEN doc_id % 4 = 3 OR (doc_id % 4 = 1 AND kind IN (2, 8)) THEN ''
       ELSE {strip(f"trim({strip(join_lines(f'list_transform({lines("quoted")}, lambda l: {strip("l")})'))}, chr(34))")}
       END AS documentation,
     CASE kind WHEN 0 THEN regexp_extract(code, '= (.*) # c', 1) WHEN 2 THEN 'a * b'
       WHEN 1 THEN 'begin' || {NL} || 'z = x # add' || {NL} || '  z' || {NL} || 'end'
+      WHEN 7 THEN 'let y = x' WHEN 8 THEN 'begin' || {NL} || 'z # e' || {NL} || 'end'
       WHEN 3 THEN 'if x # why' || {NL} || '    1' ELSE {strip('inner_code')} END AS body,
-    CASE kind WHEN 0 THEN 'c' WHEN 1 THEN 'add' WHEN 2 THEN 'd' WHEN 3 THEN '# why'
+    CASE kind WHEN 0 THEN 'c' WHEN 1 THEN 'add' WHEN 2 THEN 'd' WHEN 3 THEN '# why' WHEN 7 THEN '' WHEN 8 THEN 'e'
       ELSE {joined("regexp_extract_all(inner_code, '#.*')")} END AS comments
   FROM placed)
 """
@@ -499,23 +501,26 @@ oracle(
     "extract_syntax",
     EXPECTED
     + rf""", shaped AS (
-      SELECT *, CASE WHEN kind IN (3, 4) OR kind > 4 THEN 'basic' WHEN kind = 2 THEN 'anonymous' ELSE 'single-line' END AS t,
+      SELECT *, type AS t,
         regexp_extract(body, '(?s)^begin\n(.*)$', 1) AS block FROM expected)
     SELECT file_path, line_number, t AS type,
       CASE kind WHEN 0 THEN replace(signature, ' =', '') WHEN 1 THEN replace(signature, ' = begin', '')
+        WHEN 7 THEN replace(signature, ' =', '') WHEN 8 THEN regexp_extract(signature, 'to (\w+)', 1) || ' = (a) -> begin'
         WHEN 2 THEN regexp_extract(signature, 'to (\w+)', 1) || ' = (a, b) -> a * b' ELSE signature END AS signature,
-      md5(CASE WHEN has_doc AND kind <> 2 THEN {strip('quoted_text')} ELSE '' END) AS doc_md5,
+      md5(CASE WHEN has_doc AND kind NOT IN (2, 8) THEN {strip('quoted_text')} ELSE '' END) AS doc_md5,
       md5(CASE kind WHEN 0 THEN body WHEN 2 THEN 'a * b' WHEN 1 THEN 'begin' || {NL} || '  ' || block
+        WHEN 7 THEN 'let y = x' || {NL} || inner_code || {NL} || 'end' WHEN 8 THEN 'begin' || {NL} || inner_code || {NL} || 'end'
         ELSE {join_lines(f"list_transform({lines('inner_code')}, lambda l: {strip('l')})")} || {NL} || 'end' END) AS body_md5,
-      CASE WHEN kind IN (0, 2) THEN '' WHEN kind = 1 THEN '# add' ELSE comments END AS comments
+      CASE WHEN kind IN (0, 2, 7) THEN '' WHEN kind = 1 THEN '# add' WHEN kind = 8 THEN '# e' ELSE comments END AS comments
     FROM shaped WHERE kind <> 3""",
     "snippets",
 )
 oracle(
     "module_attribution",
     EXPECTED
-    + r"""SELECT file_path, regexp_extract(file_path, '(m[0-9]+)\.jl', 1) AS module,
-          line_number + 1 AS line_number FROM expected""",
+    + rf"""SELECT file_path, regexp_extract(file_path, '(m[0-9]+)\.jl', 1) AS module,
+          line_number + 1 AS line_number FROM expected
+    UNION ALL SELECT path, NULL, CAST(sum({count_newlines('lead || code || tail')}) + 3 AS BIGINT) FROM snippets GROUP BY path""",
     "snippets",
 )
 oracle(

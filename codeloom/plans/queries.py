@@ -439,10 +439,10 @@ def extract_syntax(spark, sf):
 
 @query
 def module_attribution(spark, sf):
-    files = v.code_bundles(spark, sf).withColumn(
-        "content",
-        F.concat(F.lit("module "), F.regexp_extract("path", r"(m[0-9]+)\.jl", 1), F.lit("\n"), "content"),
-    )
+    """A module around each file, and a definition after its end."""
+    name = F.regexp_extract("path", r"(m[0-9]+)\.jl", 1)
+    around = F.concat(F.lit("module "), name, F.lit("\n"), "content", F.lit("end # "), name, F.lit("\nafter(x) = 1\n"))
+    files = v.code_bundles(spark, sf).withColumn("content", around)
     return extract_functions(files).select(
         "file_path", "module", F.col("line_number").cast("bigint").alias("line_number")
     )

@@ -55,7 +55,8 @@ FROM (SELECT *, translate(body, chr(10) || chr(13) || '#' || chr(34), '    ') AS
 """
 
 #: Snippets of files with up to eight definitions: docstrings, comment runs, blank
-#: lines between, nested blocks and ``begin`` blocks, and lines that define nothing.
+#: lines between, nested blocks, ``begin`` and ``let`` blocks, and lines that define
+#: nothing. Texts stand as comments unchanged, and as code without two block words.
 SNIPPETS = """
 SELECT doc_id, path, name, kind, lead, code,
   CASE WHEN doc_id % 3 = 0 THEN 'const c' || cast(doc_id AS string) || ' = 1' || chr(10) ELSE '' END AS tail
@@ -71,9 +72,13 @@ FROM (SELECT doc_id, name, kind,
        WHEN kind = 2 THEN name || ' = (a, b) -> a * b # d' || chr(10)
        WHEN kind = 3 THEN 'function ' || name || '!(x)' || chr(10) || '  if x # why' || chr(10) || '    1' || chr(10)
                      || '  end' || chr(10) || '  2' || chr(10) || 'end' || chr(10)
+       WHEN kind = 6 THEN 'function ' || name || '(x::Int)' || chr(10) || '  # ' || replace(text, chr(10), chr(10) || '  # ')
+                     || chr(10) || '  x' || chr(10) || 'end # ' || name || chr(10)
+       WHEN kind = 7 THEN name || '(x) = let y = x' || chr(10) || '  y + ' || cast(n_chars AS string) || chr(10) || 'end' || chr(10)
+       WHEN kind = 8 THEN name || ' = (a) -> begin' || chr(10) || '  z # e' || chr(10) || 'end' || chr(10)
        ELSE 'function ' || name || '(x::Int)' || chr(10) || '  ' || replace(prose, '. ', ';' || chr(10) || '  ')
             || chr(10) || 'end # ' || name || chr(10) END AS code
-  FROM (SELECT doc_id, n_chars, text, 'fn_' || cast(n_chars % 500 AS string) AS name, doc_id % 7 AS kind,
+  FROM (SELECT doc_id, n_chars, text, 'fn_' || cast(n_chars % 500 AS string) AS name, doc_id % 9 AS kind,
                cast(floor(doc_id / 8) AS bigint) AS bundle, split_part(text, '.', 1) AS first_words,
                replace(replace(text, 'for', 'fro'), 'do', 'od') AS prose
         FROM {documents}) AS base) AS parts
