@@ -42,21 +42,29 @@ GENERATOR = 0b101011100011
 SEGMENTS = [(0, 22), (22, 21), (43, 21)]
 
 
-def fingerprint(text: str | None) -> int:
-    """As a signed 64-bit integer."""
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words, in lower case; a shorter text is one run."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(words)
-    if len(words) <= SHINGLE:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], "<u8")
-        return int(hashes.view("<i8")[0])
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], "<u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[: -SHINGLE] + 1]).tolist()
+    starts = np.concatenate([[0], ends[: -size] + 1]).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
-        (digest(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist())), "<u8", len(starts)
+    return np.fromiter(
+        (digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist())), "<u8", len(starts)
     )
+
+
+def fingerprint(text: str | None) -> int:
+    """As a signed 64-bit integer."""
+    hashes = shingles(text, SHINGLE)
+    if not len(hashes):
+        return 0
+    if len(hashes) == 1:
+        return int(hashes.view("<i8")[0])
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         part = hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8)
@@ -191,10 +199,13 @@ def _forest(fps: np.ndarray, a: list, b: list) -> None:
         b.append(u[moved].view(np.int64))
 
 
-def grouped(prints: DataFrame) -> DataFrame:
-    """``prints`` (with doc_id and fp) with ``component_id``, the smallest doc_id, and ``root``, which names the group."""
+def grouped(prints: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """``prints`` (with doc_id and fp) with ``component_id``, the smallest doc_id, and ``root``, which names the group.
+
+    Without ``found``, links between fingerprints, they are those of near fingerprints.
+    """
     per_fp = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = materialize(components(links(per_fp)), "simhash-roots")
+    roots = materialize(components(links(per_fp) if found is None else found), "simhash-roots")
     linked = per_fp.join(roots.withColumnRenamed("node", "fp"), "fp")
     lowest = linked.groupBy("root").agg(F.min("first").alias("lowest"))
     named = linked.join(lowest, "root").select("fp", "root", "lowest")
@@ -216,6 +227,11 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """``docs``, read from files, with one row of each group: that of the smallest id, null ids last."""
     rows = docs.withColumn(ROW, F.monotonically_increasing_id())
     prints = materialize(fingerprints(rows, text, row=ROW, doc_id=doc_id), "fingerprints")
+    return first_of_each(docs, rows, prints)
+
+
+def first_of_each(docs: DataFrame, rows: DataFrame, prints: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """The columns of ``docs`` from ``rows``, for one row of each group of ``prints``."""
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
-    kept = grouped(prints).groupBy("root").agg(F.min_by("row", order).alias(ROW)).select(ROW)
+    kept = grouped(prints, found).groupBy("root").agg(F.min_by("row", order).alias(ROW)).select(ROW)
     return rows.join(kept, ROW, "left_semi").select(docs.columns)
