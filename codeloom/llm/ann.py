@@ -4,9 +4,10 @@ Vectors get one component more, so that the largest inner product is the least
 distance. Balanced splits of a bounded sample give the centroids. A graph links
 each centroid to near ones and to some far ones; a search walks it with a beam.
 Every vector goes to the list of its nearest centroid, and a boundary vector also
-to the lists whose centroids are about as near. A query reads the lists whose
-distance is within a ratio of the nearest one's. Scores are computed in double
-precision on the original vectors.
+to the lists whose centroids are about as near. A query is compared with every
+centroid; it reads the lists whose distance is within a ratio of the nearest
+one's, however many, and a least number of the nearest. Scores are computed in
+double precision on the original vectors.
 
 Equal vectors are one entry in the index, with the ids that can appear in a
 result, so a vector that a third of all rows share costs one row a task. Lists
@@ -34,8 +35,8 @@ from codeloom.session import materialize
 SAMPLE, LIST, LISTS = 20_000, 256, 2_500
 #: Lists that a vector may be in, and how much farther than the nearest they may be.
 REPLICAS, REPLICA_RATIO = 4, 1.05
-#: Lists that a query may read, and how much farther than the nearest they may be.
-PROBES, PROBE_RATIO = 128, 1.15
+#: Lists that a query reads at least, and how much farther than the nearest the others may be.
+PROBES, PROBE_RATIO = 256, 1.15
 #: Near and far links of a centroid, and the least width of the beam.
 NEAR, FAR, BEAM = 24, 8, 32
 #: Vectors of a list, and queries on it, that are compared in one group.
@@ -66,6 +67,17 @@ class Index:
         parts = [self._beam(x[i : i + 256], n) for i in range(0, len(x), 256)]
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
+    def within(self, x: np.ndarray, ratio: float, least: int) -> list[np.ndarray]:
+        """All centroids whose distance is within ``ratio`` of the nearest one's, and the ``least`` nearest."""
+        norms, least, out = (self.centroids**2).sum(axis=1), min(least, len(self.centroids)), []
+        for i in range(0, len(x), 256):
+            part = x[i : i + 256]
+            square = norms - 2 * part @ self.centroids.T + (part**2).sum(axis=1, keepdims=True)
+            far = np.sqrt(np.maximum(0, square))
+            edge = np.partition(far, least - 1, axis=1)[:, least - 1 : least]
+            out += [np.flatnonzero(k) for k in far <= np.maximum(edge, ratio * far.min(axis=1, keepdims=True))]
+        return out
+
     def _beam(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         q, size, rows = len(x), max(BEAM, n + n // 4), np.arange(len(x))[:, None]
         ids = np.full((q, size), -1)
@@ -142,8 +154,8 @@ def _norm() -> Column:
     return F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
 
 
-def _lists(df: DataFrame, index: Index, most: int, ratio: float, blocks: int, copies: int, salt: int) -> DataFrame:
-    """Rows (key, v) with each list that they go to: ``list, own, other, key, v``; own: block, other: copied to each."""
+def _lists(df: DataFrame, index: Index, most: int, ratio: float, query: bool) -> DataFrame:
+    """Rows ``key, v, lists`` with the lists that they go to: at most ``most`` for a vector, at least for a query."""
     held = shared(df, index)
 
     def run(it: Iterator[tuple]) -> Iterator[tuple]:
@@ -151,13 +163,14 @@ def _lists(df: DataFrame, index: Index, most: int, ratio: float, blocks: int, co
 
         def out() -> Iterator[tuple]:
             x = np.array([r[1] for r in rows])
-            x = lifted(x, held.value.norm) if salt == 0 else np.hstack([x, np.zeros((len(x), 1))])
-            ids, far = held.value.nearest(x, most)
-            keep = (ids >= 0) & (far <= ratio * far[:, :1] + 1e-12)
-            for (key, v), i, k in zip(rows, ids, keep):
-                for one in i[k].tolist():
-                    for other in range(copies):
-                        yield one, hash(key) % blocks, other, key, v
+            if query:
+                lists = held.value.within(np.hstack([x, np.zeros((len(x), 1))]), ratio, most)
+            else:
+                ids, far = held.value.nearest(lifted(x, held.value.norm), most)
+                keep = (ids >= 0) & (far <= ratio * far[:, :1] + 1e-12)
+                lists = [i[k] for i, k in zip(ids, keep)]
+            for (key, v), one in zip(rows, lists):
+                yield key, v, one.tolist()
             rows.clear()
 
         for row in it:
@@ -167,9 +180,19 @@ def _lists(df: DataFrame, index: Index, most: int, ratio: float, blocks: int, co
         if rows:
             yield from out()
 
-    return map_rows(
-        df.select("key", "v"), run, "list int, own int, other int, key long, v array<double>"
-    )
+    return map_rows(df.select("key", "v"), run, "key long, v array<double>, lists array<int>")
+
+
+def _blocked(df: DataFrame, own: str, blocks: int, other: str, copies: int) -> DataFrame:
+    """``list, own, other, key, v``: each row in its block of each list, once for each block of the other side."""
+    block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias(own)
+    rows = df.select(F.explode("lists").alias("list"), block, "key", "v")
+    return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select("list", own, other, "key", "v")
+
+
+def _largest(df: DataFrame) -> int:
+    """Rows of the largest list."""
+    return df.select(F.explode("lists").alias("list")).groupBy("list").count().agg(F.max("count")).first()[0] or 0
 
 
 def _pair_blocks(k: int):
@@ -208,15 +231,13 @@ def search(rows: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id"
         return given.select(
             F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")
         ).where(F.lit(False))
-    lists, n = len(index.centroids), distinct.count()
     per_key = asked.dropDuplicates(["key"])
-    blocks = max(1, n * REPLICAS // (lists * BLOCK))
-    query_blocks = max(1, per_key.count() * PROBES // (lists * QUERIES))
-    postings = _lists(distinct, index, REPLICAS, REPLICA_RATIO, blocks, query_blocks, 0)
-    probes = _lists(per_key, index, PROBES, PROBE_RATIO, query_blocks, blocks, 1)
+    postings = materialize(_lists(distinct, index, REPLICAS, REPLICA_RATIO, False), "postings")
+    probes = materialize(_lists(per_key, index, PROBES, PROBE_RATIO, True), "probes")
+    blocks, query_blocks = max(1, -(-_largest(postings) // BLOCK)), max(1, -(-_largest(probes) // QUERIES))
     at = ["list", "block", "query_block"]
-    postings = postings.withColumnsRenamed({"own": "block", "other": "query_block"}).groupBy(*at)
-    probes = probes.withColumnsRenamed({"own": "query_block", "other": "block"}).groupBy(*at)
+    postings = _blocked(postings, "block", blocks, "query_block", query_blocks).groupBy(*at)
+    probes = _blocked(probes, "query_block", query_blocks, "block", blocks).groupBy(*at)
     found = probes.cogroup(postings).applyInArrow(_pair_blocks(k + 1), "q long, key long, score double")
     found = found.groupBy("q", "key").agg(F.max("score").alias("score"))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "key")

@@ -193,3 +193,25 @@ def test_many_equal_vectors_and_bad_ones(spark):
     assert [v for _, v, _ in sorted(out[220])] == list(range(1, 21))
     assert ann.search(table.where("vec_id = 0"), ann.F.col("vec_id") % 20 == 0).count() == 0
     assert [r.vec_id for r in ann.search(table.where("vec_id >= 200"), ann.F.col("vec_id") == 200).collect()] == [220]
+
+
+def test_recall_with_thousands_of_lists(spark, monkeypatch):
+    """A third of the vectors are one tight cluster, over many more lists than a walk gives."""
+    for name, value in (("LIST", 8), ("LISTS", 2000), ("SAMPLE", 12_000)):
+        monkeypatch.setattr(ann, name, value)
+    rng, n = np.random.default_rng(11), 24_000
+    x, centre = rng.normal(size=(n, 64)), rng.normal(size=64)
+    x[: n // 3] = centre / np.linalg.norm(centre) + 0.01 * rng.normal(size=(n // 3, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert len(ann.build(table.selectExpr("vec_id AS key", "embedding AS v")).centroids) >= 2000
+    found = {q: set() for q in range(0, n, 120)}
+    for r in ann.search(table, ann.F.col("vec_id") % 120 == 0).collect():
+        found[r.query_id].add(r.vec_id)
+    recall = []
+    for q in found:
+        order = np.argsort(-(x @ x[q]), kind="stable")
+        recall.append(len(found[q] & set(order[order != q][:20].tolist())) / 20)
+    tight = len(range(0, n // 3, 120))
+    print("recall in the cluster and outside:", np.mean(recall[:tight]), np.mean(recall[tight:]))
+    assert np.mean(recall[:tight]) >= 0.9 and np.mean(recall[tight:]) >= 0.85
