@@ -58,18 +58,24 @@ def _percent(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(0.0)).otherwise(part / F.nullif(whole, F.lit(0)) * 100)
 
 
-def project_records(functions: DataFrame, parts: int = 1) -> DataFrame:
-    """Nested records: ``parts`` for every project, as far as it has files for them.
+def project_records(functions: DataFrame, parts: int | None = None) -> DataFrame:
+    """Nested records: one for each file of a project, or ``parts`` for every project, as far as it has files for them.
 
-    A file goes to a part by a hash of its path. With many functions to a project
-    more parts keep the rows small; the number holds for all projects alike, so
-    what a reader sees does not depend on a project's size.
+    A file's lines are bounded, so a record of one file is too, however large its
+    project; ``part`` is the file's hash then. With ``parts`` a file goes to a part
+    by that hash, and the number must grow with the projects. The rule holds for
+    all projects alike, so what a reader sees does not depend on a project's size.
     """
     bucket = F.conv(F.substring(F.md5(F.col("file_path")), 1, 8), 16, 10).cast("bigint")
     fields = [f.name for f in FUNCTION_FIELDS if f.name in functions.columns]
     record = F.struct("file_path", "line_number", F.struct(*fields).alias("function"))
+    if parts is None:
+        part, grain = bucket, ["author", "project", "part", "file_path"]
+    else:
+        part, grain = F.pmod(bucket, F.lit(parts)).cast("int"), ["author", "project", "part"]
     return (
-        functions.groupBy("author", "project", F.pmod(bucket, F.lit(parts)).cast("int").alias("part"))
+        functions.withColumn("part", part)
+        .groupBy(*grain)
         .agg(F.array_sort(F.collect_list(record)).alias("records"))
         .select("author", "project", "part", F.transform("records", lambda r: r["function"]).alias("functions"))
     )

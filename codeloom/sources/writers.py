@@ -14,9 +14,11 @@ from codeloom.operators.evaluate import in_problem_order
 from codeloom.operators.metrics import project_records
 
 
-def write_projects(functions: DataFrame, path: str, as_json: bool = False, mode: str = "overwrite") -> None:
-    """Nested project records as Parquet, or as JSON lines in UTF-8."""
-    records = project_records(functions)
+def write_projects(
+    functions: DataFrame, path: str, as_json: bool = False, mode: str = "overwrite", parts: int | None = None
+) -> None:
+    """Nested project records as Parquet, or as JSON lines in UTF-8; one for each file, or ``parts`` for a project."""
+    records = project_records(functions, parts)
     if as_json:
         records.write.mode(mode).option("encoding", "UTF-8").json(path)
     else:

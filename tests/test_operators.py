@@ -117,6 +117,15 @@ def test_project_records_round_trip(functions, parts):
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
 
 
+def test_project_records_are_bounded_by_a_file(functions):
+    df = functions(*[{"project": "big", "file_path": f"f{i // 2}", "line_number": i} for i in range(40)], {"project": "small"})
+    records = project_records(df)
+    big = records.where("project = 'big'").select(F.size("functions").alias("n"), "functions.file_path").collect()
+    assert [r.n for r in big] == [2] * 20 and all(len(set(r.file_path)) == 1 for r in big)
+    rows = [str(r) for r in flatten_projects(records).select(*df.columns).collect()]
+    assert sorted(rows) == sorted(str(r) for r in df.collect())
+
+
 @pytest.mark.parametrize("fraction", [0.0, 0.005, 0.1, 0.35, 0.5, 0.999, 1.0])
 def test_sample_size_is_exact(spark, sf, fraction):
     df = views.code_functions(spark, sf)
