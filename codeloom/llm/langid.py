@@ -4,8 +4,8 @@ For each language a raw-content dictionary is cut from labelled texts. A text is
 reduced to its letters and compressed, block by block, once with each
 dictionary; the language whose dictionary gives the fewest bytes wins. Blocks
 keep long texts from becoming their own dictionary. Where the best two are close,
-a stronger compression level measures them again. If they stay as good as equal
-the text is rejected.
+a stronger compression level measures them again. If they stay close the text is
+rejected, and so is a text that even the best dictionary hardly makes smaller.
 
 Texts that are null or have no letter get ``und``, a score of 0 and are
 rejected. With one learned language all others get it. With none every text is
@@ -28,9 +28,11 @@ SAMPLE, SHORTEST, LONGEST = 200, 200, 4000
 #: Bytes of a dictionary, and of a block.
 DICTIONARY, BLOCK = 1 << 17, 1 << 12
 #: Compression levels: for every text, and for those whose margin, a share of the second best size, is under CLOSE.
-LEVEL, CLOSER_LEVEL, CLOSE = 3, 9, 0.03
-#: A margin below this rejects.
-MARGIN = 0.001
+LEVEL, CLOSER_LEVEL, CLOSE = 3, 9, 0.08
+#: A margin below this rejects. Of the training tables' texts 99% have more, of texts in a language that was not learned 5%.
+MARGIN = 0.04
+#: Bytes for each byte of letters, and for a text; more rejects, as in random letters.
+CEILING, START = 0.57, 25
 UNKNOWN = "und"
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -73,13 +75,14 @@ class Classifier:
         if not shown or not self.languages:
             return UNKNOWN, 0.0, False
         blocks = [shown[i : i + BLOCK] for i in range(0, len(shown), BLOCK)]
+        ceiling = CEILING * len(shown) + START * len(blocks)
         for level in (LEVEL, CLOSER_LEVEL):
             sizes = [sum(len(c.compress(b)) for b in blocks) for c in self.compressors[level]]
             best, *rest = sorted(sizes)
             margin = (rest[0] - best) / rest[0] if rest else 1.0
-            if margin >= CLOSE:
+            if margin >= CLOSE and best <= ceiling:
                 break
-        return self.languages[sizes.index(best)], margin, margin >= MARGIN
+        return self.languages[sizes.index(best)], margin, margin >= MARGIN and best <= ceiling
 
 
 def _compressor(raw: bytes, level: int) -> zstandard.ZstdCompressor:

@@ -105,3 +105,19 @@ def test_language_edges(spark, docs):
     assert langid.fit(table.where("doc_id < 0")) == {}
     assert {r.lang_pred for r in langid.predict(cases, {}).collect()} == {"und"}
     assert langid.predict(docs([]), learned).count() == 0
+
+
+def test_unlearned_languages_and_random_letters_are_rejected(spark):
+    texts = {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect():
+        if r.text and len(r.text) >= 200:
+            texts.setdefault(r.lang, []).append(r.text)
+    learned = {k: langid.dictionary(v[::2]) for k, v in texts.items() if k != "fr"}
+    classify, rng = langid.Classifier(learned), random.Random(3)
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(n)) for n in (30, 100, 600) * 20]
+    short = [t[:200] for k in learned for t in texts[k][1::2]]
+    shares = [np.mean([classify(t)[2] for t in kind]) for kind in (texts["fr"], noise, short)]
+    print('accepted: unlearned, random, short:', shares)
+    assert shares[0] < 0.1 and shares[1] < 0.05 and shares[2] > 0.95, shares
+    one = langid.Classifier({"en": learned["en"]})
+    assert np.mean([one(t)[2] for t in noise]) < 0.05 and np.mean([one(t[:200])[2] for t in texts["en"][1::2]]) > 0.95
