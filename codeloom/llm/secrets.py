@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import columns, map_rows
 from codeloom.session import materialize
 
-FINDING = "array<struct<start: int, kind_no: int, kind: string, end: int>>"
+FINDING = "array<struct<start: int, kind_no: int, kind: string, end: int, version: int>>"
 #: Added to the rows of ``redact`` while it runs.
 BLOB, FOUND = "__secret_blob__", "__secret_found__"
 LEDGER = f"blob binary, rules array<string>, findings {FINDING}"
@@ -91,7 +91,7 @@ def _compiled(rule: Rule) -> re.Pattern:
 
 def _found(text: str, patterns: list[tuple[int, Rule, re.Pattern]]) -> list[dict]:
     spans = [
-        {"start": m.start(), "kind_no": i, "kind": r.kind, "end": m.end()}
+        {"start": m.start(), "kind_no": i, "kind": r.kind, "end": m.end(), "version": r.version}
         for i, r, p in patterns
         for m in p.finditer(text)
         if r.holds(m)
@@ -100,11 +100,11 @@ def _found(text: str, patterns: list[tuple[int, Rule, re.Pattern]]) -> list[dict
 
 
 def findings(seen: DataFrame, ledger: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """``path, findings`` of every version, ordered by start and kind; empty without any."""
+    """``path, findings`` of every version by the given rules' versions, ordered by start and kind; empty without any."""
     known = F.array(*[F.lit(r.name) for r in rules])
     per_scan = ledger.where(F.arrays_overlap("rules", known) & (F.size("findings") > 0))
-    kinds = [r.kind for r in rules]
-    wanted = F.filter("findings", lambda f: f["kind"].isin(kinds))
+    names = [r.name for r in rules]
+    wanted = F.filter("findings", lambda f: F.concat_ws("@", f["kind"], f["version"]).isin(names))
     by_blob = per_scan.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(wanted))).alias("findings"))
     return (
         seen.select("path", "blob")
