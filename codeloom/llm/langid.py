@@ -52,14 +52,22 @@ def fit(docs: DataFrame, held_out: int = 0, of: int = 5) -> dict[str, bytes]:
     order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "doc_id")
     sample = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE)
     frequent = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    texts: dict[str, set[str]] = {}
-    for r in sample.select("lang", "text").collect():
-        texts.setdefault(r["lang"], set()).add(r["text"])
-    return {lang: dictionary(sorted(texts[lang])) for lang in sorted(texts, key=lambda k: (-frequent[k], k))}
+    texts: dict[str, dict[str, None]] = {}
+    for r in sorted(sample.select("lang", "n", "text").collect(), key=lambda r: r["n"]):
+        texts.setdefault(r["lang"], {})[r["text"]] = None
+    return {lang: dictionary(list(texts[lang])) for lang in sorted(texts, key=lambda k: (-frequent[k], k))}
 
 
 def dictionary(texts: list[str]) -> bytes:
-    return b" ".join(letters(t) for t in texts)[-DICTIONARY:]
+    """At most ``DICTIONARY`` bytes, of every text as much: short texts whole, of the others the same share from the start."""
+    parts = [letters(t) for t in texts]
+    room, share = DICTIONARY - len(parts), 0
+    for i, n in enumerate(sorted(map(len, parts))):
+        share = room // (len(parts) - i)
+        if n > share:
+            break
+        share, room = n, room - n
+    return b" ".join(p[:share] for p in parts)
 
 
 class Classifier:

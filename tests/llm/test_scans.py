@@ -131,3 +131,12 @@ def test_findings_of_current_versions_only(spark, docs):
     for current in (secrets.RULES, rules):
         (row,) = secrets.findings(seen, both, current).collect()
         assert [f.kind for f in row.findings] == ["assign", "hex", "access"]
+
+
+def test_dictionary_holds_some_of_every_text():
+    texts = [f"{a}{b} " * 700 for a in "abcdefghijklmnopqrst" for b in "abcdefghij"]
+    learned = langid.dictionary([*texts, "short"])
+    assert len(learned) <= langid.DICTIONARY and learned.endswith(b" short")
+    words = learned.split()
+    counts = [words.count(t[:2].encode()) for t in texts]
+    assert min(counts) > 0 and max(counts) - min(counts) <= 1 and len(learned) > 0.95 * langid.DICTIONARY
