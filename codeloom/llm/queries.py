@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import ann, bpe, langid, packing, quality, rules, secrets, simhash, substring, toxicity
+from codeloom.llm import (
+    ann,
+    bpe,
+    langid,
+    merkle,
+    packing,
+    prefixcounts,
+    quality,
+    rules,
+    secrets,
+    simhash,
+    substring,
+    toxicity,
+)
 from codeloom.llm.common import documents, remainder
 from codeloom.llm.textstats import COUNTS, labelled, text_statistics
 from codeloom.session import materialize
@@ -90,6 +103,25 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    others = [F.col("doc_id"), F.col("source"), F.col("lang")]
+    leaf = merkle.digest(*others, F.col("n_chars"), F.col("text"))
+    changed = F.coalesce(remainder(F.col("doc_id"), 7) == 0, F.lit(False)) & F.col("n_chars").isNotNull()
+    other = F.when(changed, merkle.digest(*others, F.col("n_chars") + 1, F.col("text")))
+    given = docs.select("doc_id", "lang", leaf.alias("leaf"), other.alias("other"))
+    proofs = merkle.manifest(given, "lang", "doc_id", "leaf", "doc_id", "other")
+    proofs = proofs.withColumn("used", F.coalesce("other", "leaf"))
+    return merkle.verified(proofs, "used").select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
+def op13_prefixcounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = prefixcounts.prefix_counts(documents(spark, sf_dir), prefixcounts.piece_model())
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,6 +141,8 @@ QUERIES = {
         op8_quality,
         op9_neighbours,
         op10_simhash,
+        op11_merkle,
+        op13_prefixcounts,
         pipeline,
     )
 }
