@@ -18,6 +18,7 @@ from codeloom.llm import (
     simhash,
     substring,
     toxicity,
+    trie,
 )
 from codeloom.llm.common import documents, remainder
 from codeloom.llm.textstats import COUNTS, labelled, text_statistics
@@ -117,6 +118,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_prefixcounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = prefixcounts.prefix_counts(documents(spark, sf_dir), prefixcounts.piece_model())
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
@@ -142,6 +147,7 @@ QUERIES = {
         op9_neighbours,
         op10_simhash,
         op11_merkle,
+        op12_trie,
         op13_prefixcounts,
         pipeline,
     )
@@ -200,4 +206,81 @@ SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op2_secrets": OP2_SQL, "op6_substring": OP6_SQL}
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of ASCII text, bit by bit; 3988292384 is its polynomial."""
+    bits = "list_reduce(list_prepend(xor(a, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, n: xor(v >> 1, 3988292384 * (v & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda c: ord(c)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, c: {bits}), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || {value}, '-')"
+
+
+def _levels(name: str, group: str, start: str) -> str:
+    return f"""{name} AS (
+  {start} UNION ALL
+  SELECT {group}, level + 1, [sha256(array_to_string(nodes[j:j+1], '')) FOR j IN range(1, len(nodes) + 1, 2)]
+  FROM {name} WHERE len(nodes) > 1)"""
+
+
+_LEAF = "sha256(" + " || ".join(map(_field, ["doc_id", "source", "lang", "n_chars + {0}", "text"])) + ")"
+_STEP = "CASE WHEN xor({0} >> level, 1) < ({0} >> level) THEN 'L' ELSE 'R' END || coalesce(nodes[xor({0} >> level, 1) + 1], '')"
+
+OP11_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+  FROM (SELECT doc_id, lang, {_LEAF.format(0)} AS leaf,
+               CASE WHEN doc_id IS NOT NULL AND {_crc32("doc_id::VARCHAR")} % 7 = 0 THEN {_LEAF.format(1)} ELSE {_LEAF.format(0)} END AS used
+        FROM documents)),
+{_levels("low", "lang", "SELECT lang, 0 AS level, list(leaf ORDER BY i) AS nodes FROM d GROUP BY lang")},
+subs AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS k FROM low WHERE len(nodes) = 1),
+{_levels("top", "g", "SELECT 0 AS g, 0 AS level, list(subroot ORDER BY k) AS nodes FROM subs")},
+steps AS (
+  SELECT d.lang, i, level, {_STEP.format("i")} AS step FROM d JOIN low ON d.lang IS NOT DISTINCT FROM low.lang WHERE len(nodes) > 1
+  UNION ALL
+  SELECT d.lang, i, 1000 + level, {_STEP.format("k")} FROM d JOIN subs ON d.lang IS NOT DISTINCT FROM subs.lang, top WHERE len(nodes) > 1),
+paths AS (SELECT lang, i, list(step ORDER BY level) AS path FROM steps GROUP BY lang, i),
+folded AS (
+  SELECT doc_id, leaf, subroot, nodes[1] AS root,
+         sha256(array_to_string(list_transform(coalesce(path, []), lambda s: s[2:]), '')) AS proof_sha256,
+         list_reduce(list_prepend(used, coalesce(path, [])),
+                     lambda a, s: sha256(CASE WHEN s[1] = 'L' THEN s[2:] || a ELSE a || s[2:] END)) AS folded_root
+  FROM d JOIN subs ON d.lang IS NOT DISTINCT FROM subs.lang
+  LEFT JOIN paths ON d.lang IS NOT DISTINCT FROM paths.lang AND d.i = paths.i, top WHERE len(nodes) = 1)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+OP12_SQL = f"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+         sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said,
+         len(regexp_extract_all(coalesce(text, ''), '[^{_SPACE}]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT conv_id, {_crc32("conv_id::VARCHAR")} % 4 AS h FROM t),
+turns AS (
+  SELECT ids.conv_id, 0 AS own, pos, said, words FROM ids JOIN t ON t.conv_id = ids.conv_id - ids.conv_id % 20 AND pos < h
+  UNION ALL SELECT conv_id, 1, pos, said, words FROM t JOIN ids USING (conv_id) WHERE pos >= h),
+convs AS (
+  SELECT conv_id, coalesce(all_said, []) AS said, coalesce(all_words, []) AS words
+  FROM ids LEFT JOIN (SELECT conv_id, list(said ORDER BY own, pos) AS all_said, list(words ORDER BY own, pos) AS all_words
+                      FROM turns GROUP BY conv_id) USING (conv_id)),
+members AS (
+  SELECT conv_id, d, array_to_string(said[1:d], '') AS node, d = len(said) AS last, CASE WHEN d = 0 THEN 0 ELSE words[d] END AS words
+  FROM convs, LATERAL (SELECT unnest(range(0, len(said) + 1)) AS d)),
+nodes AS (
+  SELECT node, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '') AS ends
+  FROM members GROUP BY node, d),
+kids AS (SELECT left(node, length(node) - 64) AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+whole AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN kids USING (node)),
+sums AS (
+  SELECT left(node, 64 * up) AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM whole, LATERAL (SELECT unnest(range(0, depth + 1)) AS up) GROUP BY 1)
+SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, sha256(w.ends) AS ends_sha256
+FROM whole w JOIN sums USING (node) LEFT JOIN whole p ON w.depth > 0 AND p.node = left(w.node, length(w.node) - 64)
+"""
+
+ORACLES = {"op2_secrets": OP2_SQL, "op6_substring": OP6_SQL, "op11_merkle": OP11_SQL, "op12_trie": OP12_SQL}
