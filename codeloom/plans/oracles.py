@@ -21,7 +21,10 @@ TOKEN = r"<\|endoftext\|>|<\|unk\|>|[A-Za-z0-9_]+|[^A-Za-z0-9_\t\n\x0b\f\r ]"
 
 def oracle(name: str, sql: str, *views: str) -> None:
     with_ = oracle_views(*views)
-    if views and sql.lstrip().upper().startswith("WITH "):
+    recursive = "WITH RECURSIVE "
+    if views and sql.startswith(recursive):
+        sql = recursive + with_.removeprefix("WITH ") + ", " + sql.removeprefix(recursive)
+    elif views and sql.lstrip().upper().startswith("WITH "):
         sql = with_ + ", " + sql.lstrip()[5:]
     elif views:
         sql = with_ + "\n" + sql
@@ -733,6 +736,26 @@ oracle(
     "code_functions",
 )
 
+oracle(
+    "similar_functions",
+    f"""WITH RECURSIVE texts AS (
+      SELECT author || '/' || project || '/' || file_path AS id, body, {tokens('body')} AS t FROM code_functions),
+    own AS (SELECT DISTINCT id, gram FROM {grams('texts', 'id', 'body')}
+      WHERE n = 4 UNION ALL SELECT id, array_to_string(t, ' ') FROM texts WHERE len(t) BETWEEN 1 AND 3),
+    grams AS (SELECT id, coalesce(g, []) AS g FROM texts LEFT JOIN
+      (SELECT id, list(gram ORDER BY gram) AS g FROM own GROUP BY id) USING (id)),
+    sets AS (SELECT min(id) AS s, g, len(g) AS n FROM grams GROUP BY g),
+    posted AS (SELECT s, n, unnest(g) AS gram FROM sets),
+    shared AS (SELECT a.s AS a, b.s AS b, a.n + b.n AS both_n, count(*) AS c
+      FROM posted AS a JOIN posted AS b ON a.gram = b.gram AND a.s <> b.s AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n)
+      GROUP BY ALL),
+    linked AS (SELECT a, b FROM shared WHERE c / (both_n - c)::DOUBLE >= 0.8),
+    reached AS (SELECT s, s AS low FROM sets UNION SELECT r.s, b FROM reached AS r JOIN linked ON low = a),
+    classes AS (SELECT g, min(low) AS class_id FROM reached JOIN sets USING (s) GROUP BY g)
+    SELECT id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FROM grams JOIN classes USING (g)""",
+    "code_functions",
+)
+
 _DIMENSIONS = """
 WITH values AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x,
   generate_subscripts(embedding, 1) AS i FROM embeddings),

@@ -43,6 +43,7 @@ from codeloom.operators.metrics import (
     stage_audit,
 )
 from codeloom.operators.sample import exact_sample
+from codeloom.operators.similar import similar_classes
 from codeloom.plans import views as v
 from codeloom.schemas import KEY
 from codeloom.session import materialize
@@ -623,6 +624,13 @@ def ngram_corpus_similarity(spark, sf):
     )
 
 
+@query
+def similar_functions(spark, sf):
+    """Functions whose bodies are similar, in classes."""
+    texts = v.code_functions(spark, sf).select(F.concat_ws("/", *ID).alias("id"), "body")
+    return similar_classes(texts, "id", "body")
+
+
 def _labelled(spark, sf):
     return as_vectors(v.table(spark, sf, "embeddings")).withColumn("prediction", F.col("label").cast("double"))
 
