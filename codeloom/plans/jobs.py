@@ -36,21 +36,24 @@ def build_corpus(
     """Source files to a table of functions; returns the table.
 
     ``profile``: ``"text"``, or ``"syntax"``, which also leaves out files with a
-    function that nothing closes. Authors are capped by their files, before
+    function that nothing closes, files outside a project, and paths that speak of
+    tests; those are neither extracted nor rejects. Authors are capped by their files, before
     anything is extracted. ``rejects`` names a table for ``(path, reason)`` of
     the source files that are skipped; ``unread``, such as the readers'
     ``read_oversized``, has those that could not even become a row, of all authors.
     """
     if profile not in ("text", "syntax"):
         raise ValueError(f"unknown profile: {profile}")
-    author = path_part(F.col("path"), 0)
-    files = p.of_first_authors(files.where(p.is_kept_source(F.col("path"))).withColumn("author", author), first_authors)
+    wanted, author = p.is_kept_source(F.col("path")), path_part(F.col("path"), 0)
+    if profile == "syntax":
+        wanted &= p.is_project_source(F.col("path"))
+    files = p.of_first_authors(files.where(wanted).withColumn("author", author), first_authors)
     files = files.drop("author")
     reason = p.reject_reason(F.col("content"), unclosed=profile == "syntax")
     if rejects is not None:
         skipped = files.select("path", F.explode(F.array_compact(F.array(reason))).alias("reason"))
         if unread is not None:
-            skipped = skipped.unionByName(unread.where(p.is_kept_source(F.col("path"))).select("path", "reason"))
+            skipped = skipped.unionByName(unread.where(wanted).select("path", "reason"))
         skipped.write.mode("overwrite").parquet(rejects)
     kept = files.where(reason.isNull())
     functions = extract_by_syntax(kept) if profile == "syntax" else extract_functions(kept, end_rule)

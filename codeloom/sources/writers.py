@@ -45,13 +45,13 @@ def write_files(files: DataFrame, path: str, mode: str = "append") -> None:
     kept.write.mode(mode).option("compression", "zstd").parquet(path)
 
 
-def rejects(files: DataFrame, limit: int = p.MAX_FILE_LINES) -> DataFrame:
-    """``(path, reason)`` of the files that extraction skips.
+def rejects(files: DataFrame, limit: int = p.MAX_FILE_LINES, unclosed: bool = True) -> DataFrame:
+    """``(path, reason)`` of the files that extraction skips; ``unclosed``: also for a function without an end.
 
     Exploding the one reason or none judges each file once; a filter on the
     reason would be pushed down and judge it twice.
     """
-    reason = p.reject_reason(F.col("content"), limit)
+    reason = p.reject_reason(F.col("content"), limit, unclosed)
     return files.select("path", F.explode(F.array_compact(F.array(reason))).alias("reason"))
 
 

@@ -12,6 +12,7 @@ from codeloom.operators.extract import extract_functions
 from codeloom.plans import jobs, views
 from codeloom.sources import archives, readers, writers
 from codeloom.sources.storage import in_batches
+from codeloom.streaming import ingest
 from codeloom.streaming.ingest import ingest_available
 
 SOURCES = {
@@ -236,6 +237,47 @@ def test_ingest_resumes(spark, tmp_path):
     ]
 
 
+def test_ingest_records_what_it_skips(spark, tmp_path, monkeypatch):
+    """A run that breaks between the two writes is done again; each file is in one of the tables, once."""
+    source, target, checkpoint, left = (str(tmp_path / x) for x in ("files", "out", "state", "left"))
+    good = [(f"dev/P.jl/f{i}.jl", bytearray(b"function f(x)\n 1\nend\n")) for i in range(3)]
+    bad = [("dev/P.jl/bad.jl", bytearray(b"f(x) = \xff")), ("dev/P.jl/long.jl", bytearray(b"\n" * 10_001))]
+    other = [("dev/P.jl/readme.md", bytearray(b"\xff")), ("dev/P.jl/.git/x.jl", bytearray(b"\xff"))]
+    spark.createDataFrame(good + bad + other, "path string, content binary").write.parquet(source)
+    real, calls = ingest.write_batch, []
+
+    def breaks(rows, folder, batch):
+        calls.append(folder)
+        if len(calls) == 2:
+            raise OSError("lost between both writes")
+        real(rows, folder, batch)
+
+    monkeypatch.setattr(ingest, "write_batch", breaks)
+    with pytest.raises(Exception):
+        ingest_available(spark, source, target, checkpoint, rejects=left)
+    assert calls == [target, left] and spark.read.parquet(target).count() == 3
+    assert ingest_available(spark, source, target, checkpoint, rejects=left) == 1
+    assert ingest_available(spark, source, target, checkpoint, rejects=left) == 0
+    functions, skipped = spark.read.parquet(target), spark.read.parquet(left)
+    assert sorted(r.file_path for r in functions.collect()) == [path for path, _ in good]
+    assert sorted((r.path, r.reason) for r in skipped.collect()) == [
+        ("dev/P.jl/bad.jl", "not utf-8"),
+        ("dev/P.jl/long.jl", "too many lines"),
+    ]
+
+
+def test_syntax_job_leaves_tests_and_loose_files_out(spark, tmp_path):
+    paths = ["dev/P.jl/a.jl", "dev/P.jl/Test/b.jl", "dev/P.jl/src/mytests.jl", "dev/c.jl", "dev/P.jl/.github/d.jl"]
+    rows = [(path, bytearray(b"function f(x)\n 1\nend\n")) for path in paths]
+    rows += [("dev/P.jl/test/bad.jl", bytearray(b"\xff")), ("dev/P.jl/bad.jl", bytearray(b"\xff"))]
+    files, out, left = spark.createDataFrame(rows, "path string, content binary"), str(tmp_path / "out"), str(tmp_path / "left")
+    got = jobs.build_corpus(files, out, profile="syntax", rejects=left)
+    assert [r.file_path for r in got.collect()] == ["dev/P.jl/a.jl"]
+    assert [r.path for r in spark.read.parquet(left).collect()] == ["dev/P.jl/bad.jl"]
+    got = jobs.build_corpus(files, out, rejects=left)
+    assert sorted(r.file_path for r in got.collect()) == sorted(paths[:4])
+
+
 def test_cluster_job(spark, sf):
     embeddings = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = jobs.explore_clusters(embeddings, "vec_id", fraction=0.5, ks=[2, 3]).collect()
