@@ -15,8 +15,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from codeloom.schemas import FILES
+from codeloom.schemas import FILES, PROJECTS
 from codeloom.session import partitioned
 from codeloom.sources.readers import LISTED, MAX_FILE_BYTES
 from codeloom.sources.storage import in_batches, locate
@@ -108,3 +109,17 @@ def read_oversized(spark: SparkSession, archives: list[str] | DataFrame) -> Data
     """``(path, reason)`` of members that no row can hold, for the table of rejects."""
     large = list_members(spark, archives).where(F.col("size") > MAX_FILE_BYTES)
     return large.select("path", F.lit("too large").alias("reason"))
+
+
+def read_zipped_projects(
+    spark: SparkSession, archives: list[str] | DataFrame, suffix: str = ".json", mode: str = "FAILFAST"
+) -> DataFrame:
+    """Nested project records from JSON members of archives, as ``readers.read_projects`` gives them from plain files.
+
+    A member holds one array of records, or one record. Members are read in
+    parallel, and one member is one row while it is parsed, so an export should
+    have many members or be written as Parquet once.
+    """
+    files = read_archives(spark, archives, F.endswith("path", F.lit(suffix)))
+    records = F.from_json(F.col("content").cast("string"), T.ArrayType(PROJECTS), {"mode": mode})
+    return files.select(F.inline(records))

@@ -237,6 +237,28 @@ def test_ingest_resumes(spark, tmp_path):
     ]
 
 
+def test_zipped_projects(spark, tmp_path):
+    """Zipped JSON gives the rows of the plain files, from arrays and from single records."""
+    function = {"signature": "f(x) =", "documentation": "d \u00e9", "body": "x", "inline_comments": ["a", "b"], "line_number": 3}
+    records = [{"author": f"dev{i}", "project": "P.jl", "functions": [function] * i} for i in range(4)]
+    plain = tmp_path / "plain"
+    plain.mkdir()
+    (plain / "a.json").write_text(json.dumps(records[:3], indent=1))
+    (plain / "b.json").write_text(json.dumps(records[3]))
+    for name in ("one.zip", "two.zip"):
+        with zipfile.ZipFile(tmp_path / name, "w", zipfile.ZIP_DEFLATED) as z:
+            z.write(plain / ("a.json" if name == "one.zip" else "b.json"), "data/combined.json")
+            z.writestr("notes.txt", "no json")
+    zipped = archives.read_zipped_projects(spark, [str(tmp_path / "one.zip"), str(tmp_path / "two.zip")])
+    wanted = readers.read_projects(spark, str(plain))
+    assert zipped.columns == wanted.columns and wanted.count() == 4
+    assert sorted(map(repr, zipped.collect())) == sorted(map(repr, wanted.collect()))
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+        z.writestr("a.json", "[{")
+    with pytest.raises(Exception):
+        archives.read_zipped_projects(spark, [str(tmp_path / "bad.zip")]).collect()
+
+
 def test_ingest_records_what_it_skips(spark, tmp_path, monkeypatch):
     """A run that breaks between the two writes is done again; each file is in one of the tables, once."""
     source, target, checkpoint, left = (str(tmp_path / x) for x in ("files", "out", "state", "left"))
