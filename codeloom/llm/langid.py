@@ -43,17 +43,26 @@ def letters(text: str) -> bytes:
 
 
 def fit(docs: DataFrame, held_out: int = 0, of: int = 5) -> dict[str, bytes]:
-    """A dictionary for each language, from at most ``SAMPLE`` texts each: those with the smallest hashes."""
+    """A dictionary for each language, from at most ``SAMPLE`` texts each: those with the smallest hashes.
+
+    Texts of ``SHORTEST`` to ``LONGEST`` code points are taken where a language
+    has any, else all its texts that have a letter, of long ones the start.
+    """
     rows = columns(docs, doc_id="doc_id", text="text", lang="lang").where(
         F.col("lang").isNotNull()
-        & F.length("text").between(SHORTEST, LONGEST)
+        & F.rlike("text", F.lit(r"\p{L}"))
         & (remainder(F.col("doc_id"), of) != held_out)
     )
+    rows = rows.withColumn("usual", F.length("text").between(SHORTEST, LONGEST))
+    counts = rows.groupBy("lang").agg(F.count_if("usual").alias("usual"), F.count(F.lit(1)).alias("all")).collect()
+    frequent = {r["lang"]: r["usual"] or r["all"] for r in counts}
+    unusual = [r["lang"] for r in counts if not r["usual"]]
     order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "doc_id")
-    sample = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE)
-    frequent = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sample = rows.where(F.col("usual") | F.col("lang").isin(unusual))
+    sample = sample.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE)
+    sample = sample.select("lang", "n", F.substring("text", 1, LONGEST).alias("text"))
     texts: dict[str, dict[str, None]] = {}
-    for r in sorted(sample.select("lang", "n", "text").collect(), key=lambda r: r["n"]):
+    for r in sorted(sample.collect(), key=lambda r: r["n"]):
         texts.setdefault(r["lang"], {})[r["text"]] = None
     return {lang: dictionary(list(texts[lang])) for lang in sorted(texts, key=lambda k: (-frequent[k], k))}
 
@@ -80,7 +89,7 @@ class Classifier:
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, accepted."""
         shown = letters(text or "")
-        if not shown or not self.languages:
+        if not shown or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, False
         blocks = [shown[i : i + BLOCK] for i in range(0, len(shown), BLOCK)]
         ceiling = CEILING * len(shown) + START * len(blocks)

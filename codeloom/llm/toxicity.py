@@ -282,15 +282,25 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: int = 0, of: int = 5) -> Network | None:
-    """From at most ``SAMPLE`` documents with each label, those with the smallest hashes, outside the held-out rows."""
+    """From at most ``SAMPLE`` documents with each label, those with the smallest hashes, outside the held-out rows.
+
+    They are chosen among those that have a text, of up to ``LONGEST`` code points
+    first. Of longer texts the start is learned from. An id counts once, with the
+    text of the smallest hash, however often it is in either table.
+    """
     known = columns(labels, doc_id="doc_id", y=label).where("doc_id IS NOT NULL AND y IN (0, 1)")
-    rows = columns(docs, doc_id="doc_id", text="text").where(F.length("text") <= LONGEST)
-    chosen = known.where(remainder(F.col("doc_id"), of) != held_out).dropDuplicates(["doc_id"])
+    known = known.where(remainder(F.col("doc_id"), of) != held_out).groupBy("doc_id").agg(F.min("y").alias("y"))
+    rows = columns(docs, doc_id="doc_id", text="text").where("text IS NOT NULL")
+    lengths = rows.groupBy("doc_id").agg(F.min(F.length("text")).alias("length"))
+    chosen = known.join(lengths, "doc_id")
     picked = None
     for value in (0, 1):
-        part = chosen.where(F.col("y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+        order = F.col("length") > LONGEST, F.xxhash64("doc_id"), "doc_id"
+        part = chosen.where(F.col("y") == value).orderBy(*order).limit(SAMPLE)
         picked = part if picked is None else picked.unionByName(part)
-    sample = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").collect()
+    some = rows.join(F.broadcast(picked), "doc_id")
+    cut = F.struct(F.length("text") > LONGEST, F.xxhash64("text"), F.substring("text", 1, LONGEST).alias("text"))
+    sample = some.groupBy("doc_id", "y").agg(F.min(cut)["text"].alias("text")).collect()
     sample = sorted((r["doc_id"], r["text"], int(r["y"])) for r in sample)
     return train([r[1] for r in sample], np.array([r[2] for r in sample]))
 
