@@ -4,7 +4,8 @@ import re
 import numpy as np
 import xxhash
 
-from codeloom.llm import ann, graph, simhash, substring
+from codeloom.llm import ann, simhash, substring
+from codeloom.operators.components import components
 from codeloom.llm.queries import op6_substring, op9_neighbours, op10_simhash
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -128,15 +129,15 @@ def test_links_join_all_that_is_near(spark, monkeypatch):
     table = spark.createDataFrame([(f,) for f in fps], "fp long").repartition(4)
     for bucket in (512, 8):
         monkeypatch.setattr(simhash, "BUCKET", bucket)
-        roots = {r.node: r.root for r in graph.components(simhash.links(table)).collect()}
+        roots = {r.node: r.root for r in components(simhash.links(table)).collect()}
         assert [roots.get(f, f) for f in fps] == [fps[i] for i in wanted]
 
 
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5), (7, 6), (-3, -9)]
-    out = {r.node: r.root for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    out = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert out == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(300)}, -3: -9, -9: -9}
-    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_near_duplicates_edges(docs):
