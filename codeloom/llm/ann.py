@@ -1,27 +1,36 @@
 """Approximate nearest neighbours by inner product, with balanced posting lists.
 
 Vectors get one component more, so that the largest inner product is the least
-distance. Balanced splits of a bounded sample give the centroids. A graph links
-each centroid to near ones and to some far ones; a search walks it with a beam.
-Every vector goes to the list of its nearest centroid, and a boundary vector also
-to the lists whose centroids are about as near. A query is compared with every
-centroid; it reads the lists whose distance is within a ratio of the nearest
-one's, however many, and a least number of the nearest. Scores are computed in
-double precision on the original vectors.
+distance; queries are stretched to the greatest length, which changes no order.
+Balanced splits of a bounded sample give the centroids. A graph links each
+centroid to near ones and to some far ones; a walk starts at a few and goes on
+from every centroid that is within a ratio of the nearest one's distance or
+among the nearest ones so far. Every vector goes to the list of its nearest
+centroid, and a boundary vector also to the lists whose centroids are about as
+near. A query reads all lists that the walk finds within its ratio, and no
+others; that ratio is learned: it is the one under which sample vectors find
+``RECALL`` of their nearest in the sample, who are farther than those in the
+table. Scores are computed in double precision on the original vectors.
+
+A query reads its nearest lists first. Of the others it takes only what is no
+worse than its k-th best so far, so few rows leave a list, and none that could
+be among the nearest is lost.
 
 Equal vectors are one entry in the index, with the ids that can appear in a
-result, so a vector that a third of all rows share costs one row a task. Lists
-and the queries on them are cut into blocks of bounded size.
+result, so a vector that a third of all rows share costs one row a task. Each list
+and the queries on it are cut into blocks of bounded size.
 
 Rows with a null id, and vectors that are null, empty, zero, of another length
 than most, or hold null or non-finite components take no part. Repeated rows of
-an id and vector count once. Ties go to the smaller id.
+an id and vector count once. Ties go to the smaller id. Other columns of the
+table are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +44,14 @@ from codeloom.session import materialize
 SAMPLE, LIST, LISTS = 20_000, 256, 2_500
 #: Lists that a vector may be in, and how much farther than the nearest they may be.
 REPLICAS, REPLICA_RATIO = 4, 1.05
-#: Lists that a query reads at least, and how much farther than the nearest the others may be.
-PROBES, PROBE_RATIO = 256, 1.15
-#: Near and far links of a centroid, and the least width of the beam.
-NEAR, FAR, BEAM = 24, 8, 32
+#: Share of their nearest that sample vectors must find under a query's ratio, and how many of them are tried.
+RECALL, TRIED = 0.95, 400
+#: Lists that a query reads first.
+FIRST = 4
+#: Near and far links of a centroid, starts of a walk, and the nearest ones from which it always goes on.
+NEAR, FAR, STARTS, BEAM = 24, 8, 4, 16
 #: Vectors of a list, and queries on it, that are compared in one group.
-BLOCK, QUERIES = 8192, 8192
+BLOCK, QUERIES = 8192, 32_768
 SEED = 5
 
 
@@ -61,46 +72,65 @@ class Index:
     centroids: np.ndarray
     graph: np.ndarray
     norm: float
-
-    def nearest(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``n`` nearest centroids that the beam finds, and their distances; -1 where there are fewer."""
-        parts = [self._beam(x[i : i + 256], n) for i in range(0, len(x), 256)]
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-
-    def within(self, x: np.ndarray, ratio: float, least: int) -> list[np.ndarray]:
-        """All centroids whose distance is within ``ratio`` of the nearest one's, and the ``least`` nearest."""
-        norms, least, out = (self.centroids**2).sum(axis=1), min(least, len(self.centroids)), []
-        for i in range(0, len(x), 256):
-            part = x[i : i + 256]
-            square = norms - 2 * part @ self.centroids.T + (part**2).sum(axis=1, keepdims=True)
-            far = np.sqrt(np.maximum(0, square))
-            edge = np.partition(far, least - 1, axis=1)[:, least - 1 : least]
-            out += [np.flatnonzero(k) for k in far <= np.maximum(edge, ratio * far.min(axis=1, keepdims=True))]
+    ratio: float = 1.0
+
+    def lists(self, x: np.ndarray, ratio: float) -> list[np.ndarray]:
+        """The centroids that a walk finds within ``ratio`` of the nearest one's distance, nearest first."""
+        return [one for i in range(0, len(x), 256) for one in self._walk(x[i : i + 256], ratio)]
+
+    def _walk(self, x: np.ndarray, ratio: float) -> list[np.ndarray]:
+        count = len(self.centroids)
+        far = np.full((len(x), count), np.inf)
+        gone = np.zeros(far.shape, bool)
+        beam = min(BEAM, count) - 1
+        new = np.zeros(far.shape, bool)
+        new[:, np.linspace(0, count - 1, STARTS).astype(int)] = True
+        while new.any():
+            at, c = np.nonzero(new)
+            for i in range(0, len(at), 8192):
+                a, b = at[i : i + 8192], c[i : i + 8192]
+                far[a, b] = np.sqrt(((self.centroids[b] - x[a]) ** 2).sum(axis=1))
+            edge = np.partition(far, beam, axis=1)[:, beam]
+            bound = np.maximum(np.where(np.isfinite(edge), edge, far.max(axis=1, where=np.isfinite(far), initial=0)), ratio * far.min(axis=1))
+            at, c = np.nonzero((far <= bound[:, None]) & ~gone)
+            gone[at, c] = True
+            new[:] = False
+            new[at[:, None], self.graph[c]] = True
+            new &= np.isinf(far)
+        out = []
+        for row, limit in zip(far, ratio * far.min(axis=1) + 1e-12):
+            found = np.flatnonzero(row <= limit)
+            out.append(found[np.argsort(row[found], kind="stable")])
         return out
 
-    def _beam(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        q, size, rows = len(x), max(BEAM, n + n // 4), np.arange(len(x))[:, None]
-        ids = np.full((q, size), -1)
-        far = np.full((q, size), np.inf)
-        start = np.unique(np.linspace(0, len(self.centroids) - 1, 16).astype(int))
-        seen, done = np.zeros((q, len(self.centroids)), bool), np.ones((q, size), bool)
-        fresh = np.broadcast_to(start, (q, len(start)))
-        ok = np.ones(fresh.shape, bool)
-        while True:
-            seen[np.broadcast_to(rows, fresh.shape)[ok], fresh[ok]] = True
-            d = np.where(ok, ((self.centroids[fresh] - x[:, None]) ** 2).sum(axis=2), np.inf)
-            all_ids, all_far = np.hstack([ids, fresh]), np.hstack([far, d])
-            all_done = np.hstack([done, ~ok])
-            best = np.argsort(all_far, axis=1, kind="stable")[:, :size]
-            ids, far, done = (np.take_along_axis(a, best, 1) for a in (all_ids, all_far, all_done))
-            if done.all():
-                break
-            at = np.argmin(done, axis=1)[:, None]
-            open_ = ~np.take_along_axis(done, at, 1)
-            np.put_along_axis(done, at, True, 1)
-            fresh = self.graph[np.take_along_axis(ids, at, 1)[:, 0].clip(0)]
-            ok = open_ & ~seen[rows, fresh]
-        return np.where(np.isfinite(far), ids, -1)[:, :n], np.sqrt(far[:, :n])
+    def postings(self, x: np.ndarray) -> list[np.ndarray]:
+        """The lists of vectors."""
+        return [one[:REPLICAS] for one in self.lists(lifted(x, self.norm), REPLICA_RATIO)]
+
+    def probes(self, x: np.ndarray) -> list[np.ndarray]:
+        """The lists that queries read."""
+        return self.lists(self.stretched(x), self.ratio)
+
+    def stretched(self, x: np.ndarray) -> np.ndarray:
+        x = x * (self.norm / np.sqrt((x**2).sum(axis=1, keepdims=True)))
+        return np.hstack([x, np.zeros((len(x), 1))])
+
+    def learned_ratio(self, x: np.ndarray, k: int) -> float:
+        """The ratio under which the first ``TRIED`` of the vectors find ``RECALL`` of their ``k`` nearest."""
+        tried, n = x[:TRIED], min(k, len(x) - 1)
+        if not n:
+            return 1.0
+        score = tried @ x.T
+        np.fill_diagonal(score, -np.inf)
+        nearest = np.argpartition(-score, n - 1, axis=1)[:, :n]
+        width = min(REPLICAS, len(self.centroids))
+        lists = np.array([np.resize(one, width) for one in self.postings(x)])
+        q = self.stretched(tried)
+        square = (self.centroids**2).sum(axis=1) - 2 * q @ self.centroids.T + (q**2).sum(axis=1, keepdims=True)
+        far = np.sqrt(np.maximum(square, 0))
+        far /= np.maximum(far.min(axis=1, keepdims=True), 1e-12)
+        needed = far[np.arange(len(q))[:, None, None], lists[nearest]].min(axis=2)
+        return float(np.quantile(needed, RECALL, method="higher"))
 
 
 def lifted(x: np.ndarray, norm: float) -> np.ndarray:
@@ -139,60 +169,64 @@ def graph_of(c: np.ndarray) -> np.ndarray:
     return np.hstack([near, following, rng.integers(0, n, (n, FAR))])
 
 
-def build(distinct: DataFrame) -> Index | None:
+def build(distinct: DataFrame, k: int = 20) -> Index | None:
     """From at most ``SAMPLE`` distinct vectors, those with the smallest hashes; None without any."""
     n, norm = distinct.agg(F.count(F.lit(1)), F.max(_norm())).first()
     if not n:
         return None
     rows = hashed_sample(distinct.select("v", "key"), SAMPLE, "v", "key").collect()
-    x = lifted(np.array([r["v"] for r in rows]), norm)
-    c = centroids_of(x, max(1, -(-len(x) // min(LISTS, max(1, n // LIST)))))
-    return Index(c, graph_of(c), norm)
+    x = np.array([r["v"] for r in rows])
+    c = centroids_of(lifted(x, norm), max(1, -(-len(x) // min(LISTS, max(1, n // LIST)))))
+    index = Index(c, graph_of(c), norm)
+    index.ratio = index.learned_ratio(x, k)
+    return index
 
 
 def _norm() -> Column:
     return F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
 
 
-def _lists(df: DataFrame, index: Index, most: int, ratio: float, query: bool) -> DataFrame:
-    """Rows ``key, v, lists`` with the lists that they go to: at most ``most`` for a vector, at least for a query."""
+def _lists(df: DataFrame, index: Index, query: bool) -> DataFrame:
+    """Rows ``key, v, lists`` with the lists that vectors are in, or that queries read, nearest first."""
     held = shared(df, index)
 
     def run(it: Iterator[tuple]) -> Iterator[tuple]:
-        rows: list[tuple] = []
-
-        def out() -> Iterator[tuple]:
+        while rows := list(islice(it, 2048)):
             x = np.array([r[1] for r in rows])
-            if query:
-                lists = held.value.within(np.hstack([x, np.zeros((len(x), 1))]), ratio, most)
-            else:
-                ids, far = held.value.nearest(lifted(x, held.value.norm), most)
-                keep = (ids >= 0) & (far <= ratio * far[:, :1] + 1e-12)
-                lists = [i[k] for i, k in zip(ids, keep)]
-            for (key, v), one in zip(rows, lists):
-                yield key, v, one.tolist()
-            rows.clear()
-
-        for row in it:
-            rows.append(row)
-            if len(rows) == 2048:
-                yield from out()
-        if rows:
-            yield from out()
+            lists = held.value.probes(x) if query else held.value.postings(x)
+            yield from ((key, v, one.tolist()) for (key, v), one in zip(rows, lists))
 
     return map_rows(df.select("key", "v"), run, "key long, v array<double>, lists array<int>")
 
 
-def _blocked(df: DataFrame, own: str, blocks: int, other: str, copies: int) -> DataFrame:
-    """``list, own, other, key, v``: each row in its block of each list, once for each block of the other side."""
-    block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias(own)
-    rows = df.select(F.explode("lists").alias("list"), block, "key", "v")
-    return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select("list", own, other, "key", "v")
+def _blocked(df: DataFrame, own: str, other: str, sizes: DataFrame) -> DataFrame:
+    """Each row in its block of each list, once for each block of the other side there.
+
+    ``sizes`` has a row for each list, of which there are at most ``LISTS``.
+    """
+    rows = df.withColumn("list", F.explode("lists")).drop("lists").join(F.broadcast(sizes), "list")
+    rows = rows.withColumn(own, F.pmod(F.xxhash64("key"), F.col(own + "s")).cast("int"))
+    rows = rows.withColumn(other, F.explode(F.sequence(F.lit(0), (F.col(other + "s") - 1).cast("int"))))
+    return rows.drop("blocks", "query_blocks")
+
+
+def _sizes(postings: DataFrame, probes: DataFrame) -> DataFrame:
+    """``list, blocks, query_blocks``: how many blocks each list's vectors and queries make; none without both."""
+
+    def blocks(df: DataFrame, most: int, name: str) -> DataFrame:
+        counts = df.select(F.explode("lists").alias("list")).groupBy("list").count()
+        return counts.select("list", F.ceil(F.col("count") / most).alias(name))
+
+    return blocks(postings, BLOCK, "blocks").join(blocks(probes, QUERIES, "query_blocks"), "list")
 
 
-def _largest(df: DataFrame) -> int:
-    """Rows of the largest list."""
-    return df.select(F.explode("lists").alias("list")).groupBy("list").count().agg(F.max("count")).first()[0] or 0
+def _compared(probes: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """``q, key, score``: the ``k`` best of each list that a query reads, those no worse than its ``least``."""
+    sizes, at = _sizes(postings, probes), ["list", "block", "query_block"]
+    asked = _blocked(probes, "query_block", "block", sizes).groupBy(*at)
+    held = _blocked(postings, "block", "query_block", sizes).groupBy(*at)
+    found = asked.cogroup(held).applyInArrow(_pair_blocks(k), "q long, key long, score double")
+    return found.groupBy("q", "key").agg(F.max("score").alias("score"))
 
 
 def _pair_blocks(k: int):
@@ -202,6 +236,7 @@ def _pair_blocks(k: int):
             return empty
         qs, ps = (np.array(t.column("v").combine_chunks().flatten()).reshape(t.num_rows, -1) for t in (q, p))
         qk, pk, parts = q.column("key").to_numpy(), p.column("key").to_numpy(), []
+        least = q.column("least").to_numpy()
         n = min(len(pk), k + 16)
         for i in range(0, len(qs), 256):
             block = qs[i : i + 256]
@@ -209,8 +244,10 @@ def _pair_blocks(k: int):
             best = np.argpartition(-rough, n - 1, axis=1)[:, :n] if n < len(pk) else np.tile(np.arange(n), (len(block), 1))
             exact = (block[:, None] * ps[best]).sum(axis=2)
             top = np.lexsort((pk[best], -exact), axis=1)[:, :k]
+            score = np.take_along_axis(exact, top, 1)
+            good = score >= least[i : i + 256, None]
             own = np.broadcast_to(qk[i : i + 256, None], top.shape)
-            parts.append((own.ravel(), np.take_along_axis(pk[best], top, 1).ravel(), np.take_along_axis(exact, top, 1).ravel()))
+            parts.append((own[good], np.take_along_axis(pk[best], top, 1)[good], score[good]))
         cells = [np.concatenate(c) for c in zip(*parts)]
         return pa.table(dict(zip(["q", "key", "score"], cells)))
 
@@ -226,21 +263,24 @@ def search(rows: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id"
     distinct = materialize(distinct, "distinct-vectors")
     asked = given.where(queries).join(distinct.select("v", "key"), "v")
     asked = materialize(asked.select(F.col("vec_id").alias("query_id"), "key", "v"), "queries")
-    index = build(distinct)
+    index = build(distinct, k)
     if index is None:
         return given.select(
             F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")
         ).where(F.lit(False))
     per_key = asked.dropDuplicates(["key"])
-    postings = materialize(_lists(distinct, index, REPLICAS, REPLICA_RATIO, False), "postings")
-    probes = materialize(_lists(per_key, index, PROBES, PROBE_RATIO, True), "probes")
-    blocks, query_blocks = max(1, -(-_largest(postings) // BLOCK)), max(1, -(-_largest(probes) // QUERIES))
-    at = ["list", "block", "query_block"]
-    postings = _blocked(postings, "block", blocks, "query_block", query_blocks).groupBy(*at)
-    probes = _blocked(probes, "query_block", query_blocks, "block", blocks).groupBy(*at)
-    found = probes.cogroup(postings).applyInArrow(_pair_blocks(k + 1), "q long, key long, score double")
-    found = found.groupBy("q", "key").agg(F.max("score").alias("score"))
+    postings = materialize(_lists(distinct, index, False), "postings")
+    probes = materialize(_lists(per_key, index, True), "probes")
+    none = F.lit(float("-inf"))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "key")
+    near = _compared(probes.withColumn("lists", F.slice("lists", 1, FIRST)).withColumn("least", none), postings, k + 1)
+    near = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+    near = materialize(near, "near")
+    least = near.where(F.col("n") == k + 1).select(F.col("q").alias("key"), F.col("score").alias("least"))
+    others = F.expr(f"slice(lists, {FIRST + 1}, greatest(size(lists) - {FIRST}, 0))")
+    rest = probes.withColumn("lists", others).where(F.size("lists") > 0).join(least, "key", "left")
+    rest = _compared(rest.withColumn("least", F.coalesce("least", none)), postings, k + 1)
+    found = near.drop("n").unionByName(rest).groupBy("q", "key").agg(F.max("score").alias("score"))
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
     named = found.join(distinct.select("key", "ids"), "key")
     entries = F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("s"), i.alias("i")))))
