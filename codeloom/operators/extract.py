@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as t
 from codeloom.functions.text import HS, WS, bare_comments, hash_comments, path_part, split_comment, strip
+from codeloom.operators.lexer import HIDDEN, code_of, hide
 
 # Fixed values -----------------------------------------------------------------
 
@@ -42,7 +43,9 @@ PARAMS = r"\(([^)]*+)\)"
 SHORT_DOC = rf'{HS}*+"""[^\n]*?"""[^\n]*+{EOL}'
 #: A docstring up to the next line that ends in quotes, or to the end of the file.
 LONG_DOC = rf'{HS}*+"""[^\n]*+\n(?:(?![^\n]*"""{HS}*+{EOL})[^\n]*+\n)*+[^\n]*+{EOL}'
-DOC = rf"(?>{SHORT_DOC}|{LONG_DOC})"
+#: A docstring whose further lines are marked.
+MARKED_DOC = rf'{HS}*+"""[^\n]*+\n(?:{HIDDEN}[^\n]*+{EOL})++'
+DOC = rf"(?>{SHORT_DOC}|{MARKED_DOC}|{LONG_DOC})"
 COMMENTS = rf"(?:{HS}*+#[^\n]*+\n)++"
 BLANKS = rf"(?:{HS}*+\n)"
 BLANKS_OR_COMMENTS = rf"(?:{HS}*+(?:#[^\n]*+)?\n)"
@@ -70,7 +73,9 @@ LAMBDA_BEGIN = rf"{LAMBDA_HEAD}{HS}*+{BEGIN}"
 DEFINITION = (
     rf"(?:{BASIC}[^\n]*+{EOL}|{SHORT_BEGIN}|{SHORT_HEAD}{VALUE}|{LAMBDA_BEGIN}|{LAMBDA_HEAD}[^\n]*+{EOL})"
 )
-OTHER = rf"{DOC}|(?:{HS}*+#[^\n]*+{EOL})++|{BLANKS}++|[^\n]*+\n|[^\n]++\z"
+#: Lines that start inside a string or a comment go with the line that opens it.
+REST = rf"(?:{HIDDEN}[^\n]*+{EOL})"
+OTHER = rf"{DOC}|{REST}++|(?:{HS}*+#[^\n]*+{EOL}{REST}*+)++|{BLANKS}++|[^\n]*+\n{REST}*+|[^\n]++\z"
 
 DOCUMENTED = rf"{LEAD}{DEFINITION}"
 SEGMENT = rf"(?>{DOCUMENTED})|{OTHER}"
@@ -82,8 +87,8 @@ OPEN_HEAD = rf"^{BASIC_HEAD}\z"
 INNER = "\ufdd0"
 #: Marks a line that belongs to the assignment above it.
 CONTINUED = "\ufdd1"
-#: The value starts on the next line.
-BARE_EQUALS = rf"=[\t ]*+(?:#.*)?\z"
+#: The value goes on in the next line: a string does, or an operator stands at the end that is no symbol.
+GOES_ON = rf"{HIDDEN}\z|(?<!:)(?:[-+*/\\^%&|<>=~?:,÷]|\b(?:in|isa|where))[\t ]*+\z"
 
 # ------------------------------------------------------------------------------
 
@@ -133,10 +138,9 @@ def definitions(
         blocks, names = acc["blocks"], F.array_compact(acc["blocks"])
 
         def counted(is_definition: Column) -> Column:
-            silent = ~is_definition & F.rlike(s, F.lit(rf'^{HS}*+(?:#|""")'))
+            silent = ~is_definition & F.rlike(s, F.lit(rf'^(?:{HS}*+(?:#(?!=)|""")|{HIDDEN})'))
             unchanged = F.struct(acc["brackets"].alias("brackets"), F.lit(0).alias("depth"))
-            code = F.regexp_replace(s, r'(?s)""".*?"""', " ")
-            change = F.when(silent, unchanged).otherwise(_counted(code, acc["brackets"]))
+            change = F.when(silent, unchanged).otherwise(_let(code_of(s), lambda code: _counted(code, acc["brackets"])))
             return F.struct(change.alias("change"), is_definition.alias("defines"))
 
         def moved(seen: Column) -> Column:
@@ -209,15 +213,17 @@ def _counted(code: Column, brackets: Column) -> Column:
 def mask_inner_ends(content: Column, assignment: str | None = None) -> Column:
     """Mark every ``end`` inside a function that does not close the function.
 
-    A running block depth decides: openers count up, ``end`` counts down, with
-    strings, comments and brackets left out, also brackets that span lines, as
-    ``a[end]`` or a comprehension closes nothing. After this the first unmarked
+    A running block depth decides: openers count up, ``end`` counts down, in the
+    code alone, without strings, characters and comments, and without brackets,
+    also those that span lines, as ``a[end]`` or a comprehension closes nothing.
+    Lines that start inside a string or a block comment are marked as ``HIDDEN``:
+    nothing starts or ends there. After this the first unmarked
     ``end`` is the right one. If a header in the first column shows that a
     function was not closed, its last ``end`` closes it, so no file is lost.
 
     ``assignment`` is the pattern of a line outside functions whose value may go
-    on: while its blocks or brackets are open, or after a bare ``=``, the next
-    lines are marked as ``CONTINUED``. Such a header ends an assignment as well.
+    on: while its blocks, brackets or a string are open, or after an operator, the
+    next lines are marked as ``CONTINUED``. Such a header ends an assignment as well.
     """
 
     def reopened(out: Column) -> Column:
@@ -230,26 +236,22 @@ def mask_inner_ends(content: Column, assignment: str | None = None) -> Column:
         F.lit(0).alias("brackets"),
         F.lit(-1).alias("function_depth"),
         F.lit(-1).alias("assigned_depth"),
-        F.lit(False).alias("in_doc"),
         F.expr("cast(array() as array<string>)").alias("out"),
     )
 
-    def step(acc: Column, line: Column) -> Column:
-        quotes = F.regexp_count(line, F.lit('"""'))
-        in_doc = acc["in_doc"] != (quotes % 2 == 1)
+    def step(acc: Column, both: Column) -> Column:
+        line, code = both["line"], both["code"]
         open_function, open_value = acc["function_depth"] >= 0, acc["assigned_depth"] >= 0
-        quiet = acc["in_doc"] | in_doc | (quotes > 0)
+        hidden = F.startswith(line, F.lit(HIDDEN))
         # A header in the first column while something is open: that was never closed.
-        broken = ~quiet & (open_function | open_value) & F.rlike(line, F.lit(r"^function\b"))
+        broken = (open_function | open_value) & F.rlike(line, F.lit(r"^function\b"))
         outermost = F.when(open_function, acc["function_depth"]).otherwise(acc["assigned_depth"])
         before = F.when(broken, outermost).otherwise(acc["depth"])
-        is_head = ~quiet & (broken | ~(open_function | open_value)) & F.rlike(line, F.lit(rf"^{HS}*+function\b"))
+        is_head = (broken | ~(open_function | open_value)) & F.rlike(line, F.lit(rf"^{HS}*+function\b"))
         is_value = F.lit(False)
         if assignment is not None:
-            is_value = ~quiet & ~open_function & ~open_value & (acc["brackets"] == 0) & F.rlike(line, F.lit(assignment))
-        seen = F.when(quiet, F.struct(acc["brackets"].alias("brackets"), F.lit(0).alias("depth"))).otherwise(
-            _counted(line, F.when(broken, 0).otherwise(acc["brackets"]))
-        )
+            is_value = ~hidden & ~open_function & ~open_value & (acc["brackets"] == 0) & F.rlike(line, F.lit(assignment))
+        seen = _counted(code, F.when(broken, 0).otherwise(acc["brackets"]))
         looked = F.struct(
             seen["brackets"].alias("brackets"),
             (before + seen["depth"]).cast("int").alias("depth"),
@@ -258,7 +260,6 @@ def mask_inner_ends(content: Column, assignment: str | None = None) -> Column:
             .otherwise(F.when(broken, -1).otherwise(acc["assigned_depth"]))
             .cast("int")
             .alias("assigned"),
-            quiet.alias("quiet"),
             broken.alias("broken"),
         )
 
@@ -266,7 +267,7 @@ def mask_inner_ends(content: Column, assignment: str | None = None) -> Column:
             depth, outer, assigned = now["depth"], now["outer"], now["assigned"]
             closes = (outer >= 0) & (depth <= outer)
             inner = (outer >= 0) & ~closes & F.rlike(line, F.lit(rf"^{END}"))
-            goes_on = now["quiet"] | (depth > assigned) | (now["brackets"] > 0) | F.rlike(line, F.lit(BARE_EQUALS))
+            goes_on = (depth > assigned) | (now["brackets"] > 0) | F.rlike(code, F.lit(GOES_ON))
             mark = F.when(inner, INNER).when(open_value & (assigned >= 0), CONTINUED).otherwise("")
             out = F.when(now["broken"] & open_function, reopened(acc["out"])).otherwise(acc["out"])
             return F.struct(
@@ -274,17 +275,17 @@ def mask_inner_ends(content: Column, assignment: str | None = None) -> Column:
                 now["brackets"].alias("brackets"),
                 F.when(closes, -1).otherwise(outer).alias("function_depth"),
                 F.when((assigned >= 0) & goes_on, assigned).otherwise(-1).alias("assigned_depth"),
-                in_doc.alias("in_doc"),
                 F.array_append(out, F.concat(mark, line)).alias("out"),
             )
 
         return _let(looked, moved)
 
-    return F.aggregate(t.lines(content), start, step, lambda acc: F.array_join(acc["out"], "\n"))
+    both = F.arrays_zip(t.lines(hide(content)).alias("line"), t.lines(code_of(content)).alias("code"))
+    return F.aggregate(both, start, step, lambda acc: F.array_join(acc["out"], "\n"))
 
 
 def _documentation(text: Column, kind: Column) -> Column:
-    doc = F.regexp_extract(text, f"^{LEAD}", 1)
+    doc = F.replace(F.regexp_extract(text, f"^{LEAD}", 1), F.lit(HIDDEN), F.lit(""))
     run = F.regexp_extract(text, f"^{LEAD}", 3)
     between = F.concat(F.regexp_extract(text, f"^{LEAD}", 2), F.regexp_extract(text, f"^{LEAD}", 4))
     short = F.regexp_extract(doc, rf'^{HS}*+"""([^\n]*?)"""', 1)
@@ -325,6 +326,9 @@ def extract_functions(files: DataFrame, end_rule: str = "first") -> DataFrame:
     elif end_rule != "first":
         raise ValueError(f"unknown end rule: {end_rule}")
 
+    def unmarked(c: Column) -> Column:
+        return F.translate(c, INNER + HIDDEN, "") if end_rule == "balanced" else c
+
     found = files.select("path", F.explode(definitions(content, modular)).alias("d")).select(
         "path",
         F.col("d.line").alias("line"),
@@ -349,13 +353,14 @@ def extract_functions(files: DataFrame, end_rule: str = "first") -> DataFrame:
     is_block = F.endswith("kind", F.lit("block"))
 
     def part(i: int) -> Column:
-        return (
+        text = (
             F.when(is_basic, F.regexp_extract(code, f"^{BASIC}", i))
             .when(is_short & is_block, F.regexp_extract(code, f"^{SHORT_BEGIN}", i))
             .when(is_short, F.regexp_extract(code, rf"^{SHORT_HEAD}{WS}*+([^\n]*+)", i))
             .when(is_block, F.regexp_extract(code, f"^{LAMBDA_BEGIN}", i))
             .otherwise(F.regexp_extract(code, rf"^{LAMBDA_HEAD}{HS}*+([^\n]*+)", i))
         )
+        return unmarked(text)
 
     inner = F.when(is_short, F.regexp_extract(code, f"^{SHORT_BEGIN}", 4)).otherwise(
         F.regexp_extract(code, f"^{LAMBDA_BEGIN}", 4)
@@ -364,8 +369,8 @@ def extract_functions(files: DataFrame, end_rule: str = "first") -> DataFrame:
         "*",
         part(1).alias("name"),
         strip(part(2)).alias("params"),
-        (F.replace(part(3), F.lit(INNER), F.lit("")) if end_rule == "balanced" else part(3)).alias("value"),
-        F.when(is_block, inner).alias("inner"),
+        part(3).alias("value"),
+        F.when(is_block, unmarked(inner)).alias("inner"),
     )
 
     one_line = split_comment(F.col("value"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as t
 from codeloom.functions.text import HS, WS, hash_comments, path_part, split_comment, strip
+from codeloom.operators.lexer import HIDDEN
 from codeloom.operators.extract import (
     BLANKS,
     CONTINUED,
@@ -61,9 +62,9 @@ def extract_by_syntax(files: DataFrame) -> DataFrame:
         files.select("path", F.explode(definitions(content, names_module(text), SEGMENT, DOCUMENTED)).alias("d"))
         .select("path", "d.line", "d.module", F.translate("d.text", INNER + CONTINUED, "").alias("text"))
         .withColumn("lead", F.regexp_extract("text", f"^({LEAD})", 1))
-        .withColumn("doc", F.regexp_extract("text", f"^{LEAD}", 1))
+        .withColumn("doc", F.translate(F.regexp_extract("text", f"^{LEAD}", 1), HIDDEN, ""))
     )
-    raw = F.expr("substring(text, length(lead) + 1)")
+    raw = F.translate(F.expr("substring(text, length(lead) + 1)"), HIDDEN, "")
     found = found.withColumn("raw", raw)
     is_function = F.rlike("raw", F.lit(rf"^{HS}*+function{WORD_END}"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as t
 from codeloom.operators.extract import has_unclosed_function
+from codeloom.operators.lexer import has_open_token, hide
 
 # Fixed values -----------------------------------------------------------------
 
@@ -51,10 +52,20 @@ def is_utf8(content: Column) -> Column:
     return F.is_valid_utf8(content.cast("string"))
 
 
-def reject_reason(content: Column, limit: int = MAX_FILE_LINES, unclosed: bool = True) -> Column:
-    """Why a source file is skipped, or null if it is not; ``unclosed``: functions must have an end."""
+def reject_reason(
+    content: Column, limit: int = MAX_FILE_LINES, unclosed: bool = True, lexed: bool = False
+) -> Column:
+    """Why a source file is skipped, or null if it is not.
+
+    ``unclosed``: functions must have an end; ``lexed``: so must strings with three quotes and block comments, and
+    no function is looked for in them.
+    """
     text = content.cast("string")
     reason = F.when(~is_utf8(content), "not utf-8").when(~fits_line_limit(text, limit), "too many lines")
+    if lexed:
+        text = t.unify_newlines(text)
+        reason = reason.when(has_open_token(text), "unclosed string or comment")
+        text = hide(text)
     return reason.when(has_unclosed_function(text), "unclosed function") if unclosed else reason
 
 

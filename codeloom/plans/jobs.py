@@ -37,7 +37,8 @@ def build_corpus(
 
     ``profile``: ``"text"``, or ``"syntax"``, which also leaves out files with a
     function that nothing closes, files outside a project, and paths that speak of
-    tests; those are neither extracted nor rejects. Authors are capped by their files, before
+    tests; the last two are neither extracted nor rejects. This profile and
+    ``end_rule="balanced"`` reject files in which a string or comment never ends. Authors are capped by their files, before
     anything is extracted. ``rejects`` names a table for ``(path, reason)`` of
     the source files that are skipped; ``unread``, such as the readers'
     ``read_oversized``, has those that could not even become a row, of all authors.
@@ -49,7 +50,8 @@ def build_corpus(
         wanted &= p.is_project_source(F.col("path"))
     files = p.of_first_authors(files.where(wanted).withColumn("author", author), first_authors)
     files = files.drop("author")
-    reason = p.reject_reason(F.col("content"), unclosed=profile == "syntax")
+    lexed = profile == "syntax" or end_rule == "balanced"
+    reason = p.reject_reason(F.col("content"), unclosed=profile == "syntax", lexed=lexed)
     if rejects is not None:
         skipped = files.select("path", F.explode(F.array_compact(F.array(reason))).alias("reason"))
         if unread is not None:
