@@ -518,6 +518,18 @@ oracle(
     FROM shaped WHERE kind <> 3""",
     "snippets",
 )
+oracle(
+    "extract_quoted",
+    f"""SELECT 'balanced' AS way, path AS file_path, {count_newlines('above')} + 1 AS line_number,
+      'function ' || name || '(x)' AS signature, 'M' || (doc_id % 5) AS module, md5({strip('inner_code')}) AS body_md5
+    FROM quoted_files
+    UNION ALL SELECT 'syntax', path, {count_newlines('above')} + 1, 'function ' || name || '(x)', 'M' || (doc_id % 5),
+      md5({join_lines(f"list_transform({lines('inner_code')}, lambda l: {strip('l')})")} || {NL} || 'end')
+    FROM quoted_files
+    UNION ALL SELECT 'syntax', path, {count_newlines('content')} - 1, 'g(x)', NULL, md5('x +' || {NL} || '  ' || n)
+    FROM quoted_files""",
+    "quoted_files",
+)
 oracle(
     "module_attribution",
     EXPECTED

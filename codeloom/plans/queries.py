@@ -438,6 +438,23 @@ def extract_syntax(spark, sf):
     )
 
 
+@query
+def extract_quoted(spark, sf):
+    """Both ways that tell code from strings and comments, on files full of text."""
+    files = v.quoted_files(spark, sf)
+    balanced = extract_functions(files, end_rule="balanced").where(F.col("type") == "basic")
+    ways = [balanced.withColumn("way", F.lit("balanced")), extract_by_syntax(files).withColumn("way", F.lit("syntax"))]
+    columns = [
+        "way",
+        "file_path",
+        F.col("line_number").cast("bigint").alias("line_number"),
+        "signature",
+        "module",
+        F.md5("body").alias("body_md5"),
+    ]
+    return ways[0].select(*columns).unionByName(ways[1].select(*columns))
+
+
 @query
 def module_attribution(spark, sf):
     """A module around each file, and a definition after its end."""

@@ -84,6 +84,25 @@ FROM (SELECT doc_id, name, kind,
         FROM {documents}) AS base) AS parts
 """
 
+#: One file a document: its whole text in a string, in a block comment, and in a string inside a function.
+QUOTED_FILES = """
+SELECT doc_id, path, above, name, inner_code, n,
+  above || 'function ' || name || '(x)' || chr(10) || inner_code || chr(10) || 'end' || chr(10)
+    || 'end' || chr(10) || 'g(x) = x +' || chr(10) || '  ' || cast(n AS string) || chr(10) AS content
+FROM (SELECT doc_id, path, name, n,
+    'show(\"\"\"' || chr(10) || quoted || chr(10) || '\"\"\")' || chr(10) || '#= module Z' || chr(10) || 'function hidden(x)' || chr(10)
+      || noted || chr(10) || '#= inner =#' || chr(10) || 'end' || chr(10) || '=#' || chr(10)
+      || 'module M' || cast(doc_id % 5 AS string) || chr(10) AS above,
+    '  s = \"\"\"' || chr(10) || quoted || chr(10) || '  \"\"\"' || chr(10) || '  c = ' || chr(39) || chr(34) || chr(39) || ' # mark' || chr(10)
+      || '  if x == \"end ' || chr(36) || '(f(\"b\"))\"' || chr(10) || '    1' || chr(10) || '  end' AS inner_code
+  FROM (SELECT doc_id, length(plain) AS n, 'fn_' || cast(length(plain) % 500 AS string) AS name,
+      'dev' || cast(doc_id % 7 AS string) || '/lib.jl/src/d' || cast(doc_id AS string) || '.jl' AS path,
+      replace(replace(replace(plain, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(36), chr(92) || chr(36)) AS quoted,
+      replace(replace(plain, '#', '# '), '=#', '= #') AS noted
+    FROM (SELECT doc_id, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS plain
+          FROM {documents}) AS texts) AS escaped) AS parts
+"""
+
 #: Source-like paths and contents from web pages.
 PAGE_FILES = """
 SELECT page_id, split_part(url, '/', 3) || '/p' || cast(page_id % 9 AS string)
@@ -132,6 +151,10 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SNIPPETS, documents=documents(spark, sf_dir))
 
 
+def quoted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(QUOTED_FILES, documents=documents(spark, sf_dir)).select("path", "content")
+
+
 def code_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
         """SELECT path, listagg(lead || code || tail, '') WITHIN GROUP (ORDER BY doc_id) AS content
@@ -158,6 +181,7 @@ def oracle_views(*names: str) -> str:
         "prompts": PROMPTS,
         "code_files": CODE_FILES,
         "snippets": SNIPPETS,
+        "quoted_files": QUOTED_FILES,
         "page_files": PAGE_FILES,
         "result_documents": RESULT_DOCUMENTS,
     }
