@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 END_OF_TEXT = "<|endoftext|>"
 UNKNOWN = "<|unk|>"
 #: A word, or a single other character that is not white space.
+SPACES = "\t\n\x0b\f\r "
 WORD = "[A-Za-z0-9_]++"
 OTHER = r"[^A-Za-z0-9_\t\n\x0b\f\r ]"
 
@@ -47,7 +48,9 @@ def tokens(c: Column, specials: Specials = Specials()) -> Column:
 
 
 def count_tokens(c: Column, specials: Specials = Specials()) -> Column:
-    return F.regexp_count(c, F.lit(token_pattern(specials)))
+    """Each token with the space before it becomes one character: no array of tokens is built."""
+    marks = F.regexp_replace(F.rtrim(c, F.lit(SPACES)), rf"[{SPACES}]*+(?:{token_pattern(specials)})", "x")
+    return F.length(marks)
 
 
 def ngrams(token_array: Column, n: int) -> Column:

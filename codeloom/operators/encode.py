@@ -48,13 +48,19 @@ def is_encodable(
     min_doc_tokens: int = p.MIN_DOC_TOKENS,
     specials: Specials = Specials(),
 ) -> Column:
-    """No tests, enough documentation, not too long; the cheap tests come first."""
-    return (
-        ~p.has_testset(F.col("body"))
-        & ~p.names_test_function(F.col("signature"))
-        & (count_tokens(F.col("documentation"), specials) >= min_doc_tokens)
-        & (count_tokens(F.col("complete_function"), specials) <= max_tokens)
+    """No tests, enough documentation, not too long; the cheap tests come first.
+
+    For rows of ``with_texts``. No token spans a line's end or the quotes around the
+    documentation, so the complete function has the tokens of the documentation,
+    which are counted once, and those of the rest.
+    """
+    sig, body = F.col("signature"), F.col("body")
+    rest = t.complete_function(F.lit(""), sig, body, specials.bos, specials.eos)
+    fits = F.exists(
+        F.array(count_tokens(F.col("documentation"), specials)),
+        lambda n: (n >= min_doc_tokens) & (n + count_tokens(rest, specials) <= max_tokens),
     )
+    return ~p.has_testset(body) & ~p.names_test_function(sig) & fits
 
 
 def prepare(functions: DataFrame, prompts: DataFrame, options: EncodeOptions = EncodeOptions()) -> DataFrame:
