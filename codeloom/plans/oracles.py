@@ -172,6 +172,14 @@ oracle(
         QUALIFY row_number() OVER (PARTITION BY {normalized('body')} ORDER BY {KEY}) = 1""",
     "code_functions",
 )
+oracle(
+    "dedup_across_runs",
+    f"""WITH runs AS (SELECT *, CASE WHEN coalesce(documentation, '') <> '' THEN 0 ELSE 1 END::BIGINT AS batch
+        FROM code_functions)
+        SELECT {KEY}, batch FROM runs
+        QUALIFY row_number() OVER (PARTITION BY {normalized('body')} ORDER BY batch, {KEY}) = 1""",
+    "code_functions",
+)
 oracle(
     "dedup_doc_sig_body",
     f"""SELECT {KEY} FROM code_functions

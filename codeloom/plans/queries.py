@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -45,8 +46,9 @@ from codeloom.operators.metrics import (
 from codeloom.operators.sample import exact_sample
 from codeloom.operators.similar import similar_classes
 from codeloom.plans import views as v
+from codeloom.plans.append import append_new, corpus_rows
 from codeloom.schemas import KEY
-from codeloom.session import materialize
+from codeloom.session import materialize, shared_folder
 from codeloom.sources.writers import rejects
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +90,17 @@ def dedup_normalized_body(spark, sf):
     return by_normalized_body(v.code_functions(spark, sf)).select(*KEY)
 
 
+@query
+def dedup_across_runs(spark, sf):
+    """Documented functions come in a first run, all others in a second."""
+    corpus = f"{shared_folder(spark).rstrip('/')}/appended-{uuid.uuid4().hex}"
+    documented = F.coalesce(F.col("documentation"), F.lit("")) != ""
+    functions = v.code_functions(spark, sf)
+    append_new(functions.where(documented), corpus, 0)
+    append_new(functions.where(~documented), corpus, 1)
+    return corpus_rows(spark, corpus).select(*KEY, F.col("batch").cast("long").alias("batch"))
+
+
 @query
 def dedup_doc_sig_body(spark, sf):
     return by_text(v.code_functions(spark, sf)).select(*KEY)
