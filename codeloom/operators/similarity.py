@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.tokens import ngrams, tokens
+from codeloom.functions.tokens import ngrams, token_pattern, tokens
 from codeloom.session import materialize, partitioned
 
 # Fixed values -----------------------------------------------------------------
 
 MAX_N = 4
 TRIVIAL_NGRAMS = 500
+#: Tokens whose codes, or different n-grams whose counts, a task holds at a time.
+TOKENS = 1 << 20
 
 # ------------------------------------------------------------------------------
 
@@ -31,15 +39,75 @@ def _grams(token_array: Column, max_n: int = MAX_N) -> Column:
 def trivial_ngrams(
     texts: DataFrame, column: str, m: int = TRIVIAL_NGRAMS, max_n: int = MAX_N
 ) -> DataFrame:
-    """The ``m`` most frequent n-grams of a corpus, of all lengths together."""
-    return (
-        texts.select(tokens(F.col(column)).alias("t"))
-        .select(F.inline(_grams(F.col("t"), max_n)))
-        .groupBy("n", "gram")
-        .agg(F.count(F.lit(1)).alias("count"))
-        .orderBy(F.desc("count"), "n", "gram")
-        .limit(m)
-    )
+    """``(n, gram, count)``: the ``m`` most frequent n-grams of a corpus, of all lengths together.
+
+    Length by length: an n-gram is at most as frequent as the two n-grams in it that
+    are one token shorter, and it ranks after shorter ones with its count. So it is
+    counted only if both are more frequent than the m-th so far; those are fewer than ``m``.
+    """
+    found, least, kept = [], 0, []
+    for n in range(1, max_n + 1) if m else []:
+        counts = _counted(texts.select(column), kept).groupBy("gram").agg(F.sum("count").alias("count"))
+        best = counts.where(F.col("count") > least).orderBy(F.desc("count"), "gram").limit(m)
+        found += [(n, r["gram"], r["count"]) for r in best.collect()]
+        found = sorted(found, key=lambda r: (-r[2], r[0], r[1].encode()))[:m]
+        least = found[-1][2] if len(found) == m else 0
+        kept = [*kept, [gram for length, gram, count in found if length == n and count > least]]
+        if not kept[-1]:
+            break
+    rows = texts.sparkSession.createDataFrame(found, "n int, gram string, count long")
+    return rows.orderBy(F.desc("count"), "n", "gram").limit(m)
+
+
+def _counted(texts: DataFrame, kept: list[list[str]]) -> DataFrame:
+    """``gram, count`` of n-grams that are longer by one token than the last of ``kept``, from its parts alone.
+
+    A row is a part of the texts; a task holds the codes of so many tokens, and counts by code.
+    """
+    pattern, codes = token_pattern(), {token: i for i, token in enumerate(kept[0])} if kept else {}
+    # An n-gram's code is that of its first n - 1 tokens, by place in ``kept``, and of its last one.
+    width, tables = max(1, len(codes)), []
+    for grams in kept[1:]:
+        before = {gram: i for i, gram in enumerate(kept[len(tables)])}
+        both = [g.rpartition(" ") for g in grams]
+        pairs = sorted((before[first] * width + codes[last], g) for (first, _, last), g in zip(both, grams))
+        tables.append((np.array([code for code, _ in pairs], np.int64), np.array([grams.index(g) for _, g in pairs], np.int64)))
+
+    def longer(flat: list[int]) -> Counter:
+        ids = np.array(flat, np.int64)
+        at = ids
+        for length, (known, place) in enumerate(tables, 2):
+            code = at[:-1] * width + ids[length - 1 :]
+            where = np.minimum(np.searchsorted(known, code), len(known) - 1)
+            at = np.where((at[:-1] >= 0) & (ids[length - 1 :] >= 0) & (known[where] == code), place[where], -1)
+        both = (at[:-1] >= 0) & (at[1:] >= 0)
+        found, counts = np.unique(at[:-1][both] * width + ids[len(kept) :][both], return_counts=True)
+        return Counter({f"{kept[-1][c // width]} {kept[0][c % width]}": n for c, n in zip(found.tolist(), counts.tolist())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, seen, flat, after = re.compile(pattern).findall, Counter(), [], [-1] * (len(kept) + 1)
+        for batch in batches:
+            for text in batch.column(0):
+                row = split(text.as_py() or "")
+                if kept:
+                    flat += [codes.get(x, -1) for x in row]
+                    flat += after
+                else:
+                    seen.update(row)
+                if len(flat) >= TOKENS:
+                    seen.update(longer(flat))
+                    flat = []
+                if len(seen) >= TOKENS:
+                    yield batch_of(seen)
+                    seen = Counter()
+        if flat:
+            seen.update(longer(flat))
+        yield batch_of(seen)
+
+    def batch_of(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["gram", "count"])
+
+    return texts.mapInArrow(run, "gram string, count long")
 
 
 def _bleu(matched: list[Column], total: list[Column], penalty: Column) -> Column:
