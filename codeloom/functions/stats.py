@@ -41,13 +41,13 @@ def _ln_half_binomial(n: Column, m: Column) -> Column:
     return F.when(m <= DIRECT_TERMS, direct - n * LN2).otherwise(series)
 
 
-def mcnemar_p_value(b: Column, c: Column) -> Column:
-    """Exact two-sided p-value of McNemar's test from the two discordant counts.
+def mcnemar_ln_p(b: Column, c: Column) -> Column:
+    """Natural logarithm of the exact two-sided p-value of McNemar's test from the two discordant counts.
 
     ``min(1, 2 * P(X <= min(b, c)))`` for ``X ~ Binomial(b + c, 1/2)``. The terms
     are summed downwards from the largest one; those more than ``6 * sqrt(n)``
     below it are smaller than any double can show, so the work stays small even
-    for billions of pairs.
+    for billions of pairs. The logarithm holds where the value itself is below any double.
     """
     n, m = b + c, F.least(b, c)
     top = _ln_half_binomial(n, m)
@@ -62,7 +62,12 @@ def mcnemar_p_value(b: Column, c: Column) -> Column:
     tail = F.when(depth == 0, F.lit(1.0)).otherwise(
         F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(depth, F.lit(1))), start, step)["total"]
     )
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.exp(top) * tail))
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.least(F.lit(0.0), LN2 + top + F.log(tail)))
+
+
+def mcnemar_p_value(b: Column, c: Column) -> Column:
+    """Exact two-sided p-value of McNemar's test; zero if no double can show it."""
+    return F.exp(mcnemar_ln_p(b, c))
 
 
 def pass_at_k(n: Column, c: Column, k: int) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,10 +77,9 @@ def contingency(run_a: DataFrame, run_b: DataFrame) -> DataFrame:
 
 
 def mcnemar(run_a: DataFrame, run_b: DataFrame) -> DataFrame:
-    """The contingency table with the exact two-sided p-value."""
-    return contingency(run_a, run_b).select(
-        "*", stats.mcnemar_p_value(F.col("b"), F.col("c")).alias("p_value")
-    )
+    """The contingency table with the exact two-sided p-value and its decimal logarithm."""
+    ln_p = stats.mcnemar_ln_p(F.col("b"), F.col("c"))
+    return contingency(run_a, run_b).select("*", F.exp(ln_p).alias("p_value"), (ln_p / math.log(10)).alias("log10_p"))
 
 
 def pass_at_k(samples: DataFrame, ks: list[int]) -> DataFrame:

@@ -608,7 +608,7 @@ def paired_contingency(spark, sf):
 @query
 def mcnemar_exact(spark, sf):
     return mcnemar(*_runs(spark, sf)).select(
-        "a", "b", "c", "d", F.round("p_value", 9).alias("p_value"), F.round(F.log10("p_value"), 6).alias("log10_p")
+        "a", "b", "c", "d", F.round("p_value", 9).alias("p_value"), F.round("log10_p", 6).alias("log10_p")
     )
 
 

@@ -159,6 +159,12 @@ def test_mcnemar_of_billions(value):
     assert p == pytest.approx(math.erfc(2 * gap / math.sqrt(n) / math.sqrt(2)), rel=1e-4)
 
 
+def test_mcnemar_below_any_double(spark):
+    a, b = ([(f"p{i}", passed) for i in range(1200)] for passed in (True, False))
+    row = evaluate.mcnemar(*runs(spark, a, b)).first()
+    assert row["p_value"] == 0 and row["log10_p"] == pytest.approx(-1199 * math.log10(2), rel=1e-12)
+
+
 @pytest.mark.parametrize("n, c, k, expected", [(10, 3, 1, 0.3), (10, 3, 5, 0.916667), (10, 0, 1, 0), (2, 1, 5, 1)])
 def test_pass_at_k(value, n, c, k, expected):
     assert value(pass_rate(F.lit(n), F.lit(c), k)) == pytest.approx(expected, abs=1e-6)
