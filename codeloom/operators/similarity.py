@@ -20,6 +20,8 @@ MAX_N = 4
 TRIVIAL_NGRAMS = 500
 #: Tokens whose codes, or different n-grams whose counts, a task holds at a time.
 TOKENS = 1 << 20
+#: N-grams of the corpus in a bucket, about.
+BUCKET = 4_000_000
 
 # ------------------------------------------------------------------------------
 
@@ -204,60 +206,147 @@ def gram_counts(texts: DataFrame, key: str, column: str, max_n: int = MAX_N) ->
     return materialize(counts, "gram-counts")
 
 
-def _gram_totals(counts: DataFrame) -> DataFrame:
-    """``(h0, h1, total, most, least, alone, levels)``: all occurrences of each n-gram, the highest and the lowest count
-    in a text, whether one text alone has the highest, and how many different counts there are. Fixed-width figures only."""
-    # Texts of L tokens give at most L different counts, and k different counts take k * k / 2 tokens.
-    levels = counts.groupBy(*GRAM, "c").agg(F.count(F.lit(1)).alias("holders"))
-    # The highest count, doubled, and one more if several texts have it.
-    top = F.max(F.col("c") * 2 + F.when(F.col("holders") > 1, 1).otherwise(0))
-    return (
-        levels.groupBy(*GRAM)
-        .agg(
-            F.sum(F.col("c") * F.col("holders")).alias("total"),
-            top.alias("top"),
-            F.min("c").alias("least"),
-            F.count(F.lit(1)).alias("levels"),
-        )
-        .select(
-            *GRAM, "total", F.expr("top div 2").alias("most"), "least", (F.col("top") % 2 == 0).alias("alone"), "levels"
-        )
-    )
+def _hashed(a: np.ndarray, b: np.ndarray, ends: np.ndarray, max_n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length, 96 bits of each n-gram and its text, from two hashes of each token; texts end at ``ends``."""
+    owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    x, y = np.zeros(len(a) + 1, np.uint64), np.zeros(len(a) + 1, np.uint64)
+    for n in range(1, max_n + 1):
+        x, y = (_mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + t[n - 1 :]) for h, t in ((x, a), (y, b)))
+        inside = owner[: len(x)] == owner[n - 1 :]
+        yield x[inside], (y[inside] >> np.uint64(32)).astype(np.uint32), owner[: len(x)][inside]
 
 
-def _limits(counts: DataFrame, totals: DataFrame) -> DataFrame:
-    """``(h0, h1, most, alone, second)`` of the n-grams that more than one text has; ``second`` is the count below the highest.
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
-    Only n-grams with three different counts or more need another look at the counts.
-    """
-    shared = totals.where(~F.col("alone") | (F.col("levels") > 1)).select(*GRAM, "most", "alone", "levels", "least")
-    deep = shared.where(F.col("alone") & (F.col("levels") > 2)).select(*GRAM, "most")
-    below = counts.select(*GRAM, "c").join(deep, GRAM).where("c < most").groupBy(*GRAM).agg(F.max("c").alias("below"))
-    second = F.coalesce("below", F.when(F.col("levels") == 2, F.col("least")), F.lit(0))
-    return shared.join(below, GRAM, "left").select(*GRAM, "most", "alone", second.alias("second"))
 
+def _grouped(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by n-gram, and the group of each place in it; within a group, rows stay as they are."""
+    order = np.argsort(x, kind="stable")
+    same = x[order][1:] == x[order][:-1]
+    if (same & (y[order][1:] != y[order][:-1])).any():
+        order = np.lexsort((y, x))
+        same = x[order][1:] == x[order][:-1]
+    new = ~(same & (y[order][1:] == y[order][:-1]))
+    return order, np.concatenate([[0], np.cumsum(new)]) if len(x) else np.empty(0, np.int64)
+
+
+def _hashes(column: Column) -> list[Column]:
+    return [F.transform(column, lambda t: F.xxhash64(t)).alias("a"), F.transform(column, lambda t: F.xxhash64(F.lit(1), t)).alias("b")]
 
-def _most_frequent(
-    texts: DataFrame, key: str, column: str, counts: DataFrame, totals: DataFrame, m: int, max_n: int
-) -> DataFrame:
-    """The hashes of the n-grams that ``trivial_ngrams`` gives.
 
-    Strings are needed for ties only: one text of each n-gram that reaches the
-    m-th highest total is looked up again.
+def _bundles(texts: DataFrame, buckets: int, max_n: int) -> DataFrame:
+    """``texts(name, a, b)`` to ``bucket, names, sizes, grams``: counts by text of the n-grams of a bucket, in bytes.
+
+    A bundle is of texts with so many tokens together. It has each n-gram once, with
+    its holders: in bytes, differences of sorted hashes by place of the byte, so that
+    the leading zeros of all stand together for the compression of the shuffle.
     """
-    least = totals.orderBy(F.desc("total")).limit(m).agg(F.min("total")).scalar()
-    # Written, so that the plan knows its size.
-    frequent = materialize(totals.where(F.col("total") >= least).select(*GRAM, "total"), "gram-frequent")
-    place = F.min(F.struct("key", "n", "pos")).alias("at")
-    found = counts.join(frequent, GRAM).groupBy(*GRAM, "total").agg(place).select(*GRAM, "total", "at.*")
-    found = materialize(found, "gram-places")
-    named = (
-        texts.select(F.col(key).alias("key"), column)
-        .join(found, "key")
-        .select(*GRAM, "total", "n", "pos", tokens(F.col(column)).alias("t"))
-        .select(*GRAM, "total", "n", _gram(F.col("pos"), F.col("n"), max_n).alias("gram"))
-    )
-    return named.orderBy(F.desc("total"), "n", "gram").limit(m).select(*GRAM)
+
+    def bundle(names: list[int], parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple]:
+        a, b = (np.concatenate([p[i] for p in parts]).view(np.uint64) for i in (0, 1))
+        ends = np.cumsum([len(p[0]) for p in parts])
+        x, y, text = (np.concatenate(c) for c in zip(*_hashed(a, b, ends, max_n)))
+        # By text first, so that it ascends within an n-gram.
+        by_text = np.argsort(text, kind="stable")
+        x, y, text = x[by_text], y[by_text], text[by_text]
+        order, group = _grouped(x, y)
+        x, y, text = x[order], y[order], text[order]
+        first = np.flatnonzero(np.diff(group * len(names) + text, prepend=-1))
+        count, x, y, text, group = np.diff(first, append=len(x)), x[first], y[first], text[first], group[first]
+        lead = np.flatnonzero(np.diff(group, prepend=-1))
+        holders, gx, gy = np.diff(lead, append=len(group)), x[lead], y[lead]
+        of = ((gx >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        edges = np.searchsorted(of, np.arange(buckets + 1))
+        rows = np.concatenate([lead, [len(group)]])[edges]
+        for i in np.flatnonzero(np.diff(edges)):
+            lo, hi, at, to = edges[i], edges[i + 1], rows[i], rows[i + 1]
+            texts_here, local = np.unique(text[at:to], return_inverse=True)
+            delta = np.diff(gx[lo:hi], prepend=np.uint64(0))
+            parts = [delta.view(np.uint8).reshape(-1, 8).T, gy[lo:hi], holders[lo:hi].astype("<u4"), local.astype("<u4").view(np.uint8).reshape(-1, 4).T]
+            parts.append(count[at:to].astype("<u4").view(np.uint8).reshape(-1, 4).T)
+            yield int(i), [names[t] for t in texts_here], [int(hi - lo), int(to - at)], b"".join(p.tobytes() for p in parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, parts, size = [], [], 0
+
+        def packed() -> pa.RecordBatch:
+            rows = list(bundle(names, parts))
+            columns = list(zip(*rows)) if rows else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["bucket", "names", "sizes", "grams"])
+
+        kinds = pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()
+        for batch in batches:
+            lists = [batch.column(i) for i in (1, 2)]
+            for i, name in enumerate(batch.column(0).to_pylist()):
+                part = tuple(np.asarray(c[i].values) if c[i].is_valid else np.empty(0, np.int64) for c in lists)
+                names.append(name)
+                parts.append(part)
+                size += len(part[0])
+                if size >= TOKENS // max_n:
+                    yield packed()
+                    names, parts, size = [], [], 0
+        if size:
+            yield packed()
+
+    return texts.mapInArrow(run, "bucket int, names array<long>, sizes array<long>, grams binary")
+
+
+def _scores(bundles: DataFrame, trivial: set[tuple[int, int]]) -> DataFrame:
+    """``name, matched, total`` by bucket; a partition has its bundles sorted by bucket."""
+
+    def unpacked(sizes: list[int], raw: bytes) -> list[np.ndarray]:
+        n, rows = sizes
+        cut = np.cumsum([8 * n, 4 * n, 4 * n, 4 * rows])
+        x, y, holders, text, count = np.split(np.frombuffer(raw, np.uint8), cut)
+        x = np.cumsum(np.ascontiguousarray(x.reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64)
+        text, count = (np.ascontiguousarray(c.reshape(4, rows).T).view("<u4").ravel().astype(np.int64) for c in (text, count))
+        return [x, y.view("<u4"), holders.view("<u4"), text, count]
+
+    def scored(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts = np.cumsum([0, *[len(names) for names, _, _ in held]])
+        parts = [unpacked(sizes, raw) for _, sizes, raw in held]
+        x, y, holders = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        text = np.concatenate([p[3] + s for p, s in zip(parts, starts)])
+        count = np.concatenate([p[4] for p in parts])
+        order, group = _grouped(x, y)
+        of = np.empty(len(x), np.int64)
+        of[order] = group
+        common = np.array([(int(a), int(b)) in trivial for a, b in zip(x[m], y[m])], bool) if (m := np.isin(x, [t[0] for t in trivial])).any() else []
+        counts = np.ones(len(x), bool)
+        counts[np.flatnonzero(m)] = ~np.array(common, bool)
+        of, counts = np.repeat(of, holders), np.repeat(counts, holders)
+        of, text, count = of[counts], text[counts], count[counts]
+        total = np.bincount(text, count, starts[-1])
+        several = np.bincount(of, minlength=1)[of] > 1
+        of, text, count = of[several], text[several], count[several]
+        up = np.lexsort((count, of))
+        of, text, count = of[up], text[up], count[up]
+        last = np.flatnonzero(np.diff(of, append=-1))
+        most = np.repeat(count[last], np.diff(last, prepend=-1))
+        # Of a group's highest count the one in the last place has those before it as others.
+        most[last] = count[last - 1]
+        matched = np.bincount(text, np.minimum(count, most), starts[-1])
+        return np.concatenate([n for n, _, _ in held]), matched.astype(np.int64), total.astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(held: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in scored(held)], names=["name", "matched", "total"])
+
+        held, now = [], None
+        for batch in batches:
+            for bucket, names, sizes, raw in zip(*[c.to_pylist() for c in batch.columns]):
+                if held and bucket != now:
+                    yield row(held)
+                    held = []
+                now = bucket
+                held.append((names, sizes, raw))
+        if held:
+            yield row(held)
+
+    return bundles.mapInArrow(run, "name long, matched long, total long")
 
 
 def corpus_similarity(
@@ -268,29 +357,29 @@ def corpus_similarity(
     The same clipped counts with all other texts as references: an n-gram counts
     at most as often as some other text has it. Instead of comparing pairs, each
     n-gram keeps its two highest counts in a text, so the work is linear in the corpus. A
-    key names one text.
+    key names one text, and 64 bits of it do in between.
+
+    N-grams are dealt to buckets by hash, in bundles of bytes that are shuffled once
+    and written nowhere. The number of buckets grows with the corpus, so that a task
+    holds a bounded part of it; what it finds adds up to a row per text.
     """
-    counts = gram_counts(texts, key, column, max_n)
-    totals = materialize(_gram_totals(counts), "gram-totals")
-    trivial = materialize(_most_frequent(texts, key, column, counts, totals, m, max_n), "gram-trivial")
-    # Most n-grams are in one text only and match nothing: they need no partner in the join.
-    limits = _limits(counts, totals)
-    highest = F.col("alone") & (F.col("c") == F.col("most"))
-    clipped = F.least("c", F.when(highest, F.col("second")).otherwise(F.col("most")))
-    scores = (
-        counts.select("key", *GRAM, "c")
-        .join(trivial, GRAM, "left_anti")
-        .join(limits, GRAM, "left")
-        .groupBy("key")
-        .agg(
-            F.sum(F.when(F.col("most").isNotNull(), clipped)).alias("matched"),
-            F.sum("c").alias("total"),
-        )
-    )
+    common = trivial_ngrams(texts, column, m, max_n).select(F.split("gram", " ").alias("t")).select(*_hashes(F.col("t"))).collect()
+    trivial = set()
+    for r in common:
+        a, b = (np.array(r[c], np.int64).view(np.uint64) for c in ("a", "b"))
+        *_, (x, y, _) = _hashed(a, b, np.array([len(a)]), len(a))
+        trivial.add((int(x[0]), int(y[0])))
+    characters = texts.agg(F.sum(F.length(column))).first()[0] or 0
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts, characters * max_n // 4 // BUCKET)
+    name = F.xxhash64(key)
+    held = texts.select(name.alias("name"), tokens(F.col(column)).alias("t")).select("name", *_hashes(F.col("t")))
+    bundles = _bundles(held, buckets, max_n).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    scores = _scores(bundles, trivial).groupBy("name").agg(F.sum("matched").alias("matched"), F.sum("total").alias("total"))
     matched, total = (F.coalesce(c, F.lit(0)) for c in ("matched", "total"))
     return (
-        texts.select(F.col(key).alias("key"))
-        .join(scores, "key", "left")
+        texts.select(F.col(key).alias("key"), name.alias("name"))
+        .join(scores, "name", "left")
         .select(
             F.col("key").alias(key),
             matched.alias("matched"),

@@ -26,3 +26,20 @@ def test_most_frequent_of_all_lengths(spark, m, words):
 def test_only_grams_of_frequent_parts_are_counted(spark):
     table = spark.createDataFrame([("a b a b c a",)] * 3 + [("b x c y z",)], "text string").coalesce(1)
     assert sorted(map(tuple, similarity._counted(table, [["a", "b"]]).collect())) == [("a b", 6), ("b a", 3)]
+
+
+def test_corpus_similarity_writes_and_shuffles_no_row_per_ngram(spark, monkeypatch):
+    """A few bundles of bytes instead; many buckets and bundles give what all pairs of texts give."""
+    monkeypatch.setattr(similarity, "BUCKET", 50)
+    rng = random.Random(1)
+    texts = [[rng.choice("abcdefgh") for _ in range(rng.randrange(30))] for _ in range(40)]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string").repartition(3)
+    counts = [Counter(tuple(t[i : i + n]) for n in range(1, 5) for i in range(len(t) - n + 1)) for t in texts]
+    drop = {tuple(g.split()) for _, g, _ in most_frequent([" ".join(t) for t in texts], 10, 4)}
+    expected = {}
+    for i, own in enumerate(counts):
+        best = {g: max(c[g] for j, c in enumerate(counts) if j != i) for g in own if g not in drop}
+        expected[i] = sum(min(own[g], n) for g, n in best.items()), sum(own[g] for g in best)
+    monkeypatch.delattr(similarity, "materialize")
+    got = similarity.corpus_similarity(table, "id", "text", 10)
+    assert {r["id"]: (r["matched"], r["total"]) for r in got.collect()} == expected
