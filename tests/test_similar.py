@@ -89,3 +89,29 @@ def test_no_output_grows_with_a_group_squared(spark):
 
 def test_no_rows(spark):
     assert found(spark, []) == []
+
+
+def test_pairs_have_a_key_in_common(spark):
+    """Similar sets without a common key stay apart where keys are what proposes pairs."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words, f"x{i}"])) for i in range(4)]
+    sets = similar.gram_sets(spark.createDataFrame(rows, "id long, body string"), "id", "body")
+    packed = similar.packed(sets)
+    keyed = sets.selectExpr("id div 2 AS key", "fp")
+    name = {r["fp"]: r["id"] for r in sets.collect()}
+
+    def joined(**more):
+        found = similar.class_links(keyed, lambda fps: packed.join(fps, "fp", "left_semi"), **more)
+        return {frozenset((name[r["a"]], name[r["b"]])) for r in found.collect()}
+
+    assert joined(by_key=True) == {frozenset((0, 1)), frozenset((2, 3))}
+    assert len(joined()) > 2
+
+
+def test_pairs_that_cannot_be_similar_go_by_their_heads(spark, monkeypatch):
+    """Sets that share a rare n-gram and little else are never sent whole."""
+    seen, checked = [], similar._similar
+    monkeypatch.setattr(similar, "_similar", lambda pairs, *more: seen.append(pairs.count()) or checked(pairs, *more))
+    rng = random.Random(2)
+    rows = [(i, " ".join(["r1 r2 r3 r4", *[f"u{rng.randrange(10**6)}" for _ in range(100)]])) for i in range(20)]
+    assert found(spark, rows) == brute_classes(rows, 0.8) and seen == [0, 0]
