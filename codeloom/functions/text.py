@@ -45,7 +45,7 @@ def lines(c: Column) -> Column:
 
 def unify_newlines(c: Column) -> Column:
     """CRLF and CR become LF."""
-    return F.regexp_replace(c, r"\r\n?", "\n")
+    return F.when(F.contains(c, F.lit("\r")), F.regexp_replace(c, r"\r\n?", "\n")).otherwise(c)
 
 
 def count_lines(c: Column) -> Column:

@@ -10,14 +10,12 @@ its unit of parallelism is the file.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as t
 from codeloom.functions.text import HS, WS, bare_comments, hash_comments, path_part, split_comment, strip
-from codeloom.operators.lexer import HIDDEN, code_of, hide
+from codeloom.operators.lexer import HIDDEN, MORE, RUN, code_of, let, restored, shortened
 
 # Fixed values -----------------------------------------------------------------
 
@@ -93,41 +91,77 @@ GOES_ON = rf"{HIDDEN}\z|(?<!:)(?:[-+*/\\^%&|<>=~?:,÷]|\b(?:in|isa|where))[\t ]*
 # ------------------------------------------------------------------------------
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once; inside a fold nothing else shares it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def newlines(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n")))
 
 
+def without(c: Column, *marks: str) -> Column:
+    for mark in marks:
+        c = F.replace(c, F.lit(mark), F.lit(""))
+    return c
+
+
 def segments(content: Column, pattern: str = SEGMENT) -> Column:
     """A file as an array of consecutive segments."""
     return F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
 
 
-FOUND = "cast(array() as array<struct<line: int, module: string, text: string>>)"
+FOUND = "cast(array() as array<struct<line: int, run: int, module: string, text: string>>)"
+
+
+def marked_definitions(
+    content: Column, assignment: str | None = None, segment: str = SEGMENT, definition: str = DOCUMENTED
+) -> Column:
+    """``definitions`` of a text after ``mask_inner_ends``; lines without code are put back into what is found alone."""
+
+    def whole(marked: Column) -> Column:
+        def put_back(d: Column) -> Column:
+            text = restored(d["text"], marked["runs"], d["run"])
+            return F.struct(d["line"].alias("line"), d["module"].alias("module"), text.alias("text"))
+
+        modular = F.exists(marked["code"], lambda line: F.rlike(line, F.lit(MODULE)))
+        found = definitions(marked["text"], modular, segment, definition, marked["code"])
+        return F.transform(found, put_back)
+
+    return let(shortened(content), lambda short: let(_masked(short, assignment), whole))
 
 
 def definitions(
-    content: Column, modular: Column, segment: str = SEGMENT, definition: str = DOCUMENTED
+    content: Column, modular: Column, segment: str = SEGMENT, definition: str = DOCUMENTED, code: Column | None = None
 ) -> Column:
-    """``array<struct<line, module, text>>`` of the segments that define a function.
+    """``array<struct<line, run, module, text>>`` of the segments that define a function.
 
     One pass carries the line number along and, in files that are ``modular``, a
     stack of open blocks: a module's name, or null for any other block. The
     innermost name is the module of a definition; its ``end`` takes it from the
     stack.
+
+    With the array of the lines' ``code``, the text is a shortened one, and ``run``
+    counts the runs before a definition. Otherwise each segment is looked at for its code.
     """
 
+    def marks(s: Column, mark: str) -> Column:
+        return F.length(s) - F.length(F.replace(s, F.lit(mark)))
+
+    def code_in(acc: Column, s: Column) -> Column:
+        return code_of(s) if code is None else F.array_join(F.slice(code, acc["at"] + 1, newlines(s)), "\n")
+
+    def place(acc: Column, s: Column) -> list[Column]:
+        if code is None:
+            return [(acc["line"] + newlines(s)).cast("int").alias("line"), acc["at"].alias("at"), acc["run"].alias("run")]
+        return [
+            (acc["line"] + newlines(s) + marks(s, MORE)).cast("int").alias("line"),
+            (acc["at"] + newlines(s)).cast("int").alias("at"),
+            (acc["run"] + marks(s, RUN)).cast("int").alias("run"),
+        ]
+
     def defines(s: Column) -> Column:
         return F.rlike(s, F.lit("^" + definition))
 
     def found(acc: Column, s: Column, module: Column, is_definition: Column) -> list[Column]:
-        record = F.struct(acc["line"].alias("line"), module.alias("module"), s.alias("text"))
+        record = F.struct(acc["line"].alias("line"), acc["run"].alias("run"), module.alias("module"), s.alias("text"))
         return [
-            (acc["line"] + newlines(s)).cast("int").alias("line"),
+            *place(acc, s),
             F.when(is_definition, F.array_append(acc["found"], record)).otherwise(acc["found"]).alias("found"),
         ]
 
@@ -140,7 +174,7 @@ def definitions(
         def counted(is_definition: Column) -> Column:
             silent = ~is_definition & F.rlike(s, F.lit(rf'^(?:{HS}*+(?:#(?!=)|""")|{HIDDEN})'))
             unchanged = F.struct(acc["brackets"].alias("brackets"), F.lit(0).alias("depth"))
-            change = F.when(silent, unchanged).otherwise(_let(code_of(s), lambda code: _counted(code, acc["brackets"])))
+            change = F.when(silent, unchanged).otherwise(let(code_in(acc, s), lambda code: _counted(code, acc["brackets"])))
             return F.struct(change.alias("change"), is_definition.alias("defines"))
 
         def moved(seen: Column) -> Column:
@@ -154,9 +188,10 @@ def definitions(
                 F.when(depth > 0, F.concat(blocks, opened)).when(depth < 0, left).otherwise(blocks).alias("blocks"),
             )
 
-        return _let(_let(defines(s), counted), moved)
+        return let(let(defines(s), counted), moved)
 
-    parts, start = segments(content, segment), [F.lit(1).alias("line"), F.expr(FOUND).alias("found")]
+    parts = segments(content, segment)
+    start = [F.lit(1).alias("line"), F.lit(0).alias("at"), F.lit(0).alias("run"), F.expr(FOUND).alias("found")]
     stack = [F.lit(0).alias("brackets"), F.expr("cast(array() as array<string>)").alias("blocks")]
     return F.when(modular, F.aggregate(parts, F.struct(*start, *stack), stacked, lambda acc: acc["found"])).otherwise(
         F.aggregate(parts, F.struct(*start), plain, lambda acc: acc["found"])
@@ -179,9 +214,13 @@ OPENERS = "|".join(w.replace(" ", r"\s+") for w in BLOCK_WORDS)
 def _bare(code: Column) -> Column:
     """Code without strings, comments, and brackets that close in it."""
     code = F.regexp_replace(code, r'"(?:[^"\\]|\\.)*+"|#.*', " ")
-    for _ in range(3):
-        code = F.regexp_replace(code, r"\[[^\[\]()]*+\]|\([^\[\]()]*+\)", " ")
-    return code
+
+    def closed(c: Column) -> Column:
+        for _ in range(3):
+            c = F.regexp_replace(c, r"\[[^\[\]()]*+\]|\([^\[\]()]*+\)", " ")
+        return c
+
+    return let(code, lambda c: F.when(F.rlike(c, F.lit(r"[\])]")), closed(c)).otherwise(c))
 
 
 def _change(code: Column, brackets: Column, after: Column) -> Column:
@@ -189,8 +228,11 @@ def _change(code: Column, brackets: Column, after: Column) -> Column:
     code = F.regexp_replace(code, rf"[:.](?:end|{OPENERS})\b", " ")
     code = F.when(brackets > 0, F.regexp_replace(code, r"^.*[\])]", " ")).otherwise(code)
     code = F.when(after > 0, F.regexp_replace(code, r"[\[(].*$", " ")).otherwise(code)
-    count = F.regexp_count(code, F.lit(rf"\b(?:{OPENERS})\b")) - F.regexp_count(code, F.lit(r"\bend\b"))
-    return F.when((brackets > 0) & (after > 0), 0).otherwise(count)
+
+    def count(c: Column) -> Column:
+        return F.regexp_count(c, F.lit(rf"\b(?:{OPENERS})\b")) - F.regexp_count(c, F.lit(r"\bend\b"))
+
+    return F.when((brackets > 0) & (after > 0), 0).otherwise(let(code, count))
 
 
 def _counted(code: Column, brackets: Column) -> Column:
@@ -198,7 +240,7 @@ def _counted(code: Column, brackets: Column) -> Column:
 
     def looked(bare: Column) -> Column:
         net = F.regexp_count(bare, F.lit(r"[\[(]")) - F.regexp_count(bare, F.lit(r"[\])]"))
-        return _let(
+        return let(
             F.greatest(brackets + net, F.lit(0)).cast("int"),
             lambda after: F.struct(
                 after.alias("brackets"), _change(bare, brackets, after).cast("int").alias("depth")
@@ -207,10 +249,16 @@ def _counted(code: Column, brackets: Column) -> Column:
 
     plain = F.struct(brackets.cast("int").alias("brackets"), F.lit(0).alias("depth"))
     marks = F.rlike(code, F.lit(rf"\b(?:end|{OPENERS})\b|[\[\]()]"))
-    return F.when(marks, _let(_bare(code), looked)).otherwise(plain)
+    return F.when(marks, let(_bare(code), looked)).otherwise(plain)
 
 
 def mask_inner_ends(content: Column, assignment: str | None = None) -> Column:
+    """The text with marks, see ``_masked``."""
+    masked = let(shortened(content), lambda short: _masked(short, assignment))
+    return let(masked, lambda m: restored(m["text"], m["runs"], F.lit(0)))
+
+
+def _masked(short: Column, assignment: str | None = None) -> Column:
     """Mark every ``end`` inside a function that does not close the function.
 
     A running block depth decides: openers count up, ``end`` counts down, in the
@@ -224,12 +272,14 @@ def mask_inner_ends(content: Column, assignment: str | None = None) -> Column:
     ``assignment`` is the pattern of a line outside functions whose value may go
     on: while its blocks, brackets or a string are open, or after an operator, the
     next lines are marked as ``CONTINUED``. Such a header ends an assignment as well.
+
+    Takes what ``shortened`` gives; ``struct<text, code, runs>`` with the lines' code as an array.
     """
 
     def reopened(out: Column) -> Column:
         """The last marked ``end`` without its mark: nothing else closed its function."""
-        last = F.array_max(F.transform(out, lambda x, i: F.when(F.startswith(x, F.lit(INNER)), i)))
-        return F.transform(out, lambda x, i: F.when(i == last, F.replace(x, F.lit(INNER), F.lit(""))).otherwise(x))
+        last = F.array_max(F.transform(out, lambda x, i: F.when(x == INNER, i)))
+        return F.transform(out, lambda x, i: F.when(i == last, "").otherwise(x))
 
     start = F.struct(
         F.lit(0).alias("depth"),
@@ -251,37 +301,42 @@ def mask_inner_ends(content: Column, assignment: str | None = None) -> Column:
         is_value = F.lit(False)
         if assignment is not None:
             is_value = ~hidden & ~open_function & ~open_value & (acc["brackets"] == 0) & F.rlike(line, F.lit(assignment))
-        seen = _counted(code, F.when(broken, 0).otherwise(acc["brackets"]))
-        looked = F.struct(
-            seen["brackets"].alias("brackets"),
-            (before + seen["depth"]).cast("int").alias("depth"),
-            F.when(is_head, before).otherwise(acc["function_depth"]).cast("int").alias("outer"),
-            F.when(is_value, before)
-            .otherwise(F.when(broken, -1).otherwise(acc["assigned_depth"]))
-            .cast("int")
-            .alias("assigned"),
-            broken.alias("broken"),
-        )
+        def looked(seen: Column) -> Column:
+            return F.struct(
+                seen["brackets"].alias("brackets"),
+                (before + seen["depth"]).cast("int").alias("depth"),
+                F.when(is_head, before).otherwise(acc["function_depth"]).cast("int").alias("outer"),
+                F.when(is_value, before)
+                .otherwise(F.when(broken, -1).otherwise(acc["assigned_depth"]))
+                .cast("int")
+                .alias("assigned"),
+                broken.alias("broken"),
+            )
 
         def moved(now: Column) -> Column:
             depth, outer, assigned = now["depth"], now["outer"], now["assigned"]
             closes = (outer >= 0) & (depth <= outer)
             inner = (outer >= 0) & ~closes & F.rlike(line, F.lit(rf"^{END}"))
-            goes_on = (depth > assigned) | (now["brackets"] > 0) | F.rlike(code, F.lit(GOES_ON))
+            goes_on = (assigned >= 0) & ((depth > assigned) | (now["brackets"] > 0) | F.rlike(code, F.lit(GOES_ON)))
             mark = F.when(inner, INNER).when(open_value & (assigned >= 0), CONTINUED).otherwise("")
             out = F.when(now["broken"] & open_function, reopened(acc["out"])).otherwise(acc["out"])
             return F.struct(
                 depth.alias("depth"),
                 now["brackets"].alias("brackets"),
                 F.when(closes, -1).otherwise(outer).alias("function_depth"),
-                F.when((assigned >= 0) & goes_on, assigned).otherwise(-1).alias("assigned_depth"),
-                F.array_append(out, F.concat(mark, line)).alias("out"),
+                F.when(goes_on, assigned).otherwise(-1).alias("assigned_depth"),
+                F.array_append(out, mark).alias("out"),
             )
 
-        return _let(looked, moved)
+        seen = let(_counted(code, F.when(broken, 0).otherwise(acc["brackets"])), looked)
+        return let(seen, moved)
+
+    def marked(lines: Column) -> Column:
+        marks = F.aggregate(F.arrays_zip(lines["line"].alias("line"), lines["code"].alias("code")), start, step, lambda acc: acc["out"])
+        text = F.array_join(F.zip_with(marks, lines["line"], lambda mark, line: F.concat(mark, line)), "\n")
+        return F.struct(text.alias("text"), lines["code"].alias("code"), short["runs"].alias("runs"))
 
-    both = F.arrays_zip(t.lines(hide(content)).alias("line"), t.lines(code_of(content)).alias("code"))
-    return F.aggregate(both, start, step, lambda acc: F.array_join(acc["out"], "\n"))
+    return let(F.struct(t.lines(short["text"]).alias("line"), t.lines(short["code"]).alias("code")), marked)
 
 
 def _documentation(text: Column, kind: Column) -> Column:
@@ -320,16 +375,17 @@ def extract_functions(files: DataFrame, end_rule: str = "first") -> DataFrame:
     else the run of comments before it; blank lines may stand between.
     """
     content = t.unify_newlines(F.col("content").cast("string"))
-    modular = names_module(F.col("content").cast("string"))
     if end_rule == "balanced":
-        content = mask_inner_ends(content)
-    elif end_rule != "first":
+        found = marked_definitions(content)
+    elif end_rule == "first":
+        found = definitions(content, names_module(F.col("content").cast("string")))
+    else:
         raise ValueError(f"unknown end rule: {end_rule}")
 
     def unmarked(c: Column) -> Column:
-        return F.translate(c, INNER + HIDDEN, "") if end_rule == "balanced" else c
+        return without(c, INNER, HIDDEN) if end_rule == "balanced" else c
 
-    found = files.select("path", F.explode(definitions(content, modular)).alias("d")).select(
+    found = files.select("path", F.explode(found).alias("d")).select(
         "path",
         F.col("d.line").alias("line"),
         F.col("d.module").alias("module"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as t
 from codeloom.functions.text import HS, WS, hash_comments, path_part, split_comment, strip
-from codeloom.operators.lexer import HIDDEN
+from codeloom.operators.lexer import HIDDEN, let
 from codeloom.operators.extract import (
     BLANKS,
     CONTINUED,
@@ -23,10 +23,9 @@ from codeloom.operators.extract import (
     INNER,
     OTHER,
     WORD_END,
+    marked_definitions,
     newlines,
-    definitions,
-    mask_inner_ends,
-    names_module,
+    without,
 )
 
 # Fixed values -----------------------------------------------------------------
@@ -51,20 +50,20 @@ SEGMENT = rf"(?>{DOCUMENTED})|{OTHER}"
 
 
 def _plain_lines(c: Column) -> Column:
-    return F.split(F.regexp_replace(c, LINE_ENDS, "\n"), "\n", -1)
+    return F.split(c, LINE_ENDS, -1)
 
 
 def extract_by_syntax(files: DataFrame) -> DataFrame:
     """``files(path, content)`` to flat functions; tests are left out by their signatures."""
-    text = F.col("content").cast("string")
-    content = mask_inner_ends(t.unify_newlines(text), f"^{ASSIGNED}")
+    content = t.unify_newlines(F.col("content").cast("string"))
+    definitions = marked_definitions(content, f"^{ASSIGNED}", SEGMENT, DOCUMENTED)
     found = (
-        files.select("path", F.explode(definitions(content, names_module(text), SEGMENT, DOCUMENTED)).alias("d"))
-        .select("path", "d.line", "d.module", F.translate("d.text", INNER + CONTINUED, "").alias("text"))
+        files.select("path", F.explode(definitions).alias("d"))
+        .select("path", "d.line", "d.module", without(F.col("d.text"), INNER, CONTINUED).alias("text"))
         .withColumn("lead", F.regexp_extract("text", f"^({LEAD})", 1))
-        .withColumn("doc", F.translate(F.regexp_extract("text", f"^{LEAD}", 1), HIDDEN, ""))
+        .withColumn("doc", without(F.regexp_extract("text", f"^{LEAD}", 1), HIDDEN))
     )
-    raw = F.translate(F.expr("substring(text, length(lead) + 1)"), HIDDEN, "")
+    raw = without(F.expr("substring(text, length(lead) + 1)"), HIDDEN)
     found = found.withColumn("raw", raw)
     is_function = F.rlike("raw", F.lit(rf"^{HS}*+function{WORD_END}"))
 
@@ -83,7 +82,7 @@ def extract_by_syntax(files: DataFrame) -> DataFrame:
         .when(F.contains(code, F.lit("->")), "anonymous")
         .when(F.rlike(code, F.lit(rf"(?d)^{CALL}{WS}*+=")), "single-line")
     )
-    found = found.withColumn("kind", kind).where("kind is not null")
+    found = found.withColumn("kind", kind)
 
     is_basic, is_short = F.col("kind") == "basic", F.col("kind") == "single-line"
     signature = (
@@ -91,11 +90,13 @@ def extract_by_syntax(files: DataFrame) -> DataFrame:
         .when(is_short, F.regexp_extract(code, rf"(?d)^({CALL}){WS}*=", 1))
         .otherwise(strip(F.get(_plain_lines(code), F.lit(0))))
     )
-    found = found.withColumn("signature", signature).where("signature <> ''")
+    # As one item of an array: a filter on plain columns would take all texts apart once more, below.
+    shaped = ["path", "line", "module", "lead", "doc", "code", "kind", signature.alias("signature")]
+    found = found.select(F.inline(F.array(F.struct(*shaped)))).where("kind is not null and signature <> ''")
 
     # Lines that repeat the signature are no part of the body.
     lines = F.filter(
-        F.slice(_plain_lines(code), 2, F.size(_plain_lines(code))),
+        let(_plain_lines(code), lambda all_: F.slice(all_, 2, F.size(all_))),
         lambda line: ~F.contains(line, F.col("signature")),
     )
     after_sign = F.when(is_short, F.expr("substring(code, locate('=', code) + 1)")).otherwise(

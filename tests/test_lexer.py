@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from codeloom.operators.extract import extract_functions
 from codeloom.operators.extract_syntax import extract_by_syntax
 from codeloom.plans.jobs import build_corpus
-from codeloom.operators.lexer import HIDDEN, TOKEN, code_of, has_open_token, hide
+from codeloom.operators.lexer import HIDDEN, TOKEN, code_of, has_open_token, hide, restored, shortened
 
 CASES = [
     ("", ""),
@@ -116,3 +116,27 @@ def test_values_go_on_after_an_operator(spark):
     assert rows["k(x)"].startswith("x *") and rows["k(x)"].endswith("z")
     assert rows["m(x)"] == '"""a\nb""" * x'
     assert rows["s(x)"] == ":+" and rows["n(x)"] == "1"
+
+
+def test_lines_without_code_are_taken_out_and_put_back(spark):
+    long = "\n".join(f"{i} end # no" for i in range(500))
+    texts = [a for a, _ in CASES] + ['s = """\n%s\n  """ + 1\nf(x) = 1\n' % long, "#= a\n%s\n=# x" % long, "#= a\nb\nc =# end"]
+    texts += ["x = 1 +\n#= a\nb =#\n2", 'show("a\nb\nc") # d\n"""\n"""']
+    df = spark.createDataFrame([(a,) for a in texts], "a string").withColumn("s", shortened(F.col("a")))
+    rows = df.select("a", "s.*", hide(F.col("a")).alias("h"), restored(F.col("s.text"), F.col("s.runs"), F.lit(0)).alias("back"), code_of(F.col("a")).alias("c"))
+    for r in rows.collect():
+        assert r.back == r.h and r.text.count("\n") == r.code.count("\n") <= min(r.a.count("\n"), 5), r.a
+        # Lines with code are the same, in the same order.
+        assert [x for x in r.code.replace(HIDDEN, "").split("\n") if x] == [x for x in r.c.replace(HIDDEN, "").split("\n") if x]
+
+
+def test_definitions_keep_their_lines_around_long_texts(spark):
+    text = "end\n" * 300
+    content = f's = """\n{text}"""\nmodule M\n#=\n{text}=#\nfunction f(x)\n  t = """\n{text}"""\n  if x\n    1\n  end\nend\nend\ng(x) = x +\n#= a\nb\n=# 2\n'
+    df = spark.createDataFrame([("a/b/c.jl", content)], "path string, content string")
+    head = content[: content.index("function f")].count("\n") + 1
+    for ends, found in ((301, extract_functions(df, end_rule="balanced")), (302, extract_by_syntax(df))):
+        got = {r.signature: r for r in found.collect()}
+        f = got["function f(x)"]
+        assert (f.line_number, f.module, f.body.count("end")) == (head, "M", ends)
+    assert got["g(x)"].line_number == content[: content.index("g(x)")].count("\n") + 1

@@ -79,3 +79,8 @@ def test_corpus_ngrams_explode_once(spark, sf, plan, monkeypatch):
     assert counted.count("Generate explode") == 1 and counted.count("Exchange hashpartitioning") == 1
     monkeypatch.undo()
     assert "Generate" not in plan("ngram_corpus_similarity")
+
+
+def test_texts_are_not_taken_apart_in_filters(plan):
+    filters = [line for line in plan("extract_syntax").splitlines() if "Filter" in line]
+    assert filters and not any("regexp" in line or "RLIKE" in line for line in filters)
