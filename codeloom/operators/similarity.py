@@ -22,6 +22,8 @@ TRIVIAL_NGRAMS = 500
 TOKENS = 1 << 20
 #: N-grams of the corpus in a bucket, about.
 BUCKET = 4_000_000
+#: Characters of the pairs whose n-grams a task counts, about.
+PAIRED = 500_000
 
 # ------------------------------------------------------------------------------
 
@@ -128,9 +130,13 @@ def pair_similarity(pairs: DataFrame, trivial: DataFrame, max_n: int = MAX_N) ->
     at most as often as the reference has it. The trivial n-grams have a fixed
     number, so the plan broadcasts them. The texts are partitioned by pair before
     they explode into n-grams, and every count keeps that partitioning: n-grams
-    are never shuffled. Only the given pairs are compared.
+    are never shuffled. Partitions grow in number with the texts, so that what a
+    task counts does not grow. Only the given pairs are compared.
     """
-    cand, ref = tokens(F.col("candidate")), tokens(F.col("reference"))
+    characters = pairs.agg(F.sum(F.coalesce(F.length("candidate"), F.lit(0)) + F.coalesce(F.length("reference"), F.lit(0))))
+    least = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, (characters.first()[0] or 0) // PAIRED)
+    cand, ref = (tokens(F.coalesce(F.col(c), F.lit(""))) for c in ("candidate", "reference"))
 
     def side(grams: Column, name: str) -> Column:
         return F.transform(
@@ -139,7 +145,7 @@ def pair_similarity(pairs: DataFrame, trivial: DataFrame, max_n: int = MAX_N) ->
 
     # The last entry keeps pairs that have no n-gram left.
     keep = F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("gram"), F.lit("").alias("side")))
-    rows = partitioned(pairs, "id").select("id", cand.alias("c"), ref.alias("r")).select(
+    rows = pairs.repartition(parts, "id").select("id", cand.alias("c"), ref.alias("r")).select(
         "id",
         F.size("c").alias("candidate_tokens"),
         F.size("r").alias("reference_tokens"),

@@ -15,6 +15,7 @@ from codeloom.operators.encode import EncodeOptions, encode, prepare, vocabulary
 from codeloom.operators.filters import of_first_authors, without_benchmark_names, without_excluded
 from codeloom.operators.metrics import flatten_projects, function_type_metrics, project_records
 from codeloom.operators.sample import exact_sample
+from codeloom.operators import similarity
 from codeloom.operators.similarity import corpus_similarity, pair_similarity
 from codeloom.plans import views
 from codeloom.schemas import FUNCTIONS
@@ -248,6 +249,22 @@ def test_pair_similarity(spark):
     assert {r["id"]: r["total_1"] for r in pair_similarity(pairs, trivial).collect()}["half"] == 1
 
 
+def test_pair_partitions_grow_with_the_texts(spark, monkeypatch):
+    rows = [(f"p{i}", "a b c " * i, "a c b " * 20) for i in range(1, 40)] + [("null", None, None)]
+    pairs = spark.createDataFrame(rows, "id string, candidate string, reference string")
+    nothing = spark.createDataFrame([], "n int, gram string")
+    few = pair_similarity(pairs, nothing)
+    monkeypatch.setattr(similarity, "PAIRED", 100)
+    many = pair_similarity(pairs, nothing)
+    size = sum(len(c) + len(r) for _, c, r in rows if c)
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert f", {size // 100})" in plan(many) and f", {size // 100})" not in plan(few)
+    assert sorted(few.collect()) == sorted(many.collect()) and len(rows) == many.count()
+
+
 def test_corpus_similarity(spark):
     rows = [(1, "a a b"), (2, "a c"), (3, "z"), (4, ""), (5, None)]
     texts = spark.createDataFrame(rows, "id int, text string")
