@@ -115,3 +115,41 @@ def test_pairs_that_cannot_be_similar_go_by_their_heads(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(i, " ".join(["r1 r2 r3 r4", *[f"u{rng.randrange(10**6)}" for _ in range(100)]])) for i in range(20)]
     assert found(spark, rows) == brute_classes(rows, 0.8) and seen == [0, 0]
+
+
+def test_sets_are_not_written(spark, monkeypatch):
+    """Of texts that share nothing, tables hold far less than their n-grams; a set is sent whole only for a pair that its head leaves."""
+    written, write = {}, similar.materialize
+
+    def counted(df, name):
+        table = write(df, name)
+        cells = [c for c, kind in table.dtypes if kind == "binary" or kind.startswith("array")]
+        written[name] = sum(table.selectExpr(f"coalesce(sum(octet_length(cast({c} AS binary))), 0) AS n").first()["n"] for c in cells if "array" not in dict(table.dtypes)[c])
+        written[name] += sum(8 * table.selectExpr(f"coalesce(sum(size({c})), 0) AS n").first()["n"] for c in cells if "array" in dict(table.dtypes)[c])
+        return table
+
+    monkeypatch.setattr(similar, "materialize", counted)
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"u{rng.randrange(10**6)}" for _ in range(300))) for i in range(40)]
+    rows.append((40, rows[0][1] + " z"))
+    assert found(spark, rows) == brute_classes(rows, 0.8)
+    assert sum(written.values()) < 0.3 * 8 * 297 * 40 and written["similar-sets"] < 3 * 8 * 300
+
+
+def test_lists_of_prefixes_in_many_buckets(spark, monkeypatch):
+    """Small bundles and buckets give the same lists: each set with a common n-gram once, and no list of one set."""
+    rng, rows = random.Random(4), []
+    for i in range(60):
+        words = [f"w{rng.randrange(400)}" for _ in range(40)]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(words)), (3 * i + 2, " ".join([*words[:-1], "x"]))]
+    table = spark.createDataFrame(rows, "id long, body string").repartition(5)
+    sets = similar.packed(similar.gram_sets(table, "id", "body"))
+    counts = spark.sparkContext.broadcast(similar.rarity(sets))
+    whole = sorted(map(tuple, similar.postings(sets, counts).collect()))
+    monkeypatch.setattr(similar, "BUNDLE", 50)
+    monkeypatch.setattr(similar, "BUCKET", 100)
+    assert sorted(map(tuple, similar.postings(sets, counts).collect())) == whole and len(set(whole)) == len(whole) > 0
+    lists = {}
+    for gram, fp, _, _ in whole:
+        lists.setdefault(gram, set()).add(fp)
+    assert min(map(len, lists.values())) > 1
