@@ -8,9 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions.bytetokens import TokenHashes, mixed
 from codeloom.functions.tokens import ngrams, token_pattern, tokens
 from codeloom.session import materialize, partitioned
 
@@ -22,6 +26,8 @@ TRIVIAL_NGRAMS = 500
 TOKENS = 1 << 20
 #: N-grams of the corpus in a bucket, about.
 BUCKET = 4_000_000
+#: The most frequent tokens, which have a code of two bytes; other tokens are sent as hashes. Places of a table of them.
+CODES, SLOTS = 65_535, 1 << 20
 #: Characters of the pairs whose n-grams a task counts, about.
 PAIRED = 500_000
 
@@ -49,18 +55,58 @@ def trivial_ngrams(
     are one token shorter, and it ranks after shorter ones with its count. So it is
     counted only if both are more frequent than the m-th so far; those are fewer than ``m``.
     """
+    found = _trivial(texts, column, m, max_n, _most(texts, column, [], 0, m) if m else [])
+    rows = texts.sparkSession.createDataFrame(found, "n int, gram string, count long")
+    return rows.orderBy(F.desc("count"), "n", "gram").limit(m)
+
+
+def _most(texts: DataFrame, column: str, kept: list[list[str]], least: int, m: int) -> list[tuple[str, int]]:
+    counts = _counted(texts.select(column), kept).groupBy("gram").agg(F.sum("count").alias("count"))
+    best = counts.where(F.col("count") > least).orderBy(F.desc("count"), "gram").limit(m)
+    return [tuple(r) for r in best.collect()]
+
+
+def _frequent(texts: DataFrame, column: str, m: int) -> list[tuple[str, int]]:
+    """The ``m`` most frequent tokens, best first, and about as many more as there are codes.
+
+    Tokens lie in the partitions of their counts by hash, so each partition sends its share of the codes, at least ``m``.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = max(m, -(-CODES // parts))
+
+    def best(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        order = [("part", "ascending"), ("count", "descending"), ("gram", "ascending")]
+        table = table.take(pc.sort_indices(table, sort_keys=order))
+        part = table["part"].to_numpy()
+        return table.filter(pa.array(np.arange(len(part)) - np.searchsorted(part, part) < each)).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= TOKENS + each * parts:
+                held = best(held)
+        if held:
+            yield from best(held)
+
+    counts = _counted(texts.select(column), []).groupBy("gram").agg(F.sum("count").alias("count"))
+    counts = counts.withColumn("part", F.pmod(F.hash("gram"), F.lit(parts)))
+    rows = counts.mapInArrow(run, "gram string, count long, part int").select("gram", "count").collect()
+    return sorted(map(tuple, rows), key=lambda r: (-r[1], r[0].encode()))
+
+
+def _trivial(texts: DataFrame, column: str, m: int, max_n: int, first: list[tuple[str, int]]) -> list[tuple[int, str, int]]:
+    """``n, gram, count``, best first; ``first`` has the most frequent tokens."""
     found, least, kept = [], 0, []
     for n in range(1, max_n + 1) if m else []:
-        counts = _counted(texts.select(column), kept).groupBy("gram").agg(F.sum("count").alias("count"))
-        best = counts.where(F.col("count") > least).orderBy(F.desc("count"), "gram").limit(m)
-        found += [(n, r["gram"], r["count"]) for r in best.collect()]
+        found += [(n, *r) for r in (first[:m] if n == 1 else _most(texts, column, kept, least, m))]
         found = sorted(found, key=lambda r: (-r[2], r[0], r[1].encode()))[:m]
         least = found[-1][2] if len(found) == m else 0
         kept = [*kept, [gram for length, gram, count in found if length == n and count > least]]
         if not kept[-1]:
             break
-    rows = texts.sparkSession.createDataFrame(found, "n int, gram string, count long")
-    return rows.orderBy(F.desc("count"), "n", "gram").limit(m)
+    return found
 
 
 def _counted(texts: DataFrame, kept: list[list[str]]) -> DataFrame:
@@ -69,6 +115,8 @@ def _counted(texts: DataFrame, kept: list[list[str]]) -> DataFrame:
     A row is a part of the texts; a task holds the codes of so many tokens, and counts by code.
     """
     pattern, codes = token_pattern(), {token: i for i, token in enumerate(kept[0])} if kept else {}
+    hashes = TokenHashes().of_tokens(list(codes))
+    by_hash = np.argsort(hashes)
     # An n-gram's code is that of its first n - 1 tokens, by place in ``kept``, and of its last one.
     width, tables = max(1, len(codes)), []
     for grams in kept[1:]:
@@ -77,9 +125,8 @@ def _counted(texts: DataFrame, kept: list[list[str]]) -> DataFrame:
         pairs = sorted((before[first] * width + codes[last], g) for (first, _, last), g in zip(both, grams))
         tables.append((np.array([code for code, _ in pairs], np.int64), np.array([grams.index(g) for _, g in pairs], np.int64)))
 
-    def longer(flat: list[int]) -> Counter:
-        ids = np.array(flat, np.int64)
-        at = ids
+    def longer(parts: list[np.ndarray]) -> Counter:
+        at = ids = np.concatenate(parts)
         for length, (known, place) in enumerate(tables, 2):
             code = at[:-1] * width + ids[length - 1 :]
             where = np.minimum(np.searchsorted(known, code), len(known) - 1)
@@ -89,21 +136,28 @@ def _counted(texts: DataFrame, kept: list[list[str]]) -> DataFrame:
         return Counter({f"{kept[-1][c // width]} {kept[0][c % width]}": n for c, n in zip(found.tolist(), counts.tolist())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen, flat, after = re.compile(pattern).findall, Counter(), [], [-1] * (len(kept) + 1)
+        split, seen, flat, held = re.compile(pattern).findall, Counter(), [], 0
+        hashes_of, known = TokenHashes(), hashes[by_hash]
         for batch in batches:
-            for text in batch.column(0):
-                row = split(text.as_py() or "")
-                if kept:
-                    flat += [codes.get(x, -1) for x in row]
-                    flat += after
-                else:
-                    seen.update(row)
-                if len(flat) >= TOKENS:
-                    seen.update(longer(flat))
-                    flat = []
-                if len(seen) >= TOKENS:
-                    yield batch_of(seen)
-                    seen = Counter()
+            if kept:
+                for _, found, ends in hashes_of(batch.column(0)):
+                    where = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                    ids = np.where(known[where] == found, by_hash[where], -1)
+                    # No n-gram reaches from a text into the next.
+                    flat.append(np.insert(ids, np.repeat(ends, len(kept) + 1), -1))
+                    held += len(flat[-1])
+                    if held >= TOKENS:
+                        seen.update(longer(flat))
+                        flat, held = [], 0
+            else:
+                for text in batch.column(0):
+                    seen.update(split(text.as_py() or ""))
+                    if len(seen) >= TOKENS:
+                        yield batch_of(seen)
+                        seen = Counter()
+            if len(seen) >= TOKENS:
+                yield batch_of(seen)
+                seen = Counter()
         if flat:
             seen.update(longer(flat))
         yield batch_of(seen)
@@ -212,147 +266,245 @@ def gram_counts(texts: DataFrame, key: str, column: str, max_n: int = MAX_N) ->
     return materialize(counts, "gram-counts")
 
 
-def _hashed(a: np.ndarray, b: np.ndarray, ends: np.ndarray, max_n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length, 96 bits of each n-gram and its text, from two hashes of each token; texts end at ``ends``."""
-    owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    x, y = np.zeros(len(a) + 1, np.uint64), np.zeros(len(a) + 1, np.uint64)
-    for n in range(1, max_n + 1):
-        x, y = (_mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + t[n - 1 :]) for h, t in ((x, a), (y, b)))
-        inside = owner[: len(x)] == owner[n - 1 :]
-        yield x[inside], (y[inside] >> np.uint64(32)).astype(np.uint32), owner[: len(x)][inside]
+class _Keys:
+    """A number for each token: rarer tokens have higher ones, those of the most frequent tokens are below ``CODES``."""
 
+    def __init__(self, frequent: list[str]):
+        hashes = TokenHashes().of_tokens(frequent[:CODES])
+        # Of several tokens at a place, the most frequent one has a code.
+        slots, first = np.unique((hashes >> np.uint64(44)).astype(np.int64), return_index=True)
+        self.hashes, self.table = hashes, np.full(SLOTS, -1, np.int32)
+        self.table[slots] = first
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return hashes | np.uint64(1 << 63)
+        code = self.table[(hashes >> np.uint64(44)).astype(np.int64)]
+        has = (code >= 0) & (self.hashes[code] == hashes)
+        return np.where(has, code.astype(np.uint64), hashes | np.uint64(1 << 63))
+
+
+def _longer(x: np.ndarray, y: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of n-grams with one more token."""
+    return mixed(x * np.uint64(0x9E3779B97F4A7C15) + keys), mixed(y * np.uint64(0xD6E8FEB86659FD93) + keys)
 
 
 def _grouped(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by n-gram, and the group of each place in it; within a group, rows stay as they are."""
-    order = np.argsort(x, kind="stable")
-    same = x[order][1:] == x[order][:-1]
-    if (same & (y[order][1:] != y[order][:-1])).any():
+    """An order by n-gram, and for each place in it if a group begins; within a group, rows stay as they are."""
+    low = np.uint64((1 << max(1, (len(x) - 1).bit_length())) - 1)
+    both = (x & ~low) | np.arange(len(x), dtype=np.uint64)
+    both.sort()
+    order = (both & low).astype(np.int64)
+    x_, y_ = x[order], y[order]
+    differ = (x_[1:] != x_[:-1]) | (y_[1:] != y_[:-1])
+    if (differ & ((both[1:] & ~low) == (both[:-1] & ~low))).any():
         order = np.lexsort((y, x))
-        same = x[order][1:] == x[order][:-1]
-    new = ~(same & (y[order][1:] == y[order][:-1]))
-    return order, np.concatenate([[0], np.cumsum(new)]) if len(x) else np.empty(0, np.int64)
+        x_, y_ = x[order], y[order]
+        differ = (x_[1:] != x_[:-1]) | (y_[1:] != y_[:-1])
+    return order, np.concatenate([[True], differ])
+
+
+def _reach(keys: np.ndarray, owner: np.ndarray, max_n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far to each side of a token the n-grams go of which it is the rarest token, the first of equal ones."""
+    sides = []
+    for left in (True, False):
+        held, inside = np.zeros(len(keys), np.int16), np.ones(len(keys), bool)
+        for d in range(1, min(max_n, len(keys))):
+            same = owner[d:] == owner[:-d]
+            if left:
+                inside[d:] &= same & (keys[:-d] < keys[d:])
+                inside[:d] = False
+            else:
+                inside[:-d] &= same & (keys[d:] <= keys[:-d])
+                inside[-d:] = False
+            held += inside
+        sides.append(held)
+    return sides[0], sides[1]
+
 
+def _planes(a: np.ndarray, width: int) -> bytes:
+    """The lowest bytes of numbers, by place of the byte, so that leading zeros of all stand together."""
+    return a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
-def _hashes(column: Column) -> list[Column]:
-    return [F.transform(column, lambda t: F.xxhash64(t)).alias("a"), F.transform(column, lambda t: F.xxhash64(F.lit(1), t)).alias("b")]
 
+def _numbers(raw: np.ndarray, width: int) -> np.ndarray:
+    cells = np.zeros((len(raw) // width, 8), np.uint8)
+    cells[:, :width] = raw.reshape(width, -1).T
+    return cells.view("<u8").ravel()
 
-def _bundles(texts: DataFrame, buckets: int, max_n: int) -> DataFrame:
-    """``texts(name, a, b)`` to ``bucket, names, sizes, grams``: counts by text of the n-grams of a bucket, in bytes.
 
-    A bundle is of texts with so many tokens together. It has each n-gram once, with
-    its holders: in bytes, differences of sorted hashes by place of the byte, so that
-    the leading zeros of all stand together for the compression of the shuffle.
+_PIECES = "bucket int, bundle long, sizes array<long>, cells binary"
+
+
+def _bundles(texts: DataFrame, keys: Broadcast, lone: np.ndarray, buckets: int, parts: int, max_n: int) -> DataFrame:
+    """``texts(name, text)`` to pieces: of each bundle of texts and each bucket, tokens with what is around them.
+
+    Every n-gram lies once around its rarest token, and goes to that token's bucket;
+    tokens of ``lone`` go nowhere if they are the rarest of no longer n-gram. Names of a bundle's texts
+    are a piece above the buckets. Bundles are numbered by partition, in the order of its texts' names.
     """
 
-    def bundle(names: list[int], parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple]:
-        a, b = (np.concatenate([p[i] for p in parts]).view(np.uint64) for i in (0, 1))
-        ends = np.cumsum([len(p[0]) for p in parts])
-        x, y, text = (np.concatenate(c) for c in zip(*_hashed(a, b, ends, max_n)))
-        # By text first, so that it ascends within an n-gram.
-        by_text = np.argsort(text, kind="stable")
-        x, y, text = x[by_text], y[by_text], text[by_text]
-        order, group = _grouped(x, y)
-        x, y, text = x[order], y[order], text[order]
-        first = np.flatnonzero(np.diff(group * len(names) + text, prepend=-1))
-        count, x, y, text, group = np.diff(first, append=len(x)), x[first], y[first], text[first], group[first]
-        lead = np.flatnonzero(np.diff(group, prepend=-1))
-        holders, gx, gy = np.diff(lead, append=len(group)), x[lead], y[lead]
-        of = ((gx >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    def bundle(number: int, names: list[int], hashes: list[np.ndarray]) -> Iterator[tuple]:
+        yield buckets + number % parts, number, [len(names)], np.array(names, np.int64).tobytes()
+        owner, key = np.repeat(np.arange(len(names), dtype=np.int32), [len(h) for h in hashes]), keys.value(np.concatenate(hashes))
+        left, right = _reach(key, owner, max_n)
+        at = np.flatnonzero((left + right > 0) | ~np.isin(key, lone))
+        of = ((mixed(key[at]) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32 if buckets >> 16 else np.uint16)
+        order = np.argsort(of, kind="stable")
+        at, of = at[order], of[order]
+        left, owner, size = left[at], owner[at], (left + right + 1)[at]
+        ends = np.cumsum(size, dtype=np.int64)
+        tokens_ = key[np.repeat((at - left - ends + size).astype(np.int32), size) + np.arange(size.sum(), dtype=np.int32)]
+        code = np.minimum(tokens_, np.uint64(CODES))
+        rare, shape = code == CODES, left * max_n + size - 1 - left
         edges = np.searchsorted(of, np.arange(buckets + 1))
-        rows = np.concatenate([lead, [len(group)]])[edges]
+        ends, rares = np.concatenate([[0], ends]), np.concatenate([[0], np.cumsum(rare)])
+        tokens_ = tokens_[rare]
         for i in np.flatnonzero(np.diff(edges)):
-            lo, hi, at, to = edges[i], edges[i + 1], rows[i], rows[i + 1]
-            texts_here, local = np.unique(text[at:to], return_inverse=True)
-            delta = np.diff(gx[lo:hi], prepend=np.uint64(0))
-            parts = [delta.view(np.uint8).reshape(-1, 8).T, gy[lo:hi], holders[lo:hi].astype("<u4"), local.astype("<u4").view(np.uint8).reshape(-1, 4).T]
-            parts.append(count[at:to].astype("<u4").view(np.uint8).reshape(-1, 4).T)
-            yield int(i), [names[t] for t in texts_here], [int(hi - lo), int(to - at)], b"".join(p.tobytes() for p in parts)
+            lo, hi = edges[i], edges[i + 1]
+            a, b = ends[lo], ends[hi]
+            raw = _planes(np.diff(owner[lo:hi], prepend=0), 4) + _planes(shape[lo:hi], 1) + _planes(code[a:b], 2) + tokens_[rares[a] : rares[b]].tobytes()
+            yield int(i), number, [int(hi - lo), int(b - a)], zstandard.compress(raw, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, parts, size = [], [], 0
+        hashes_of, names, parts_, size = TokenHashes(), [], [], 0
+        number = TaskContext.get().partitionId() << 32
 
         def packed() -> pa.RecordBatch:
-            rows = list(bundle(names, parts))
-            columns = list(zip(*rows)) if rows else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["bucket", "names", "sizes", "grams"])
+            kinds = pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()
+            rows = zip(*bundle(number, names, parts_))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=["bucket", "bundle", "sizes", "cells"])
 
-        kinds = pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()
         for batch in batches:
-            lists = [batch.column(i) for i in (1, 2)]
-            for i, name in enumerate(batch.column(0).to_pylist()):
-                part = tuple(np.asarray(c[i].values) if c[i].is_valid else np.empty(0, np.int64) for c in lists)
-                names.append(name)
-                parts.append(part)
-                size += len(part[0])
-                if size >= TOKENS // max_n:
+            own = batch.column(0).to_pylist()
+            for first, hashes, ends in hashes_of(batch.column(1)):
+                parts_ += np.split(hashes, ends[:-1])
+                names += own[first : first + len(ends)]
+                size += len(hashes)
+                if size >= TOKENS:
                     yield packed()
-                    names, parts, size = [], [], 0
-        if size:
+                    names, parts_, size, number = [], [], 0, number + 1
+        if names:
             yield packed()
 
-    return texts.mapInArrow(run, "bucket int, names array<long>, sizes array<long>, grams binary")
-
-
-def _scores(bundles: DataFrame, trivial: set[tuple[int, int]]) -> DataFrame:
-    """``name, matched, total`` by bucket; a partition has its bundles sorted by bucket."""
-
-    def unpacked(sizes: list[int], raw: bytes) -> list[np.ndarray]:
-        n, rows = sizes
-        cut = np.cumsum([8 * n, 4 * n, 4 * n, 4 * rows])
-        x, y, holders, text, count = np.split(np.frombuffer(raw, np.uint8), cut)
-        x = np.cumsum(np.ascontiguousarray(x.reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64)
-        text, count = (np.ascontiguousarray(c.reshape(4, rows).T).view("<u4").ravel().astype(np.int64) for c in (text, count))
-        return [x, y.view("<u4"), holders.view("<u4"), text, count]
-
-    def scored(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        starts = np.cumsum([0, *[len(names) for names, _, _ in held]])
-        parts = [unpacked(sizes, raw) for _, sizes, raw in held]
-        x, y, holders = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        text = np.concatenate([p[3] + s for p, s in zip(parts, starts)])
-        count = np.concatenate([p[4] for p in parts])
-        order, group = _grouped(x, y)
-        of = np.empty(len(x), np.int64)
-        of[order] = group
-        common = np.array([(int(a), int(b)) in trivial for a, b in zip(x[m], y[m])], bool) if (m := np.isin(x, [t[0] for t in trivial])).any() else []
-        counts = np.ones(len(x), bool)
-        counts[np.flatnonzero(m)] = ~np.array(common, bool)
-        of, counts = np.repeat(of, holders), np.repeat(counts, holders)
-        of, text, count = of[counts], text[counts], count[counts]
-        total = np.bincount(text, count, starts[-1])
-        several = np.bincount(of, minlength=1)[of] > 1
-        of, text, count = of[several], text[several], count[several]
-        up = np.lexsort((count, of))
-        of, text, count = of[up], text[up], count[up]
-        last = np.flatnonzero(np.diff(of, append=-1))
-        most = np.repeat(count[last], np.diff(last, prepend=-1))
-        # Of a group's highest count the one in the last place has those before it as others.
-        most[last] = count[last - 1]
-        matched = np.bincount(text, np.minimum(count, most), starts[-1])
-        return np.concatenate([n for n, _, _ in held]), matched.astype(np.int64), total.astype(np.int64)
+    return texts.sortWithinPartitions("name", "text").mapInArrow(run, _PIECES)
+
+
+def _scores(pieces: DataFrame, trivial: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], buckets: int, max_n: int) -> DataFrame:
+    """Sums of a bucket for the texts of each bundle, as pieces; those of names as they are. A partition has its pieces sorted by bucket.
+
+    ``trivial`` has hashes of n-grams, by the number of tokens before and after their rarest one.
+    """
+
+    def scored(held: list[tuple]) -> Iterator[tuple]:
+        columns, present = [], []
+        for number, (n, m), raw in held:
+            cells = np.frombuffer(zstandard.decompress(raw), np.uint8)
+            owner = np.cumsum(_numbers(cells[: 4 * n], 4)).astype(np.int64)
+            shape, keys = cells[4 * n : 5 * n].astype(np.int64), _numbers(cells[5 * n : 5 * n + 2 * m], 2)
+            keys[keys == CODES] = np.frombuffer(cells[5 * n + 2 * m :].tobytes(), np.uint64)
+            new = np.diff(owner, prepend=-1) > 0
+            columns.append((np.cumsum(new) - 1, shape, keys))
+            present.append((number, owner[new]))
+        starts = np.cumsum([0, *[len(p) for _, p in present]])
+        text = np.concatenate([c[0] + s for c, s in zip(columns, starts)])
+        shape, keys = (np.concatenate([c[i] for c in columns]) for i in (1, 2))
+        left, right = shape // max_n, shape % max_n
+        size = left + right + 1
+        centre = np.cumsum(size) - size + left
+        sums = np.zeros((2, starts[-1]), np.int64)
+        for i in range(max_n):
+            some = np.flatnonzero(left >= i)
+            if not len(some):
+                break
+            at = centre[some] - i
+            x = y = np.zeros(len(some), np.uint64)
+            for k in range(i):
+                x, y = _longer(x, y, keys[at + k])
+            for j in range(max_n - i):
+                if j:
+                    more = right[some] >= j
+                    some, at, x, y = some[more], at[more], x[more], y[more]
+                if not len(some):
+                    break
+                x, y = _longer(x, y, keys[at + i + j])
+                sums += counted(x, y, text[some], trivial.get((i, j)), starts[-1])
+        for (number, own), lo, hi in zip(present, starts, starts[1:]):
+            raw = _planes(np.diff(own, prepend=0), 4) + _planes(sums[0, lo:hi], 8) + _planes(sums[1, lo:hi], 8)
+            yield -1, number, [len(own)], zstandard.compress(raw, 1)
+
+    def counted(x: np.ndarray, y: np.ndarray, text: np.ndarray, common: tuple | None, texts_: int) -> np.ndarray:
+        """Matched and all n-grams of each text, for n-grams of one shape; ``text`` ascends."""
+        order, new = _grouped(x, y)
+        text = text[order]
+        entry = np.flatnonzero(new | np.concatenate([[True], text[1:] != text[:-1]]))
+        count, text, new = np.diff(entry, append=len(order)), text[entry], new[entry]
+        if common is not None:
+            x, y = x[order][entry], y[order][entry]
+            at = np.flatnonzero(np.isin(x, common[0]))
+            pairs = set(zip(*[c.tolist() for c in common]))
+            drop = at[[p in pairs for p in zip(x[at].tolist(), y[at].tolist())]] if len(at) else at
+            keep = np.ones(len(count), bool)
+            keep[drop] = False
+            count, text, new = count[keep], text[keep], new[keep]
+        total = np.bincount(text, count, texts_).astype(np.int64)
+        several = ~new | np.concatenate([~new[1:], [False]])
+        count, text, lead = count[several], text[several], np.flatnonzero(new[several])
+        if not len(lead):
+            return np.stack([np.zeros(texts_, np.int64), total])
+        each = np.diff(lead, append=len(count))
+        most = np.repeat(np.maximum.reduceat(count, lead), each)
+        highest = count == most
+        alone = highest & (np.repeat(np.add.reduceat(highest.astype(np.int64), lead), each) == 1)
+        # The only text with the highest count has the next one as others.
+        others = np.where(alone, np.repeat(np.maximum.reduceat(np.where(highest, 0, count), lead), each), most)
+        return np.stack([np.bincount(text, np.minimum(count, others), texts_).astype(np.int64), total])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(held: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in scored(held)], names=["name", "matched", "total"])
+        def rows(cells: list[tuple]) -> pa.RecordBatch:
+            kinds = pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells), kinds)], names=["bucket", "bundle", "sizes", "cells"])
 
         held, now = [], None
         for batch in batches:
-            for bucket, names, sizes, raw in zip(*[c.to_pylist() for c in batch.columns]):
+            for bucket, *piece in zip(*[c.to_pylist() for c in batch.columns]):
+                if bucket >= buckets:
+                    yield rows([(bucket, *piece)])
+                    continue
                 if held and bucket != now:
-                    yield row(held)
+                    yield rows(list(scored(held)))
                     held = []
                 now = bucket
-                held.append((names, sizes, raw))
+                held.append(piece)
         if held:
-            yield row(held)
+            yield rows(list(scored(held)))
+
+    return pieces.mapInArrow(run, _PIECES)
+
 
-    return bundles.mapInArrow(run, "name long, matched long, total long")
+def _named(sums: DataFrame) -> DataFrame:
+    """``name, matched, total`` for each text, from pieces that are sorted by bundle, names first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(names: np.ndarray, held: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (names, *held)], names=["name", "matched", "total"])
+
+        names = held = None
+        for batch in batches:
+            for bucket, (n,), raw in zip(*[batch.column(c).to_pylist() for c in ("bucket", "sizes", "cells")]):
+                if bucket >= 0:
+                    if names is not None:
+                        yield row(names, held)
+                    names, held = np.frombuffer(raw, np.int64), np.zeros((2, n), np.int64)
+                    continue
+                cells = np.frombuffer(zstandard.decompress(raw), np.uint8)
+                own = np.cumsum(_numbers(cells[: 4 * n], 4)).astype(np.int64)
+                held[0, own] += _numbers(cells[4 * n : 12 * n], 8).view(np.int64)
+                held[1, own] += _numbers(cells[12 * n :], 8).view(np.int64)
+        if names is not None:
+            yield row(names, held)
+
+    return sums.mapInArrow(run, "name long, matched long, total long")
 
 
 def corpus_similarity(
@@ -365,23 +517,32 @@ def corpus_similarity(
     n-gram keeps its two highest counts in a text, so the work is linear in the corpus. A
     key names one text, and 64 bits of it do in between.
 
-    N-grams are dealt to buckets by hash, in bundles of bytes that are shuffled once
-    and written nowhere. The number of buckets grows with the corpus, so that a task
-    holds a bounded part of it; what it finds adds up to a row per text.
+    An n-gram is dealt to a bucket by its rarest token. What is sent of a text is
+    each token with the tokens around it that are in n-grams of which it is the
+    rarest, some three tokens a token, in bundles of bytes that are shuffled once and
+    written nowhere. The number of buckets grows with the corpus, so that a task
+    holds a bounded part of it; its sums go back to the bundles as bytes.
     """
-    common = trivial_ngrams(texts, column, m, max_n).select(F.split("gram", " ").alias("t")).select(*_hashes(F.col("t"))).collect()
-    trivial = set()
-    for r in common:
-        a, b = (np.array(r[c], np.int64).view(np.uint64) for c in ("a", "b"))
-        *_, (x, y, _) = _hashed(a, b, np.array([len(a)]), len(a))
-        trivial.add((int(x[0]), int(y[0])))
+    first = _frequent(texts, column, m)
+    keys, trivial, lone = _Keys([token for token, _ in first]), {}, []
+    for n, gram, _ in _trivial(texts, column, m, max_n, first):
+        own = keys(TokenHashes().of_tokens(gram.split(" ")))
+        centre = int(own.argmax())
+        x = y = np.zeros(1, np.uint64)
+        for k in range(n):
+            x, y = _longer(x, y, own[k : k + 1])
+        trivial.setdefault((centre, n - 1 - centre), []).append((x[0], y[0]))
+        lone += own.tolist() if n == 1 else []
+    trivial = {k: tuple(np.array(c, np.uint64) for c in zip(*v)) for k, v in trivial.items()}
     characters = texts.agg(F.sum(F.length(column))).first()[0] or 0
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, characters * max_n // 4 // BUCKET)
-    name = F.xxhash64(key)
-    held = texts.select(name.alias("name"), tokens(F.col(column)).alias("t")).select("name", *_hashes(F.col("t")))
-    bundles = _bundles(held, buckets, max_n).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    scores = _scores(bundles, trivial).groupBy("name").agg(F.sum("matched").alias("matched"), F.sum("total").alias("total"))
+    name, shared = F.xxhash64(key), texts.sparkSession.sparkContext.broadcast(keys)
+    held = texts.select(name.alias("name"), F.col(column).alias("text"))
+    pieces = _bundles(held, shared, np.array(lone, np.uint64), buckets, parts, max_n)
+    sums = _scores(pieces.repartition(parts, "bucket").sortWithinPartitions("bucket"), trivial, buckets, max_n)
+    scores = _named(sums.repartition(parts, "bundle").sortWithinPartitions("bundle", F.desc("bucket")))
+    scores = scores.groupBy("name").agg(F.sum("matched").alias("matched"), F.sum("total").alias("total"))
     matched, total = (F.coalesce(c, F.lit(0)) for c in ("matched", "total"))
     return (
         texts.select(F.col(key).alias("key"), name.alias("name"))
